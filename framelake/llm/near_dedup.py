@@ -4,10 +4,11 @@
    one node, so exact copies cost nothing further.
 2. The forest: every tree takes its own values in its own order as a sort key. The nodes of a tree are range
    partitioned and sorted by key; candidates are neighbours with the longest common prefixes. A pair needs a prefix of
-   MIN_DEPTH values; in a crowded region (a prefix with many nodes) farther neighbours need a deeper prefix, and every
-   node is also paired with the region's hub, the node on its heaviest path. Range partitions split any crowd;
-   the rows beside a partition's border are compared in a second, small pass.
-3. A packed sketch that travels with the keys drops candidates far below the threshold.
+   MIN_DEPTH values, and a region of up to CROWD nodes with such a prefix pairs all its nodes. In a crowded region the
+   sort by deeper values decides: of the NEAR nodes next to it a node keeps the BEST most similar, and it is paired
+   with the region's hub, the node on its heaviest path. Range partitions split any crowd; the rows beside a
+   partition's border are compared in a second, small pass.
+3. A packed sketch that travels with the keys gives the similarity of candidates and drops those far below the threshold.
 4. Confirmation works like Boruvka's algorithm: each component picks its most similar open candidate, the picked pairs
    are compared on full sets, components merge; after two such rounds every candidate still open between two
    components is compared. A pair inside one component needs no comparison: it can't change the result.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import KeyFilter, as_bytes, chunks, materialize, mix, shingles_of
 
-TREES, DEPTH = 16, 6
-MIN_DEPTH, NEAR, CROWD = 2, 5, 32
+TREES, DEPTH = 20, 5
+MIN_DEPTH, NEAR, CROWD, BEST = 2, 48, 32, 3
 ROUNDS = 2
 SKETCH_SLACK = 0.17
 FILTER_BITS = 1 << 22
@@ -142,6 +143,10 @@ def _neighbours(least: float, borders: bool):
         none = [None] * n
         return _batch({"a": none, "b": none, "est": none, "t": t.astype(np.int32), "key": [k.tobytes() for k in key], "id": ident, "sk": [s.tobytes() for s in sk]}, _PAIRS)
 
+    def pairs(ident: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray) -> pa.RecordBatch:
+        none = [None] * len(i)
+        return _batch({"a": np.minimum(ident[i], ident[j]), "b": np.maximum(ident[i], ident[j]), "est": est.astype(np.float32), "t": none, "key": none, "id": none, "sk": none}, _PAIRS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, seen = None, 0
         for batch in batches:
@@ -157,21 +162,28 @@ def _neighbours(least: float, borders: bool):
             same = (t[1:] == t[:-1]) & (key[1:, :MIN_DEPTH] == key[:-1, :MIN_DEPTH]).all(1)
             run_id = np.concatenate([[0], np.cumsum(~same)])
             crowded = np.bincount(run_id)[run_id] > CROWD
+            dense = np.flatnonzero(crowded)
+            place = np.full(n, -1)
+            place[dense] = np.arange(len(dense))
+            scores = np.zeros((len(dense), NEAR), np.float32)
             for o in range(1, min(NEAR, n - 1) + 1):
                 i = np.arange(max(0, old - o), n - o)
                 i = i[run_id[i] == run_id[i + o]]
-                if o > 1 and len(i):
-                    deep = (key[i, : MIN_DEPTH + 1] == key[i + o, : MIN_DEPTH + 1]).all(1)
-                    i = i[deep | ~crowded[i]]
+                i = i[ident[i] != ident[i + o]]
                 if not len(i):
                     continue
                 est = _agree(sk[i], sk[i + o])
-                ok = (est >= least) & (ident[i] != ident[i + o])
-                i, est = i[ok], est[ok]
-                if len(i):
-                    a, b = np.minimum(ident[i], ident[i + o]), np.maximum(ident[i], ident[i + o])
-                    none = [None] * len(i)
-                    yield _batch({"a": a, "b": b, "est": est.astype(np.float32), "t": none, "key": none, "id": none, "sk": none}, _PAIRS)
+                i, est = i[est >= least], est[est >= least]
+                far = crowded[i]
+                scores[place[i[far]], o - 1] = est[far]
+                if not far.all():
+                    yield pairs(ident, i[~far], i[~far] + o, est[~far])
+            if len(dense):
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :BEST]
+                row, col = np.nonzero(np.take_along_axis(scores, top, 1))
+                o = top[row, col]
+                if len(row):
+                    yield pairs(ident, dense[row], dense[row] + o + 1, scores[row, o])
             carry = tuple(x[-NEAR:] for x in (t, key, ident, sk))
         if borders and carry is not None and seen > NEAR:
             tail = min(NEAR, seen - NEAR)
