@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         picked = materialize(picked, "picked")
         sides = picked.select("a", "b", "la", "lb", F.explode(F.array("a", "b")).alias("id"))
         with_text = sides.join(near, F.col("id") == F.col("doc_id")).select("a", "b", "la", "lb", "id", "text")
-        links = with_text.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_confirmed(shingle_words, percent), "la long, lb long")
+        links = materialize(with_text.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_confirmed(shingle_words, percent), "la long, lb long"), "links")
         merged = connected(links.select(F.col("la").alias("u"), F.col("lb").alias("v")))
         merged = merged.select("node", F.col("root").alias("new"))
         moved = labels.join(merged, F.col("root") == F.col("node"), "left").select("id", F.coalesce("new", "root").alias("root"))
