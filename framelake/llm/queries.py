@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, near_dedup, packing, topk
+from . import chat, exact_dedup, html_text, language_id, licenses, mixing, near_dedup, packing, topk, url_filters
 from .common import table
 
 
@@ -30,6 +30,33 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), extra={"text_sha256": digest})
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+#: The rules of the url contract.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (doc_id; source as host, lang as declared) and pages (page_id; url and markup) together."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.fit(docs)
+    url = F.coalesce("url", F.lit(""))
+    host = url_filters.host_of(url)
+    markup = F.nullif(F.regexp_extract(F.substring("html", 1, 2000), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)", 1), F.lit(""))
+    suffix, folder = F.substring_index(host, ".", -1), F.regexp_extract(url_filters.path_of(url), r"^/([a-zA-Z]{2})(?:/|$)", 1)
+    named = F.when(suffix.isin(model.languages or [""]), suffix).when(folder != "", folder)
+    null = lambda kind: F.lit(None).cast(kind)
+    a = docs.select("doc_id", null("long").alias("page_id"), "text", F.col("source").alias("host"), F.col("lang").alias("declared"), null("string").alias("named"))
+    b = pages.select(null("long").alias("doc_id"), "page_id", html_text.visible_text("html").alias("text"), host.alias("host"), markup.alias("declared"), named.alias("named"))
+    return language_id.identify(a.unionByName(b), model, ["doc_id", "page_id"])
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -38,11 +65,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_chat_formatting, op3_exact_dedup, op7_exact_top_k, op8_license_scan, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash_near_dedup, op2_chat_formatting, op3_exact_dedup, op4_html_extraction, op5_url_filter, op6_language_id, op7_exact_top_k, op8_license_scan, op9_source_mixing, op10_best_fit_packing)
+}
 
 ORACLES = {
     "op2_chat_formatting": r"""
