@@ -39,6 +39,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of a few MB: a worker's memory then follows its longest text, not 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class KeyFilter:
     """A one-hash Bloom filter of fixed size over a key set, as an array<bigint> scalar subquery.
 
@@ -71,7 +79,7 @@ def ascii_lower(c: Column) -> Column:
 
 # ---- vectorised word and shingle hashing (numpy, on UTF-8 bytes) ----
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
 _B = 0x9E3779B97F4A7C15
@@ -91,7 +99,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2**64, kept per process and grown by doubling."""
     if len(_TABLES.get("p", ())) < n:
-        size, inverse = 1 << max(20, (n - 1).bit_length()), pow(_B, -1, 1 << 64)
+        size, inverse = 1 << max(19, (n - 1).bit_length()), pow(_B, -1, 1 << 64)
         for key, base in (("p", _B), ("q", inverse)):
             a = np.ones(size, np.uint64)
             step, have = base, 1
@@ -168,10 +176,6 @@ def shingles_of(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def as_bytes(texts) -> list[bytes]:
-    return [t.encode() if isinstance(t, str) else b"" for t in texts]
-
-
 def without_ids(docs: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 20) -> DataFrame:
     """docs without the rows whose id is in ids (one column, distinct or not). Only rows that hit a bit filter are shuffled."""
     gone = ids.select(F.col(f"`{ids.columns[0]}`").alias("__gone"))

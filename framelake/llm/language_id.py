@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, chunks, materialize
+from .common import _FOLD, bounded_batches, chunks, materialize
 
 GRAMS = 1 << 13
 SAMPLE_ROWS = 4000
@@ -73,6 +73,7 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.lower(F.trim(F.col(f"`{lang_col}`"))).alias("lang"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("id")).filter("lang is not null and lang <> '' and text is not null")
     n = labelled.select(lang_col).filter(F.col(f"`{lang_col}`").isNotNull()).count()
     share = min(1.0, sample_rows / max(n, 1))
@@ -105,6 +106,7 @@ def _score(logp: np.ndarray):
 
 def identify(rows: DataFrame, model: Model, keys: list[str], broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """rows: key columns, text, host, declared and named (language codes or null). Adds language, confidence, kept and the evidence."""
+    bounded_batches(rows.sparkSession)
     langs = model.languages
     spots = [*langs, "und"]
     norm = lambda c: F.regexp_extract(F.lower(c), "^ *([a-z]+)", 1)

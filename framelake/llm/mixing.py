@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, chunks, materialize, words_of
+from .common import ALNUM, bounded_batches, chunks, materialize, words_of
 
 DOMAINS = ("good", "low", "toxic")
 #: Target shares of tokens by domain. The total is such that the first domain keeps all its tokens.
@@ -121,6 +121,7 @@ def _inputs(model: Classifier):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """labels: doc_id, quality, toxic."""
+    bounded_batches(docs.sparkSession)
     ident = F.col("doc_id")
     domain = F.when(F.max("toxic") == 1, 2).when(F.min("quality") == 0, 1).otherwise(0)
     said = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(domain.alias("domain"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, as_bytes, chunks, materialize, mix, shingles_of
+from .common import KeyFilter, bounded_batches, chunks, materialize, mix, shingles_of
 
 TREES, DEPTH = 20, 5
 MIN_DEPTH, NEAR, CROWD, BEST = 2, 48, 32, 3
@@ -272,6 +272,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
+    bounded_batches(docs.sparkSession)
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     least = _least_agreement(percent / 100)
     sketch = materialize(text.mapInArrow(_sketches(shingle_words), "doc_id long, n_shingles long, fp binary, sig binary"), "sketch")
@@ -288,7 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossing = border.mapInArrow(_neighbours(least, False), pair_schema)
 
     crowd = regions.filter(F.col("m") > CROWD)
-    members = grown.filter(KeyFilter(crowd, ["p"], FILTER_BITS).hit("p"))
+    # written, so that no task holds the Python workers of two steps
+    members = materialize(grown.filter(KeyFilter(crowd, ["p"], FILTER_BITS).hit("p")), "crowd")
     paths = members.groupBy("p", "key").agg(F.sum("w").alias("w"), F.min("id").alias("hub"), F.min("sk").alias("hub_sk"))
     hubs = paths.groupBy("p").agg(F.max(F.struct("w", F.negative("hub").alias("o"), "hub", "hub_sk")).alias("h")).select("p", "h.hub", "h.hub_sk").join(crowd, "p", "left_semi")
     to_hub = members.select("p", "id", "sk").join(hubs, "p").mapInArrow(_to_hub(least), "a long, b long, est float")

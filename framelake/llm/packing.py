@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 CAPACITY = 2048
 BUCKET_ROWS = 50_000
@@ -193,6 +193,7 @@ def _placed(slots: tuple[np.ndarray, ...]):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_file: str | None = None, ranks_file: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids: little-endian uint32,) sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     if tokenizer_file is None:
         import public_tokenizers
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, bounded_batches, materialize
 
 LONGEST_WORD = 20
 _WORD = re.compile(r"[a-z]{1,20}")
@@ -118,6 +118,7 @@ def _tokens(host: Column, path: Column, words_of_host: Column) -> Column:
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, log_odds (of block; null where a rule decides)."""
+    bounded_batches(pages.sparkSession)
     url = F.col(f"`{url_col}`")
     cut = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.coalesce(url, F.lit(""))).alias("host"), path_of(F.coalesce(url, F.lit(""))).alias("path"))
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
