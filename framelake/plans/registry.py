@@ -1,4 +1,507 @@
-"""The registered queries over the driver's tables and their SQL twins."""
+"""The registered queries over the driver's tables and their SQL twins for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.functions.color import rgb332, rgb_key
+from framelake.operators import composite as C
+from framelake.operators import container, diff, order, quantize
+from framelake.operators import histogram as H
+from framelake.operators import metrics as M
+from framelake.operators import palette as P
+from framelake.sources import pixels as S
+from framelake.sources.pixels import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+BAG = "bag AS (SELECT CAST(floor(l_extendedprice) AS BIGINT) % 256 AS r, CAST(floor(l_quantity * 5) AS BIGINT) % 256 AS g, (l_partkey * 7 + l_suppkey) % 256 AS b, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 255 END AS a FROM lineitem)"
+PX = """e AS (SELECT event_id, coalesce(user_id, 0) AS u, CAST(floor(abs(coalesce(value, 0))) AS BIGINT) AS v FROM events),
+  px AS (SELECT *, r * 65536 + g * 256 + b AS rgb FROM (SELECT event_id % 4 AS clip_id, (event_id // 4) % 8 AS frame_no, event_id // 32 AS pos, (event_id // 32) % 16 AS x, event_id // 512 AS y,
+    (u % 5) * 50 AS r, (v % 4) * 60 AS g, CAST(128 AS BIGINT) AS b, CASE WHEN u % 11 = 0 THEN 0 ELSE 255 END AS a FROM e)),
+  fr AS (SELECT DISTINCT clip_id, frame_no, (clip_id + frame_no * 3) % 5 AS disposal, frame_no % 4 AS fx, frame_no % 3 AS fy, CAST(12 AS BIGINT) AS fw, CAST(14 AS BIGINT) AS fh, frame_no + 2 AS delay FROM px)"""
+CANVAS = f"""{PX},
+  own AS (SELECT *, x >= fx AND x < fx + fw AND y >= fy AND y < fy + fh AS inside, CASE WHEN x >= fx AND x < fx + fw AND y >= fy AND y < fy + fh AND a >= 128 THEN rgb + 16777216 END AS own FROM px JOIN fr USING (clip_id, frame_no)),
+  keep AS (SELECT *, CASE WHEN disposal = 3 THEN NULL WHEN disposal = 2 AND inside THEN 0 ELSE own END AS keep FROM own),
+  canvas AS (SELECT clip_id, frame_no, pos, x, y, coalesce(own, last_value(keep IGNORE NULLS) OVER (PARTITION BY clip_id, pos ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS color FROM keep)"""
+TILES = "tiles AS (SELECT vec_id AS clip_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CAST(least(255, greatest(0, floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
+
+
+def _hist(src: str, bits: int, keys: str = "") -> str:
+    cut, size = 1 << (8 - bits), 1 << bits
+    return f"SELECT {keys}((r // {cut}) * {size} + g // {cut}) * {size} + b // {cut} AS cell, count(*) AS n, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(g) AS BIGINT) AS sg, CAST(sum(b) AS BIGINT) AS sb FROM {src} WHERE a >= 128 GROUP BY ALL"
+
+
+def _mean(c: str = "n") -> str:
+    return f"((sr + {c} // 2) // {c}) * 65536 + ((sg + {c} // 2) // {c}) * 256 + (sb + {c} // 2) // {c}"
+
+
+def _dist(a: str, b: str) -> str:
+    part = lambda k, s: f"(({k} // {s}) % 256)"
+    return " + ".join(f"({part(a, s)} - {part(b, s)}) * ({part(a, s)} - {part(b, s)})" for s in (65536, 256, 1))
+
+
+HIST4 = f"{BAG}, hist AS ({_hist('bag', 4)}), cells AS (SELECT cell, n, sr, sg, sb, {_mean()} AS rgb FROM hist)"
+SEEDS = f"{HIST4}, seeds AS (SELECT row_number() OVER (ORDER BY n DESC, cell) - 1 AS idx, cell, rgb FROM cells ORDER BY n DESC, cell LIMIT 16)"
+LLOYD = f"""{SEEDS}, near AS (SELECT c.cell, min(({_dist('c.rgb', 's.rgb')}) * 256 + s.idx) AS k FROM cells c CROSS JOIN seeds s GROUP BY c.cell),
+  moved AS (SELECT k % 256 AS idx, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sr) AS BIGINT) AS sr, CAST(sum(sg) AS BIGINT) AS sg, CAST(sum(sb) AS BIGINT) AS sb FROM near JOIN cells USING (cell) GROUP BY ALL),
+  pal AS (SELECT idx, n, {_mean()} AS rgb FROM moved)"""
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _bag(spark: SparkSession, d: str) -> DataFrame:
+    b = S.bag(table(spark, d, "lineitem"))
+    return b.withColumn("rgb", rgb_key(F.col("r"), F.col("g"), F.col("b")))
+
+
+def _px(spark: SparkSession, d: str) -> DataFrame:
+    return S.placed(table(spark, d, "events"))
+
+
+def _canvas(spark: SparkSession, d: str) -> DataFrame:
+    px = _px(spark, d)
+    return C.composite(px, S.frame_table(px))
+
+
+@query(f"WITH {HIST4} SELECT cell, n, sr, sg, sb FROM cells")
+def hist4(spark, d):
+    return H.histogram(_bag(spark, d), 4)
+
+
+@query(f"WITH {BAG} {_hist('bag', 5)}")
+def hist5(spark, d):
+    return H.histogram(_bag(spark, d), 5)
+
+
+@query(f"WITH {PX} {_hist('px', 4)}")
+def temporal_hist(spark, d):
+    return H.temporal_histogram(_px(spark, d), 4)
+
+
+@query(f"WITH {HIST4} SELECT cell, n, rgb FROM cells")
+def cell_mean(spark, d):
+    return H.means(H.histogram(_bag(spark, d), 4))
+
+
+@query(f"WITH {PX}, c AS (SELECT clip_id, rgb, min(frame_no * 1000000000 + pos) AS fa FROM px WHERE a >= 128 GROUP BY ALL) SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY fa) - 1 AS idx, rgb FROM c")
+def exact_palette(spark, d):
+    return P.exact_palette(_px(spark, d).withColumn("at", F.col("frame_no") * 1000000000 + F.col("pos")), ["clip_id"])
+
+
+@query(f"WITH {PX}, c AS (SELECT clip_id, frame_no, rgb, min(pos) AS fa FROM px WHERE a >= 128 GROUP BY ALL) SELECT clip_id, frame_no, row_number() OVER (PARTITION BY clip_id, frame_no ORDER BY fa) - 1 AS idx, rgb FROM c")
+def local_palettes(spark, d):
+    return P.exact_palette(_px(spark, d), ["clip_id", "frame_no"], order="pos")
+
+
+@query(f"WITH {BAG} SELECT r % 4 AS part, count(DISTINCT CASE WHEN a >= 128 THEN r * 65536 + g * 256 + b END) AS n_colors, CAST(max(CASE WHEN a < 128 THEN 1 ELSE 0 END) AS BIGINT) AS needs_slot, n_colors + needs_slot > 256 AS overflows FROM bag GROUP BY ALL")
+def exact_overflow(spark, d):
+    return P.exact_overflow(_bag(spark, d).withColumn("part", F.col("r") % 4), ["part"])
+
+
+@query(f"WITH {BAG} SELECT idx, count(*) AS n FROM (SELECT CASE WHEN a < 128 THEN 255 ELSE least(254, (r // 32) * 32 + (g // 32) * 4 + b // 64) END AS idx FROM bag) GROUP BY ALL")
+def rgb332_map(spark, d):
+    return _bag(spark, d).select(rgb332(F.col("r"), F.col("g"), F.col("b"), F.col("a"), 128, True).alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SEEDS}, u AS (SELECT DISTINCT r * 65536 + g * 256 + b AS rgb FROM bag WHERE a >= 128), m AS (SELECT u.rgb, min(({_dist('u.rgb', 's.rgb')}) * 256 + s.idx) AS k FROM u CROSS JOIN seeds s GROUP BY u.rgb) SELECT rgb, k % 256 AS idx, k // 256 AS dist FROM m")
+def nearest_map(spark, d):
+    b = _bag(spark, d)
+    return P.nearest(b.filter("a >= 128").select("rgb").distinct(), H.seeds(H.histogram(b, 4), 16).select("idx", "rgb"))
+
+
+@query(f"WITH {SEEDS}, u AS (SELECT r * 65536 + g * 256 + b AS rgb, count(*) AS c FROM bag WHERE a >= 128 GROUP BY ALL), m AS (SELECT u.rgb, u.c, min(({_dist('u.rgb', 's.rgb')}) * 256 + s.idx) % 256 AS idx FROM u CROSS JOIN seeds s GROUP BY ALL) SELECT idx, CAST(sum(c) AS BIGINT) AS n FROM m GROUP BY ALL UNION ALL SELECT NULL, count(*) FROM bag WHERE a < 128")
+def palette_map(spark, d):
+    b = _bag(spark, d)
+    return P.map_to_palette(b, H.seeds(H.histogram(b, 4), 16)).groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {BAG}, used AS (SELECT DISTINCT (r // 32) * 32 + (g // 32) * 4 + b // 64 AS idx FROM bag WHERE a >= 128 AND r < 200) SELECT CAST(256 AS BIGINT) AS n, min(i) AS slot FROM range(256) t(i) WHERE i NOT IN (SELECT idx FROM used)")
+def transparent_slot(spark, d):
+    used = _bag(spark, d).filter("a >= 128 and r < 200").select(rgb332(F.col("r"), F.col("g"), F.col("b"), F.col("a"), 128, False).alias("idx"))
+    return P.transparent_slot(spark.range(256).select(F.col("id").alias("idx"), F.col("id").alias("rgb")), used)
+
+
+@query(f"WITH {HIST4} SELECT row_number() OVER (ORDER BY cell) - 1 AS idx, cell, rgb FROM cells")
+def direct_cells(spark, d):
+    return H.direct_cells(H.histogram(_bag(spark, d), 4))
+
+
+@query(f"WITH {HIST4}, rare AS (SELECT * FROM cells ORDER BY n, cell DESC LIMIT 1) SELECT r.cell, r.n, c.cell AS merged_into, {_dist('r.rgb', 'c.rgb')} AS dist FROM rare r JOIN cells c ON c.cell <> r.cell ORDER BY dist, merged_into LIMIT 1")
+def single_merge(spark, d):
+    return H.single_merge(H.histogram(_bag(spark, d), 4))
+
+
+@query(f"WITH {SEEDS} SELECT idx, cell, rgb FROM seeds")
+def seed_palette(spark, d):
+    return H.seeds(H.histogram(_bag(spark, d), 4), 16)
+
+
+@query(f"WITH {LLOYD} SELECT idx, n, rgb FROM pal")
+def lloyd_step(spark, d):
+    hist = H.histogram(_bag(spark, d), 4)
+    return H.refined(H.assign(hist, H.seeds(hist, 16)))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """A 16-colour palette of a table's pixels and how many pixels each colour stands for."""
+    _, cells = H.dominant(H.histogram(_bag(spark, d), 4), 16)
+    return cells.groupBy("idx").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dist")).alias("error"))
+
+
+query(f"WITH {LLOYD}, again AS (SELECT c.cell, c.n, min(({_dist('c.rgb', 'p.rgb')}) * 256 + p.idx) AS k FROM cells c CROSS JOIN pal p GROUP BY ALL) SELECT k % 256 AS idx, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * (k // 256)) AS BIGINT) AS error FROM again GROUP BY ALL", "dominant_palette")(flagship)
+
+
+@query(f"WITH {CANVAS} SELECT clip_id, frame_no, pos, x, y, color FROM canvas")
+def composite(spark, d):
+    return _canvas(spark, d)
+
+
+@query(f"WITH {CANVAS} SELECT clip_id, frame_no, pos, x, y, color FROM canvas WHERE frame_no IN (1, 3, 4)")
+def composite_requested(spark, d):
+    px = _px(spark, d)
+    return C.requested(px, S.frame_table(px), [4, 1, 3, 3])
+
+
+@query(f"""WITH {PX}, h AS (SELECT max(y) + 1 AS h FROM px), rows_ AS (SELECT y, row_number() OVER (ORDER BY CASE WHEN y % 8 = 0 THEN 0 WHEN y % 8 = 4 THEN 1 WHEN y % 4 = 2 THEN 2 ELSE 3 END, y) - 1 AS stored FROM (SELECT unnest(range(0, h)) AS y FROM h))
+    SELECT clip_id, frame_no, x, r.y AS y, rgb FROM px JOIN rows_ r ON px.y = r.stored""")
+def deinterlace(spark, d):
+    px = _px(spark, d)
+    height = px.agg(F.max("y") + 1).first()[0]
+    return C.deinterlaced(px, int(height)).select("clip_id", "frame_no", "x", "y", "rgb")
+
+
+_DIGEST = f"{CANVAS}, dig AS (SELECT clip_id, frame_no, md5(string_agg(color, ',' ORDER BY pos)) AS dg, count(*) AS pixels FROM canvas GROUP BY ALL)"
+_SHARE = f"{_DIGEST}, s0 AS (SELECT *, CASE WHEN coalesce(lag(dg) OVER (PARTITION BY clip_id ORDER BY frame_no) = dg, false) THEN NULL ELSE frame_no END AS start FROM dig), adj AS (SELECT *, last_value(start IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame_no) AS shares FROM s0)"
+
+
+@query(f"WITH {_SHARE} SELECT clip_id, frame_no, shares FROM adj")
+def dedupe_adjacent(spark, d):
+    return C.dedupe(_canvas(spark, d), "adjacent")
+
+
+@query(f"WITH {_DIGEST} SELECT clip_id, frame_no, min(frame_no) OVER (PARTITION BY clip_id, dg) AS shares FROM dig")
+def dedupe_all(spark, d):
+    return C.dedupe(_canvas(spark, d), "all")
+
+
+_LAST = f"{CANVAS}, lg AS (SELECT *, lag(color) OVER (PARTITION BY clip_id, pos ORDER BY frame_no) AS last FROM canvas), ch AS (SELECT *, color IS DISTINCT FROM last AS changed, coalesce(last, 0) > 0 AND color = 0 AS clears FROM lg)"
+_BOX = "min(x) FILTER ({0}) AS x0, min(y) FILTER ({0}) AS y0, max(x) FILTER ({0}) AS x1, max(y) FILTER ({0}) AS y1"
+
+
+@query(f"WITH {_LAST}, bx AS (SELECT clip_id, frame_no, {_BOX.format('changed')}, count(*) FILTER (changed) AS changed FROM ch GROUP BY ALL) SELECT clip_id, frame_no, x0, y0, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, changed FROM bx")
+def frame_deltas(spark, d):
+    return C.deltas(_canvas(spark, d))
+
+
+@query(f"WITH {_LAST} SELECT clip_id, frame_no, {_BOX.format('changed')} FROM ch WHERE frame_no > 0 GROUP BY ALL")
+def changed_rect(spark, d):
+    return diff.changed_rect(_canvas(spark, d))
+
+
+@query(f"WITH {_LAST} SELECT clip_id, frame_no, {_BOX.format('clears')}, coalesce(bool_or(clears), false) AS clears FROM ch GROUP BY ALL")
+def clears_rect(spark, d):
+    return diff.clears_rect(_canvas(spark, d))
+
+
+@query(f"WITH {_LAST}, bx AS (SELECT clip_id, frame_no, {_BOX.format('changed')} FROM ch WHERE frame_no > 0 GROUP BY ALL) SELECT clip_id, frame_no, coalesce(x0, 0) AS x, coalesce(y0, 0) AS y, coalesce(x1 - x0 + 1, 1) AS w, coalesce(y1 - y0 + 1, 1) AS h FROM bx UNION ALL SELECT DISTINCT clip_id, 0, 0, 0, 16, 64 FROM canvas")
+def delta_frames(spark, d):
+    return diff.delta_frames(_canvas(spark, d), 16, 64)
+
+
+@query(f"WITH {_SHARE}, o AS (SELECT clip_id, frame_no, CASE WHEN shares = frame_no THEN pixels * 4 ELSE 0 END AS bytes FROM adj) SELECT clip_id, frame_no, bytes, CAST(sum(bytes) OVER (PARTITION BY clip_id ORDER BY frame_no) AS BIGINT) AS total, total > 5000 AS over FROM o")
+def byte_budget(spark, d):
+    return C.byte_budget(_canvas(spark, d), 5000)
+
+
+@query(f"WITH {PX}, i AS (SELECT clip_id, frame_no, y, x - row_number() OVER (PARTITION BY clip_id, frame_no, y ORDER BY x) AS k FROM px WHERE a >= 128), s AS (SELECT clip_id, frame_no, y, k, count(*) AS n FROM i GROUP BY ALL) SELECT clip_id, frame_no, count(*) AS spans, CAST(sum(n) AS BIGINT) AS pixels, CASE WHEN sum(n) >= 4 * count(*) THEN 'spans' ELSE 'positions' END AS form FROM s GROUP BY ALL")
+def opaque_spans(spark, d):
+    return C.opaque_spans(_px(spark, d))
+
+
+@query(f"WITH {PX} SELECT clip_id, max(frame_no) OVER (PARTITION BY clip_id) - frame_no AS position, frame_no FROM fr")
+def reverse_order(spark, d):
+    return order.reversed_order(S.frame_table(_px(spark, d)))
+
+
+@query(f"WITH {PX}, m AS (SELECT clip_id, frame_no, max(frame_no) OVER (PARTITION BY clip_id) AS n FROM fr) SELECT clip_id, frame_no AS position, frame_no FROM m UNION ALL SELECT clip_id, 2 * n + 1 - frame_no, frame_no FROM m")
+def boomerang_order(spark, d):
+    return order.boomerang_order(S.frame_table(_px(spark, d)))
+
+
+@query(f"WITH {PX}, t AS (SELECT *, CASE WHEN clip_id = 1 THEN 0 END AS transparent, CASE WHEN clip_id = 2 THEN fx ELSE 0 END AS qx FROM fr), v AS (SELECT clip_id, qx = 0 AS whole, disposal <= 3 AS known, transparent IS NULL OR disposal IN (2, 3) AS safe FROM t) SELECT clip_id, bool_and(whole) AS covers, bool_and(known) AS known, bool_and(safe) AS restores, bool_and(whole AND known AND safe) AS allowed FROM v GROUP BY ALL")
+def reorder_verdict(spark, d):
+    f = S.frame_table(_px(spark, d)).withColumns({"transparent": F.when(F.col("clip_id") == 1, 0), "fx": F.when(F.col("clip_id") == 2, F.col("fx")).otherwise(0), "fy": F.lit(0)})
+    return order.reorder_verdict(f, 12, 14)
+
+
+_PAIRS = f"WITH {SEEDS}, u AS (SELECT DISTINCT r * 65536 + g * 256 + b AS rgb FROM bag WHERE a >= 128), m AS (SELECT u.rgb, min(({_dist('u.rgb', 's.rgb')}) * 256 + s.idx) % 256 AS idx FROM u CROSS JOIN seeds s GROUP BY u.rgb), q AS (SELECT b.*, s.rgb AS rgb2 FROM bag b LEFT JOIN m ON m.rgb = b.r * 65536 + b.g * 256 + b.b AND b.a >= 128 LEFT JOIN seeds s USING (idx))"
+
+
+def _mapped(spark, d):
+    b = _bag(spark, d)
+    pal = H.seeds(H.histogram(b, 4), 16).select("idx", F.col("rgb").alias("rgb2"))
+    near = P.nearest(b.filter("a >= 128").select("rgb").distinct(), pal.withColumnRenamed("rgb2", "rgb")).select(F.col("rgb").alias("k"), "idx")
+    m = b.join(near, (F.col("rgb") == F.col("k")) & (F.col("a") >= 128), "left").join(F.broadcast(pal), "idx", "left")
+    return m.withColumns({"r2": F.floor(F.col("rgb2") / 65536), "g2": F.floor(F.col("rgb2") / 256) % 256, "b2": F.col("rgb2") % 256, "a2": F.when(F.col("idx").isNotNull(), 255).otherwise(0), "part": F.col("b") % 4})
+
+
+@query(f"{_PAIRS}, e AS (SELECT b % 4 AS part, CAST(sum(power(r - coalesce(rgb2 // 65536, 0), 2) + power(g - coalesce((rgb2 // 256) % 256, 0), 2) + power(b - coalesce(rgb2 % 256, 0), 2)) AS BIGINT) AS squares, count(*) * 3 AS n FROM q WHERE a = 255 GROUP BY ALL) SELECT part, squares, n, CASE WHEN squares > 0 THEN round(20 * log10(255 / sqrt(squares / n)), 6) END AS psnr_db FROM e")
+def psnr(spark, d):
+    return M.psnr(_mapped(spark, d), ["part"])
+
+
+@query(f"{_PAIRS} SELECT b % 4 AS part, round(avg(CASE WHEN (a >= 200) = (rgb2 IS NOT NULL) THEN 1.0 ELSE 0.0 END) * 100, 6) AS agreement_pct FROM q GROUP BY ALL")
+def alpha_agreement(spark, d):
+    return M.alpha_agreement(_mapped(spark, d), ["part"], 200)
+
+
+@query(f"WITH {PX} SELECT clip_id, bool_and(delay = CASE WHEN clip_id = 3 AND frame_no = 7 THEN 1 ELSE delay END) AS exact FROM fr GROUP BY ALL")
+def delays_exact(spark, d):
+    f = S.frame_table(_px(spark, d))
+    return M.delays_exact(f.withColumn("delay2", F.when((F.col("clip_id") == 3) & (F.col("frame_no") == 7), 1).otherwise(F.col("delay"))))
+
+
+@query("SELECT l_returnflag, CAST(quantile_disc(l_quantity, 0.95) AS DOUBLE) AS p FROM lineitem GROUP BY ALL")
+def percentile_rank(spark, d):
+    return M.percentile_rank(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", 0.95)
+
+
+@query("WITH o AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, l_quantity AS p FROM o WHERE k = floor((n - 1) * 0.9 + 0.5)")
+def percentile_nearest(spark, d):
+    return M.percentile_nearest(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", 0.9)
+
+
+@query("WITH o AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, l_quantity AS p FROM o WHERE k = n // 2")
+def upper_median(spark, d):
+    return M.upper_median(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+@query("SELECT l_linestatus, round(exp(avg(ln(l_quantity))), 6) AS geomean FROM lineitem WHERE l_quantity > 0 GROUP BY ALL")
+def geomean(spark, d):
+    return M.geometric_mean(table(spark, d, "lineitem"), ["l_linestatus"], "l_quantity")
+
+
+@query("SELECT DISTINCT p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size <= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size < a.p_size OR b.p_retailprice < a.p_retailprice))")
+def pareto_frontier(spark, d):
+    return M.pareto_frontier(table(spark, d, "part").select("p_size", "p_retailprice"), "p_size", "p_retailprice").distinct()
+
+
+@query("WITH v AS (SELECT l_shipdate, l_returnflag, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), r AS (SELECT o.l_returnflag, o.q / m.q AS ratio FROM v o JOIN v m USING (l_shipdate) WHERE m.l_returnflag = 'N' AND o.l_returnflag <> 'N') SELECT l_returnflag, round(min(ratio), 6) AS least, round(max(ratio), 6) AS most, round(exp(avg(ln(ratio))), 6) AS geomean FROM r GROUP BY ALL")
+def ratio_summary(spark, d):
+    v = table(spark, d, "lineitem").groupBy("l_shipdate", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
+    return M.ratio_summary(v, "l_shipdate", "l_returnflag", "q", "N")
+
+
+@query(f"WITH {TILES}, ax AS (SELECT i AS n, least(7, i * 8 // 12) AS s FROM range(12) t(i)), ay AS (SELECT i AS n, least(7, i * 8 // 5) AS s FROM range(5) t(i)) SELECT clip_id, ax.n AS x, ay.n AS y, v FROM tiles JOIN ax ON x = ax.s JOIN ay ON y = ay.s")
+def resize_nearest(spark, d):
+    return M.resize_nearest(S.tiles(table(spark, d, "embeddings")), (8, 8), (12, 5)).select("clip_id", "x", "y", "v")
+
+
+@query(f"WITH {TILES}, a AS (SELECT clip_id, x, y, v FROM tiles), b AS (SELECT clip_id, x, y, CASE WHEN clip_id % 10 = 0 THEN v + 1 ELSE v END AS v FROM tiles) SELECT (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) AS missing, (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS surplus")
+def equivalence_gate(spark, d):
+    t = S.tiles(table(spark, d, "embeddings"))
+    return M.equivalent(t, t.withColumn("v", F.when(F.col("clip_id") % 10 == 0, F.col("v") + 1).otherwise(F.col("v"))))
+
+
+@query(f"WITH {PX}, n AS (SELECT clip_id, frame_no, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT *, n + greatest(1, CAST(ceil(n / 126) AS BIGINT)) + 1 AS codes FROM n), b AS (SELECT *, CAST(ceil(codes * 8 / 8) AS BIGINT) AS data FROM c) SELECT clip_id, frame_no, n, data + CAST(ceil(data / 255) AS BIGINT) + 2 AS bytes FROM b")
+def literal_lzw_size(spark, d):
+    n = _px(spark, d).groupBy("clip_id", "frame_no").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("bytes", container.literal_size(F.col("n"), 7))
+
+
+@query(f"WITH {PX}, s AS (SELECT clip_id, frame_no, rgb = lag(rgb) OVER (PARTITION BY clip_id, frame_no ORDER BY pos) AS same FROM px) SELECT clip_id, frame_no, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 9) AS share, CASE WHEN share < 0.5 THEN 'keep' WHEN share >= 0.75 THEN 'wide' ELSE 'count' END AS code_size FROM s GROUP BY ALL")
+def run_share(spark, d):
+    from pyspark.sql import Window
+
+    same = F.col("rgb") == F.lag("rgb").over(Window.partitionBy("clip_id", "frame_no").orderBy("pos"))
+    g = _px(spark, d).withColumn("same", F.coalesce(same, F.lit(False))).groupBy("clip_id", "frame_no").agg(F.round(F.avg(F.when(F.col("same"), 1.0).otherwise(0.0)), 9).alias("share"))
+    return g.withColumn("code_size", F.when(F.col("share") < 0.5, "keep").when(F.col("share") >= 0.75, "wide").otherwise("count"))
+
+
+# ---- packed frames through the codecs: what comes back is held against the pixels ----
+
+_INDEXED = f"{PX}, ix AS (SELECT clip_id, frame_no, pos, x, y, a, rgb, r // 50 * 4 + g // 60 + 1 AS c FROM px), idx AS (SELECT *, CASE WHEN a >= 128 THEN c ELSE 0 END AS idx FROM ix)"
+_ROUND = f"WITH {_INDEXED} SELECT clip_id, frame_no, count(*) AS n, md5(string_agg(lower(printf('%02x', idx)), '' ORDER BY pos)) AS digest FROM idx GROUP BY ALL"
+
+
+def _indexed(spark, d):
+    c = F.floor(F.col("r") / 50) * 4 + F.floor(F.col("g") / 60) + 1
+    return _px(spark, d).withColumn("idx", F.when(F.col("a") >= 128, c).otherwise(0).cast("long"))
+
+
+def _round_trip(spark, d, encoder):
+    out = container.recoded(container.pack_frames(_indexed(spark, d)), 5, encoder)
+    return out.select("clip_id", "frame_no", F.octet_length("back").cast("long").alias("n"), F.md5(F.lower(F.hex("back")).cast("binary")).alias("digest"))
+
+
+@query(_ROUND)
+def lzw_roundtrip(spark, d):
+    return _round_trip(spark, d, "literal")
+
+
+@query(_ROUND)
+def runaware_roundtrip(spark, d):
+    return _round_trip(spark, d, "runs")
+
+
+@query(_ROUND)
+def dictionary_roundtrip(spark, d):
+    return _round_trip(spark, d, "dictionary")
+
+
+def _clips(spark, d, encoder="runs"):
+    """Real GIF bytes of the events' pixels: index 0 is transparent, whole rows only."""
+    px = _indexed(spark, d)
+    whole = px.groupBy("y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 32 * S.GRID).select("y")
+    px = px.join(F.broadcast(whole), "y")
+    height = int(whole.count())
+    frames = container.pack_frames(px).join(F.broadcast(S.frame_table(px).select("clip_id", "frame_no", "delay", F.least("disposal", F.lit(3)).alias("disposal"))), ["clip_id", "frame_no"])
+    palette = px.select("clip_id").distinct().join(spark.range(21).select(F.col("id").alias("idx")))
+    k = F.col("idx") - 1
+    rgb = F.when(F.col("idx") == 0, 0).otherwise(F.floor(k / 4) * 50 * 65536 + k % 4 * 60 * 256 + 128).cast("long")
+    return container.encode_clips(frames.withColumn("transparent", F.lit(0)), palette.withColumn("rgb", rgb), S.GRID, height, 0, encoder), height
+
+
+_GIF = f"{_INDEXED}, rows_ AS (SELECT y FROM px GROUP BY y HAVING count(*) = 512)"
+
+
+@query(f"WITH {_GIF} SELECT clip_id, frame_no, x, y, idx, rgb FROM idx WHERE y IN (SELECT y FROM rows_) AND idx > 0")
+def gif_decode(spark, d):
+    clips, _ = _clips(spark, d)
+    return container.pixels(container.decoded(container.frames(clips)))
+
+
+@query(f"WITH {_GIF} SELECT clip_id, frame_no, frame_no + 2 AS delay, CAST(16 AS BIGINT) AS width, (SELECT count(*) FROM rows_) AS height, least((clip_id + frame_no * 3) % 5, 3) AS disposal FROM fr")
+def gif_encode(spark, d):
+    clips, _ = _clips(spark, d, "dictionary")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return container.frames(clips).select("clip_id", *(long(c) for c in ("frame_no", "delay", "width", "height", "disposal")))
+
+
+def _edited(spark, d, edit):
+    clips, _ = _clips(spark, d)
+    f = container.frames(clips.withColumn("content", edit("content")))
+    return container.decoded(f).select("clip_id", F.col("frame_no").cast("long"), F.col("delay").cast("long"), F.md5(F.lower(F.hex("indices")).cast("binary")).alias("digest"))
+
+
+_FRAMES = f"{_GIF}, fd AS (SELECT clip_id, frame_no, frame_no + 2 AS delay, md5(string_agg(lower(printf('%02x', idx)), '' ORDER BY pos)) AS digest FROM idx WHERE y IN (SELECT y FROM rows_) GROUP BY ALL)"
+
+
+@query(f"WITH {_FRAMES} SELECT clip_id, frame_no, CAST(7 AS BIGINT) AS delay, digest FROM fd")
+def retime(spark, d):
+    return _edited(spark, d, lambda c: container.retimed(c, 7))
+
+
+@query(f"WITH {_FRAMES} SELECT clip_id, frame_no, delay, digest FROM fd")
+def remux(spark, d):
+    return _edited(spark, d, container.remuxed)
+
+
+@query(f"WITH {_FRAMES} SELECT clip_id, frame_no, delay, digest FROM fd")
+def reencode(spark, d):
+    return _edited(spark, d, container.reencoded)
+
+
+@query(f"WITH {_FRAMES} SELECT clip_id, 7 - frame_no AS frame_no, delay, digest FROM fd WHERE clip_id = -1")
+def reorder_refused(spark, d):
+    """Clips whose transparent frames stay on the canvas can't be reversed: none is left."""
+    clips, _ = _clips(spark, d)
+    from framelake.functions import gif
+
+    ok = F.udf(lambda b: gif.reorder_refusal(bytes(b)) is None, "boolean", useArrow=True)
+    f = container.frames(clips.filter(ok("content")))
+    return container.decoded(f).select("clip_id", F.col("frame_no").cast("long"), F.col("delay").cast("long"), F.md5(F.lower(F.hex("indices")).cast("binary")).alias("digest"))
+
+
+# ---- learned palettes and other grouped work: rows only, held against invariants in the tests ----
+
+
+def _clip_hist(spark, d, bits):
+    return H.histogram(_bag(spark, d).withColumn("clip_id", F.col("b") % 4), bits, ["clip_id"])
+
+
+@query()
+def mediancut_palette(spark, d):
+    return quantize.median_cut(_clip_hist(spark, d, 5), 64)
+
+
+@query()
+def mediancut_nearest_palette(spark, d):
+    return quantize.median_cut_nearest(_clip_hist(spark, d, 5), 64)
+
+
+@query()
+def wu_palette(spark, d):
+    return quantize.variance_cut(_clip_hist(spark, d, 4), 64)
+
+
+@query()
+def flat_grid_palette(spark, d):
+    return quantize.flat_grid(_clip_hist(spark, d, 4), 64)
+
+
+@query()
+def frame_plan(spark, d):
+    return diff.frame_plan(_canvas(spark, d), 16, 64)
+
+
+@query()
+def ssim(spark, d):
+    t = S.tiles(table(spark, d, "embeddings"))
+    return M.ssim(t.withColumn("v2", F.col("v").bitwiseAND(F.lit(0xF0).cast("long")) + 8), ["clip_id"])
+
+
+# ---- synthetic animations: row signatures that depend on every channel of every pixel ----
+
+_RULES = {
+    "gradient": ("floor(x * 255 / 127 + 0.5)", "floor(y * 255 / 127 + 0.5)", "(x + y + f * 19) & 255", "255"),
+    "transparency": ("(x * 3 + f * 17) & 255", "(y * 5) & 255", "220", "CASE WHEN dd < 29 THEN 255 WHEN dd < 34 THEN floor((34 - dd) * 51 + 0.5) ELSE 0 END"),
+    "disjoint": ("(f * 31 + band * 13) & 255", "(f * 67 + band * 7) & 255", "(f * 101 + band * 17) & 255", "255"),
+    "static": ("CASE WHEN mv THEN 255 WHEN gr THEN 40 ELSE 17 END", "CASE WHEN mv THEN 80 WHEN gr THEN 50 ELSE 24 END", "CASE WHEN mv THEN 40 WHEN gr THEN 70 ELSE 39 END", "255"),
+    "tiny": ("(x * 17) & 255", "(y * 17) & 255", "(f * 43) & 255", "255"),
+    "large": ("(x + f * 19 + t1) & 255", "(y + t1 * 2) & 255", "(x + y + t1 * 3) & 255", "255"),
+    "stress": ("(x + t2) & 255", "(y + f * 41) & 255", "(x + y + t2) & 255", "255"),
+    "pixel_art": ("[12, 245, 239, 17, 6, 255][pk + 1]", "[16, 196, 71, 138, 214, 255][pk + 1]", "[32, 48, 111, 178, 160, 255][pk + 1]", "255"),
+    "noise": ("n3 & 255", "n6 & 255", "n9 & 255", "255"),
+}
+
+
+def _gen_sql(name: str) -> str:
+    w, h, n, _ = S.GENERATORS[name]
+    r, g, b, a = _RULES[name]
+    steps, last = [], "n0"
+    for k in range(3):
+        p = [f"n{3 * k + j}" for j in range(4)]
+        last = f"s{k}"
+        src = "h" if k == 0 else f"s{k - 1}"
+        steps.append(f"a{k} AS (SELECT *, xor({p[0]}, ({p[0]} * 8192) & 4294967295) AS {p[1]} FROM {src}), b{k} AS (SELECT *, xor({p[1]}, {p[1]} // 131072) AS {p[2]} FROM a{k}), s{k} AS (SELECT *, xor({p[2]}, ({p[2]} * 32) & 4294967295) AS {p[3]} FROM b{k})")
+    chain = (", " + ", ".join(steps)) if name == "noise" else ""
+    src = last if name == "noise" else "h"
+    return f"""WITH g AS (SELECT i // {w * h} AS f, i % {w} AS x, (i % {w * h}) // {w} AS y FROM range({w * h * n}) t(i)),
+      h AS (SELECT *, sqrt(CAST((x - (f * 7 + 40)) * (x - (f * 7 + 40)) + (y - 64) * (y - 64) AS DOUBLE)) AS dd, ((x // 8) + (y // 8)) & 15 AS band, x >= f * 8 AND x < f * 8 + 12 AND y >= 56 AND y < 68 AS mv, x % 16 = 0 OR y % 16 = 0 AS gr,
+        xor(x * 13 + y * 17 + f * 29, (x * y) // 8) & 31 AS t1, xor(x * 11 + y * 23 + f * 47, (x * y) // 16) & 63 AS t2, xor(xor(xor(CAST(2654435769 AS BIGINT), x), y * 1024), f * 1048576) AS n0,
+        CASE WHEN x >= f * 4 % 48 AND x < f * 4 % 48 + 16 AND y >= 24 AND y < 40 THEN 2 + ((x + y + f) & 3) ELSE ((x // 8) + (y // 8)) & 1 END AS pk FROM g){chain}
+      SELECT f AS frame_no, y, CAST(sum((x + 1) * ({r})) AS BIGINT) AS sr, CAST(sum((x + 1) * ({g})) AS BIGINT) AS sg, CAST(sum((x + 1) * ({b})) AS BIGINT) AS sb, CAST(sum((x + 1) * ({a})) AS BIGINT) AS sa FROM {src} GROUP BY ALL"""
+
+
+def _generated(name: str):
+    def run(spark, d):
+        w = lambda c: F.sum((F.col("x") + 1) * F.col(c)).alias(f"s{c}")
+        return S.generate(spark, name).groupBy("frame_no", "y").agg(*(w(c) for c in "rgba"))
+
+    return run
+
+
+for _name in S.GENERATORS:
+    query(_gen_sql(_name), f"gen_{_name}")(_generated(_name))
