@@ -47,7 +47,7 @@ def format_windows(turns: DataFrame, stride: int = 512, history: int = 128, byte
     head = F.concat(F.lit("<s>"), escape(role, ROLE_ESCAPES), F.lit("\n"))
     t = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), head.alias("head"), escape(text).alias("body"))
     t = t.withColumn("shown", F.concat("head", "body", F.lit("</s>"))).withColumn("tokens", F.ceil(F.octet_length("shown") / F.lit(bytes_per_token)).cast("long"))
-    t = t.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / F.lit(BLOCK)))
+    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK)), F.lit(-(1 << 60))))
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumns({"in_block": F.coalesce(F.sum("tokens").over(inside), F.lit(0)), "at": F.count("tokens").over(inside)})
     over = Window.partitionBy("conv_id").orderBy("block")

@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = materialize(rows, "labelled")
     counted = rows.filter("half = 0").select("text", "domain").mapInArrow(_counts, "domain long, feature long, n long").groupBy("domain", "feature").agg(F.sum("n").alias("n")).toPandas()
     c = np.zeros((len(DOMAINS), WORDS + GRAMS + 1))
-    c[counted["domain"], counted["feature"]] = counted["n"]
+    c[counted["domain"].astype(int), counted["feature"].astype(int)] = counted["n"].astype(float)
     model = Classifier(*_evidence(c), np.zeros((3 * (len(DOMAINS) - 1) + 1, len(DOMAINS) - 1)), np.full(len(DOMAINS), 1 / len(DOMAINS)))
     held = rows.filter("half = 1").select("text", "domain").mapInArrow(_inputs(model), "domain int, x array<double>").toPandas()
     if len(held):
