@@ -19,7 +19,7 @@ def in_rect() -> Column:
 
 def shown(px: DataFrame, frames: DataFrame, threshold: int = OPAQUE) -> DataFrame:
     """What each frame draws (own) and leaves behind (keep). Opaque colours count from 2**24, so 0 is a cleared pixel."""
-    p = px.join(F.broadcast(frames), ["clip_id", "frame_no"])
+    p = px.join(frames, ["clip_id", "frame_no"])
     own = F.when(in_rect() & (F.col("a") >= threshold), F.col("rgb") + 16777216)
     keep = F.when(F.col("disposal") == 3, F.lit(None)).when((F.col("disposal") == 2) & in_rect(), F.lit(0)).otherwise(own)
     return p.withColumns({"own": own, "keep": keep})

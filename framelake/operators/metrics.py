@@ -58,11 +58,17 @@ def geometric_mean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def pareto_frontier(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows that no other row beats: none is at most equal in both and less in one.
 
-    Two windows instead of a self join: a row stands if its b is below every b at smaller a, and least among its own a.
+    A window instead of a self join: a row stands if its b is below every b at smaller a, and least among its own a.
+    Random buckets are reduced to their own frontiers first, so that the last, single ordering sees few rows.
     """
     least = df.groupBy(a).agg(F.min(b).alias("__b"))
-    before = F.min("__b").over(Window.orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
-    stands = least.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__b") < F.col("__before")))
+
+    def standing(rows: DataFrame, within: Window) -> DataFrame:
+        before = F.min("__b").over(within.orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__b") < F.col("__before"))).drop("__before")
+
+    bucketed = standing(least.withColumn("__bucket", F.pmod(F.xxhash64(a), F.lit(64))), Window.partitionBy("__bucket"))
+    stands = standing(bucketed.drop("__bucket"), Window.partitionBy())
     on = stands.select(F.col(a).alias("__a"), "__b")
     return df.join(on, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left_semi")
 

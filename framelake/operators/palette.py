@@ -29,7 +29,8 @@ def nearest(colors: DataFrame, palette: DataFrame, keys: list[str] = ()) -> Data
     A palette has 256 entries at most, and colours are distinct before they meet it, so the join is bounded by the
     number of colours; the smallest distance and index are packed into one number and found by partial aggregation.
     """
-    p = F.broadcast(palette.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("idx").alias("__idx"), F.col("rgb").alias("__rgb")))
+    p = palette.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("idx").alias("__idx"), F.col("rgb").alias("__rgb"))
+    p = p if keys else F.broadcast(p)  # one palette is small; palettes of many clips are joined by key
     on = [F.col(k) == F.col(f"__{k}") for k in keys] or F.lit(True)
     d = distance(channels(F.col("rgb")), channels(F.col("__rgb"))) * 256 + F.col("__idx")
     return colors.join(p, on).groupBy(*keys, "rgb").agg((F.min(d) % 256).alias("idx"), F.floor(F.min(d) / 256).alias("dist"))

@@ -364,9 +364,9 @@ def _clips(spark, d, encoder="runs"):
     """Real GIF bytes of the events' pixels: index 0 is transparent, whole rows only."""
     px = _indexed(spark, d)
     whole = px.groupBy("y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 32 * S.GRID).select("y")
-    px = px.join(F.broadcast(whole), "y")
+    px = px.join(whole, "y")
     height = int(whole.count())
-    frames = container.pack_frames(px).join(F.broadcast(S.frame_table(px).select("clip_id", "frame_no", "delay", F.least("disposal", F.lit(3)).alias("disposal"))), ["clip_id", "frame_no"])
+    frames = container.pack_frames(px).join(S.frame_table(px).select("clip_id", "frame_no", "delay", F.least("disposal", F.lit(3)).alias("disposal")), ["clip_id", "frame_no"])
     palette = px.select("clip_id").distinct().join(spark.range(21).select(F.col("id").alias("idx")))
     k = F.col("idx") - 1
     rgb = F.when(F.col("idx") == 0, 0).otherwise(F.floor(k / 4) * 50 * 65536 + k % 4 * 60 * 256 + 128).cast("long")
