@@ -169,9 +169,9 @@ def _neighbours(least: float, borders: bool):
             for o in range(1, min(NEAR, n - 1) + 1):
                 i = np.arange(max(0, old - o), n - o)
                 i = i[run_id[i] == run_id[i + o]]
-                i = i[ident[i] != ident[i + o]]
                 if not len(i):
-                    continue
+                    break  # no region is this long
+                i = i[ident[i] != ident[i + o]]
                 est = _agree(sk[i], sk[i + o])
                 i, est = i[est >= least], est[est >= least]
                 far = crowded[i]
