@@ -30,6 +30,19 @@ def clears_rect(canvas: DataFrame) -> DataFrame:
     return _with_last(canvas).groupBy("clip_id", "frame_no").agg(*_box(clears), F.coalesce(F.bool_or(clears), F.lit(False)).alias("clears"))
 
 
+def changed_after_clear(canvas: DataFrame, cleared: tuple[int, int, int, int]) -> DataFrame:
+    """Changed box when a rectangle (x0, y0, x1, y1, inclusive) was cleared in between: inside it all opaque pixels count."""
+    x0, y0, x1, y1 = cleared
+    inside = F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
+    p = _with_last(canvas).filter(F.col("frame_no") > 0)
+    return p.groupBy("clip_id", "frame_no").agg(*_box(F.when(inside, F.col("color") > 0).otherwise(~F.col("color").eqNullSafe(F.col("last")))))
+
+
+def fill_unchanged(canvas: DataFrame) -> DataFrame:
+    """Pixels that need no drawing become null (the transparent index); compositing shows the same canvas."""
+    return _with_last(canvas).withColumn("idx_color", F.when(~F.col("color").eqNullSafe(F.col("last")), F.col("color"))).drop("last")
+
+
 def delta_frames(canvas: DataFrame, width: int, height: int) -> DataFrame:
     """Rectangles of a delta-coded clip: frame 0 whole, later ones their change, an unchanged one a single pixel."""
     r = changed_rect(canvas)

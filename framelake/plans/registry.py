@@ -424,6 +424,71 @@ def reorder_refused(spark, d):
     return container.decoded(f).select("clip_id", F.col("frame_no").cast("long"), F.col("delay").cast("long"), F.md5(F.lower(F.hex("indices")).cast("binary")).alias("digest"))
 
 
+def _restoring(spark, d):
+    """Clips whose every frame is disposed to background, so that any order is allowed."""
+    px = _indexed(spark, d).filter("y < 1")
+    frames = container.pack_frames(px).withColumns({"transparent": F.lit(0), "disposal": F.lit(2), "delay": F.col("frame_no") + 2})
+    palette = px.select("clip_id").distinct().join(spark.range(21).select(F.col("id").alias("idx"), F.col("id").alias("rgb")))
+    return container.encode_clips(frames, palette, S.GRID, 1, None)
+
+
+def _order_of(f):
+    return f.select("clip_id", F.col("frame_no").cast("long"), F.col("delay").cast("long"))
+
+
+@query(f"WITH {PX} SELECT clip_id, 7 - frame_no AS frame_no, delay FROM fr")
+def reverse_gif(spark, d):
+    return _order_of(container.frames(_restoring(spark, d).withColumn("content", container.reversed_frames("content"))))
+
+
+@query(f"WITH {PX} SELECT clip_id, frame_no, delay FROM fr UNION ALL SELECT clip_id, 15 - frame_no, delay FROM fr")
+def boomerang_gif(spark, d):
+    return _order_of(container.frames(_restoring(spark, d).withColumn("content", container.boomerang("content"))))
+
+
+@query(f"WITH {PX} SELECT DISTINCT clip_id, CAST(5 AS BIGINT) AS loop_count, '89a' AS version FROM fr")
+def set_loop(spark, d):
+    c = _restoring(spark, d).withColumn("clip", container.scan(container.looped("content", 5)))
+    return c.select("clip_id", F.col("clip.loop_count").cast("long").alias("loop_count"), "clip.version")
+
+
+@query(f"""WITH {PX} SELECT clip_id, '{{"version":"89a","width":16,"height":1,"frames":8,"delays":[2,3,4,5,6,7,8,9]}}' AS metadata FROM fr GROUP BY ALL""")
+def metadata_json(spark, d):
+    c = _restoring(spark, d).withColumn("clip", container.scan("content", "lenient"))
+    fields = F.struct("clip.version", "clip.width", "clip.height", F.size("clip.frames").alias("frames"), F.transform("clip.frames", lambda f: f["delay"]).alias("delays"))
+    return c.select("clip_id", F.to_json(fields).alias("metadata"))
+
+
+@query(f"WITH {PX} SELECT DISTINCT clip_id, TRUE AS valid, FALSE AS cut_valid FROM fr")
+def validate_gif(spark, d):
+    c = _restoring(spark, d)
+    cut = F.substring(F.col("content"), F.lit(1), F.octet_length("content") - 1)
+    return c.select("clip_id", container.scan("content", on_error="null").isNotNull().alias("valid"), container.scan(cut, on_error="null").isNotNull().alias("cut_valid"))
+
+
+@query(f"WITH {PX} SELECT clip_id, count(*) AS pixels, min(a) = 255 AS opaque, bool_or(a NOT IN (0, 255)) AS partial FROM px GROUP BY ALL")
+def opaque_check(spark, d):
+    return _px(spark, d).groupBy("clip_id").agg(F.count(F.lit(1)).alias("pixels"), (F.min("a") == 255).alias("opaque"), F.bool_or(~F.col("a").isin(0, 255)).alias("partial"))
+
+
+@query(f"WITH {_INDEXED} SELECT clip_id, frame_no, sha256(string_agg(lower(printf('%02x', idx)), '' ORDER BY pos)) AS sha, CAST(1 AS BIGINT) AS versions FROM idx GROUP BY ALL")
+def output_manifest(spark, d):
+    """Digest of every frame over two encodings; a stable output has one version."""
+    parts = [container.recoded(container.pack_frames(_indexed(spark, d)), 5, e).select("clip_id", "frame_no", F.sha2(F.lower(F.hex("back")).cast("binary"), 256).alias("sha")) for e in ("runs", "dictionary")]
+    return parts[0].union(parts[1]).groupBy("clip_id", "frame_no").agg(F.min("sha").alias("sha"), F.count_distinct("sha").alias("versions"))
+
+
+@query(f"WITH {_LAST} SELECT clip_id, frame_no, {_BOX.format('CASE WHEN x BETWEEN 2 AND 9 AND y BETWEEN 1 AND 8 THEN color > 0 ELSE changed END')} FROM ch WHERE frame_no > 0 GROUP BY ALL")
+def changed_after_clear(spark, d):
+    return diff.changed_after_clear(_canvas(spark, d), (2, 1, 9, 8))
+
+
+@query(f"WITH {_LAST} SELECT clip_id, frame_no, count(*) FILTER (changed) AS drawn, count(*) FILTER (NOT changed) AS filled FROM ch GROUP BY ALL")
+def fill_unchanged(spark, d):
+    f = diff.fill_unchanged(_canvas(spark, d))
+    return f.groupBy("clip_id", "frame_no").agg(F.count_if(F.col("idx_color").isNotNull()).alias("drawn"), F.count_if(F.col("idx_color").isNull()).alias("filled"))
+
+
 # ---- learned palettes and other grouped work: rows only, held against invariants in the tests ----
 
 
