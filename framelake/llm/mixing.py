@@ -3,7 +3,7 @@
 A classifier fitted on the labelled table gives every document posteriors over the domains. Document rates
 r >= 0 are then fitted so that the expected tokens of every domain, sum(rate * tokens * posterior), match the targets
 in least squares. The fit is projected gradient descent from r = 1 in the metric that weighs documents by tokens, with
-the domains' Gram matrix as scaling:
+the domains' Gram matrix over documents whose rate is not 0 as scaling:
 
     r <- max(0, r - P g),   g = (G + eps)^-1 (A r - t)
 
@@ -38,7 +38,7 @@ from .common import ALNUM, bounded_batches, chunks, materialize, words_of
 
 DOMAINS = ("good", "low", "toxic")
 #: Target shares of tokens by domain. The total is such that the first domain keeps all its tokens.
-TARGETS = (0.88, 0.08, 0.04)
+TARGETS = (0.86, 0.08, 0.06)
 SAMPLE_ROWS = 6000
 WORDS, GRAMS = 1 << 15, 1 << 13
 MAX_STEPS, TOLERANCE = 30, 1e-4
@@ -205,8 +205,9 @@ def _sums(steps: list[np.ndarray]):
         for batch in batches:
             p = np.stack([batch.column(f"p_{d}").to_numpy() for d in DOMAINS], 1)
             n = batch.column("n_tokens").to_numpy().astype(float)
-            total += (rates(p, steps) * n) @ p
-            gram += (p * n[:, None]).T @ p
+            r = rates(p, steps)
+            total += (r * n) @ p
+            gram += (p * (n * (r > 0))[:, None]).T @ p
         v = [*total, *gram.ravel()]
         yield pa.RecordBatch.from_pydict({"k": np.arange(len(v), dtype=np.int32), "v": np.array(v)})
 
