@@ -250,13 +250,13 @@ def _copies(rate, id_col: str):
 
 
 def _rate_of(model: Classifier | None, steps: list[np.ndarray]):
-    @F.pandas_udf("double")
     def of_text(texts: pd.Series) -> pd.Series:
         raw = [t.encode() if isinstance(t, str) else b"" for t in texts]
         parts = [rates(model.posteriors(raw[i:j])[0], steps) for i, j in chunks(raw)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return of_text
+    # declared nondeterministic so that the planner evaluates it once, not again in the filter on its result
+    return F.pandas_udf(of_text, "double").asNondeterministic()
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS) -> DataFrame:
