@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,22 +240,26 @@ def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_steps:
     return steps
 
 
-def _uniform(id_col: str):
-    return F.pmod(F.xxhash64(F.lit(77), F.col(f"`{id_col}`")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+UNIFORM = float(1 << 40)
+
 
+def _uniform(id_col: str):
+    return F.pmod(F.xxhash64(F.lit(77), F.col(f"`{id_col}`")), F.lit(1 << 40))
 
-def _copies(rate, id_col: str):
-    return F.floor(rate + _uniform(id_col)).cast("int")
 
+def _taken(model: Classifier, steps: list[np.ndarray], text_at: int):
+    """Rows as often as their rate says; the last column, a hash of the row's id, is taken off."""
 
-def _rate_of(model: Classifier | None, steps: list[np.ndarray]):
-    def of_text(texts: pd.Series) -> pd.Series:
-        raw = [t.encode() if isinstance(t, str) else b"" for t in texts]
-        parts = [rates(model.posteriors(raw[i:j])[0], steps) for i, j in chunks(raw)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, u = _bytes(batch.column(text_at)), batch.column(batch.num_columns - 1).to_numpy() / UNIFORM
+            for i, j in chunks(raw):
+                p, n = model.posteriors(raw[i:j])
+                times = np.floor(np.where(n == 0, 1.0, rates(p, steps)) + u[i:j]).astype(np.int64)
+                part = batch.slice(i, j - i).select(range(batch.num_columns - 1))
+                yield part.take(pa.array(np.repeat(np.arange(j - i), times)))
 
-    # declared nondeterministic so that the planner evaluates it once, not again in the filter on its result
-    return F.pandas_udf(of_text, "double").asNondeterministic()
+    return run
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -268,14 +271,12 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{d}") * F.lit(float(g[k])) for k, d in enumerate(DOMAINS)), F.lit(0.0)))
     rate = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(rate)
     out = table.withColumn("rate", rate)
-    return out.withColumn("copies", _copies(F.col("rate"), "doc_id"))
+    return out.withColumn("copies", F.floor(F.col("rate") + _uniform("doc_id") / F.lit(UNIFORM)).cast("int"))
 
 
 def take(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """docs as the mix takes them: rows dropped or repeated, columns unchanged. Texts are scored where they lie and never shuffled."""
     model = fit(docs, labels, id_col, text_col)
     steps = fit_rates(posteriors(docs, model, id_col, text_col), targets)
-    text = F.col(f"`{text_col}`")
-    rate = F.when(F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"), _rate_of(model, steps)(text)).otherwise(F.lit(1.0))
-    kept = docs.withColumn("__copies", _copies(rate, id_col)).filter("__copies > 0")
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+    text_at = next(k for k, c in enumerate(docs.columns) if c.lower() == text_col.lower())
+    return docs.select("*", _uniform(id_col)).mapInArrow(_taken(model, steps, text_at), docs.schema)

@@ -55,6 +55,19 @@ def test_language_beyond_the_broadcast_limit(spark):
     assert a == b
 
 
+def test_mixing_takes_rows_as_often_as_their_copies_say(spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    d = docs(spark).withColumns({"__copies": F.lit(None).cast("int"), "rate": F.array(F.lit("x")), "u": F.struct("lang")})
+    odd = spark.createDataFrame([(None, None), (9001, ""), (9002, "!!! ..."), (9002, "!!! ..."), (9003, "word " * 60_000)], "doc_id long, text string")
+    d = d.unionByName(odd, allowMissingColumns=True)
+    times = {r["doc_id"]: r["n"] for r in mixing.mix(d, labels).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    got = mixing.take(d, labels)
+    assert got.schema == d.schema
+    assert {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()} == times
+    texts = lambda df: {(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()}
+    assert texts(got) <= texts(d) and times[None] == times[9001] == 1 and times[9002] == 2
+
+
 def test_mixing_matches_targets_and_keeps_good_documents(spark):
     m = mixing.mix(docs(spark, MEDIUM), spark.read.parquet(f"{MEDIUM}/labels.parquet")).toPandas()
     p = m[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
