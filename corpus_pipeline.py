@@ -47,7 +47,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("language ID", identify_language), ("exact dedup", drop_exact), ("near dedup", drop_near), ("source mixing", mix_sources), ("best-fit packing", pack_sequences)]
 
-#: Several stages learn, estimate or pack; SQL can't express them. tests/llm/test_pipeline.py holds them against brute force.
+#: Several stages learn, estimate or pack; SQL can't express them. tests/llm/test_models.py holds its stages against brute force.
 ORACLE_SQL = None
 
 
