@@ -5,13 +5,17 @@
 2. The forest: every tree takes its own values in its own order as a sort key. The nodes of a tree are range
    partitioned and sorted by key; candidates are neighbours with the longest common prefixes. A pair needs a prefix of
    MIN_DEPTH values, and a region of up to CROWD nodes with such a prefix pairs all its nodes. In a crowded region the
-   sort by deeper values decides: of the NEAR nodes next to it a node keeps the BEST most similar, and it is paired
-   with the region's hub, the node on its heaviest path. Range partitions split any crowd; the rows beside a
-   partition's border are compared in a second, small pass.
+   sort by deeper values gives a first choice: of the NEAR nodes next to it a node takes the BEST most similar, and the
+   region's hub, the node on its heaviest path. Range partitions split any crowd; the rows beside a partition's border
+   are compared in a second, small pass.
 3. A packed sketch that travels with the keys gives the similarity of candidates and drops those far below the threshold.
 4. Confirmation works like Boruvka's algorithm: each component picks its most similar open candidate, the picked pairs
    are compared on full sets, components merge; after two such rounds every candidate still open between two
    components is compared. A pair inside one component needs no comparison: it can't change the result.
+5. Crowded regions are then finished exactly: every pair of their nodes that still lies in two components is compared on
+   full sets, without sketch or window. A region's nodes are dealt to blocks by size of set (sets whose sizes differ by
+   more than the threshold allows can't link) and by hash; a task compares two blocks and emits only a spanning forest of
+   the links it finds. Pairs within the region's largest component are not formed.
 
 Nothing is collected to the driver. Intermediate tables are written to the cluster's shared folder.
 
@@ -37,6 +41,7 @@ TREES, DEPTH = 20, 5
 MIN_DEPTH, NEAR, CROWD, BEST = 2, 48, 32, 3
 ROUNDS = 2
 SKETCH_SLACK = 0.17
+BLOCK_ROWS, BLOCK_ITEMS = 512, 1 << 19
 FILTER_BITS = 1 << 22
 _U = np.uint64
 
@@ -270,6 +275,132 @@ def connected(links: DataFrame) -> DataFrame:
         last = state
 
 
+def _sets(size: int):
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            for i, j in chunks(raw):
+                sets = shingles_of(raw[i:j], size)
+                yield _batch({"id": batch.column("doc_id").slice(i, j - i), "n": [len(s) for s in sets], "set": [s.tobytes() for s in sets]}, schema)
+
+    return run
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of every left set with every right set: frequent values by matrix product, others one by one."""
+    out = np.zeros(len(left) * len(right), np.int64)
+    flat = [np.concatenate(x) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    if not len(both):
+        return out.reshape(len(left), len(right))
+    side = []
+    for sets, values in zip((left, right), flat, strict=True):
+        col = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        kept = both[col] == values
+        side.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[kept], col[kept]))
+    (lrow, lcol), (rrow, rcol) = side
+    ln, rn = (np.bincount(c, minlength=len(both)) for c in (lcol, rcol))
+    dense = ln * rn * 50 > len(left) * len(right)
+    place = np.cumsum(dense) - 1
+    width = 2048
+    parts = [(r[dense[c]], place[c[dense[c]]]) for r, c in side]
+    for at in range(0, int(dense.sum()), width):
+        m = []
+        for sets, (r, c) in zip((left, right), parts, strict=True):
+            a = np.zeros((len(sets), width), np.float32)
+            now = (c >= at) & (c < at + width)
+            a[r[now], c[now] - at] = 1
+            m.append(a)
+        out += np.rint(m[0] @ m[1].T).astype(np.int64).ravel()
+    by_col = np.argsort(rcol, kind="stable")
+    rrow, first = rrow[by_col], np.cumsum(rn) - rn
+    lrow, lcol = lrow[~dense[lcol]], lcol[~dense[lcol]]
+    done = np.concatenate([[0], np.cumsum(rn[lcol])])
+    i = 0
+    while i < len(lcol):
+        j = max(i + 1, int(np.searchsorted(done, done[i] + (1 << 20), "right")) - 1)
+        times = rn[lcol[i:j]]
+        at = np.arange(times.sum()) + np.repeat(first[lcol[i:j]] - (np.cumsum(times) - times), times)
+        out += np.bincount(np.repeat(lrow[i:j], times) * len(right) + rrow[at], minlength=len(out))
+        i = j
+    return out.reshape(len(left), len(right))
+
+
+def spanning(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (u, v), those that a spanning forest needs."""
+    root, out = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0).tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            root[y] = x
+            out.append((a, b))
+    return out
+
+
+def _block_links(percent: int):
+    """Over rows (pair, side, root, set) sorted by pair: links between the roots of two blocks, or within one that has no other side."""
+    schema = pa.schema([("la", pa.int64()), ("lb", pa.int64())])
+
+    def linked(rows: list) -> pa.RecordBatch:
+        halves = [[r for r in rows if r[1] == side] for side in (0, 1)]
+        left, right = halves if halves[1] else (halves[0], halves[0])
+        ends = []
+        if left:
+            sets = [[np.frombuffer(r[3], np.uint64) for r in x] for x in (left, right)]
+            a, b = (np.array([r[2] for r in x], np.int64) for x in (left, right))
+            n, m = (np.array([len(s) for s in x], np.int64) for x in sets)
+            both = overlaps(*sets)
+            i, j = np.nonzero((both > 0) & (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (a[:, None] != b[None, :]))
+            ends = spanning(a[i], b[j]) if len(i) else []
+        return _batch({"la": [x for x, _ in ends], "lb": [y for _, y in ends]}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "root", "set")), strict=True):
+                if rows and rows[-1][0] != row[0]:
+                    yield linked(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield linked(rows)
+
+    return run
+
+
+def _crowd_links(nodes: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
+    """Over (p, id, root), the nodes of crowded regions: links (la, lb) of roots by every pair of a region's nodes that differ in root."""
+    tally = nodes.groupBy("p", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top"))
+    split = materialize(tally.filter("m > top.n").select("p", F.col("top.root").alias("top")), "split")
+    open_ = materialize(nodes.join(split, "p").select("p", "id", "root", (F.col("root") != F.col("top")).alias("out")), "split-nodes")
+    ids = open_.select("id").distinct()
+    texts = text.filter(KeyFilter(ids, ["id"]).hit("doc_id")).join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates()
+    sets = materialize(texts.mapInArrow(_sets(size), "id long, n long, set binary").filter("n > 0"), "sets")
+    ratio = 1.0001 * 100 / max(percent, 1)  # linked sets are at most this far apart in size: in the same class or in the next
+    cls = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)))
+    rows = open_.join(sets.select("id", "n"), "id").withColumn("c", cls)
+    room = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK_ROWS)), F.floor(BLOCK_ITEMS / F.pow(F.lit(ratio), F.col("c") + 1)).cast("double")))
+    blocks = materialize(rows.groupBy("p", "c", "out").agg(F.count(F.lit(1)).alias("k")).withColumn("blocks", F.ceil(F.col("k") / room).cast("long")), "blocks")
+    each = blocks.select("p", "c", "out", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    one, two = (each.select("p", F.struct("c", "out", "block").alias(x)) for x in "ab")
+    same = (F.col("a.c") == F.col("b.c")) & F.when(F.col("b.out"), F.col("a.out") & (F.col("a.block") <= F.col("b.block"))).otherwise(F.col("a.out"))
+    near = (F.col("a.c") + 1 == F.col("b.c")) & (F.col("a.out") | F.col("b.out"))
+    pairs = one.join(two, "p").filter(same | near).withColumn("pair", F.xxhash64("p", "a", "b"))
+    sides = pairs.select("p", "pair", F.posexplode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("side", "x")).select("p", "pair", "side", "x.*")
+    placed = rows.join(blocks.select("p", "c", "out", "blocks"), ["p", "c", "out"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = placed.join(sides, ["p", "c", "out", "block"]).select("pair", "side", "id", "n", "root")
+    full = dealt.join(sets, ["id", "n"]).select("pair", "side", "root", "set")
+    return full.repartition("pair").sortWithinPartitions("pair").mapInArrow(_block_links(percent), "la long, lb long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     bounded_batches(docs.sparkSession)
@@ -325,6 +456,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if still.isEmpty():
             break
 
+    crowded = members.join(crowd, "p", "left_semi").select("p", "id").distinct()
+    if not crowded.isEmpty():
+        inside = materialize(crowded.join(labels, "id", "left").select("p", "id", F.coalesce("root", "id").alias("root")), "inside")
+        links = materialize(_crowd_links(inside, text, shingle_words, percent).distinct(), "crowd-links")
+        if not links.isEmpty():
+            merged = connected(links.select(F.col("la").alias("u"), F.col("lb").alias("v"))).select("node", F.col("root").alias("new"))
+            known = labels.union(inside.select("id", F.col("id").alias("root")).distinct().join(labels, "id", "left_anti"))
+            moved = known.join(merged, F.col("root") == F.col("node"), "left").select("id", F.coalesce("new", "root").alias("root"))
+            labels = materialize(moved, "labels")
+
     # rows alone with their set get a key of their own, so that they spread over the join's tasks
     copies = reps.filter("w > 1").select(F.col("fp").alias("k"), "rep")
     rows = sketch.select("doc_id", "n_shingles", F.coalesce("fp", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("k"))
