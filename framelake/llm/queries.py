@@ -48,7 +48,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
     url = F.coalesce("url", F.lit(""))
     host = url_filters.host_of(url)
-    markup = F.nullif(F.regexp_extract(F.substring("html", 1, 2000), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)", 1), F.lit(""))
+    markup = F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)", 1), F.lit(""))
     suffix, folder = F.substring_index(host, ".", -1), F.regexp_extract(url_filters.path_of(url), r"^/([a-zA-Z]{2})(?:/|$)", 1)
     named = F.when(suffix.isin(model.languages or [""]), suffix).when(folder != "", folder)
     null = lambda kind: F.lit(None).cast(kind)
