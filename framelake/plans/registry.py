@@ -424,12 +424,17 @@ def reorder_refused(spark, d):
     return container.decoded(f).select("clip_id", F.col("frame_no").cast("long"), F.col("delay").cast("long"), F.md5(F.lower(F.hex("indices")).cast("binary")).alias("digest"))
 
 
-def _restoring(spark, d):
-    """Clips whose every frame is disposed to background, so that any order is allowed."""
-    px = _indexed(spark, d).filter("y < 1")
-    frames = container.pack_frames(px).withColumns({"transparent": F.lit(0), "disposal": F.lit(2), "delay": F.col("frame_no") + 2})
+def _restoring(spark, d, rows=None):
+    """Clips whose every frame is disposed to background, so that any order is allowed. All rows; absent pixels are transparent."""
+    px = _indexed(spark, d)
+    px = px if rows is None else px.filter(F.col("y") < rows)
+    height = rows or int(px.agg(F.max("y")).first()[0] or 0) + 1
+    grid = px.select("clip_id", "frame_no").distinct().crossJoin(spark.range(S.GRID * height).select(F.col("id").alias("pos")))
+    seen = px.groupBy("clip_id", "frame_no", "pos").agg(F.max("idx").alias("idx"))
+    full = grid.join(seen, ["clip_id", "frame_no", "pos"], "left").withColumn("idx", F.coalesce("idx", F.lit(0).cast("long")))
+    frames = container.pack_frames(full).withColumns({"transparent": F.lit(0), "disposal": F.lit(2), "delay": F.col("frame_no") + 2})
     palette = px.select("clip_id").distinct().join(spark.range(21).select(F.col("id").alias("idx"), F.col("id").alias("rgb")))
-    return container.encode_clips(frames, palette, S.GRID, 1, None)
+    return container.encode_clips(frames, palette, S.GRID, height, None)
 
 
 def _order_of(f):
@@ -454,7 +459,7 @@ def set_loop(spark, d):
 
 @query(f"""WITH {PX} SELECT clip_id, '{{"version":"89a","width":16,"height":1,"frames":8,"delays":[2,3,4,5,6,7,8,9]}}' AS metadata FROM fr GROUP BY ALL""")
 def metadata_json(spark, d):
-    c = _restoring(spark, d).withColumn("clip", container.scan("content", "lenient"))
+    c = _restoring(spark, d, rows=1).withColumn("clip", container.scan("content", "lenient"))  # the twin's height is 1
     fields = F.struct("clip.version", "clip.width", "clip.height", F.size("clip.frames").alias("frames"), F.transform("clip.frames", lambda f: f["delay"]).alias("delays"))
     return c.select("clip_id", F.to_json(fields).alias("metadata"))
 
