@@ -4,11 +4,13 @@
    one node, so exact copies cost nothing further.
 2. The forest: every tree takes its own values in its own order as a sort key. The nodes of a tree are range
    partitioned and sorted by key; candidates are neighbours with the longest common prefixes. A pair needs a prefix of
-   MIN_DEPTH values, and a region of up to CROWD nodes with such a prefix pairs all its nodes. In a crowded region the
-   sort by deeper values gives a first choice: of the NEAR nodes next to it a node takes the BEST most similar, and the
-   region's hub, the node on its heaviest path. Range partitions split any crowd; the rows beside a partition's border
-   are compared in a second, small pass.
-3. A packed sketch that travels with the keys gives the similarity of candidates and drops those far below the threshold.
+   MIN_DEPTH values, and a region of up to CROWD nodes with such a prefix pairs all its nodes. A crowded region goes
+   deeper: of the NEAR nodes next to it in sorted order a node takes the BEST with the longest common prefix (the more
+   similar first), and the region's hub, the node on its heaviest path; step 5 decides the rest. Range partitions split
+   any crowd; the rows beside a partition's border are compared in a second, small pass.
+3. Pairs whose sets differ too much in size are dropped before any text moves, which loses nothing. A packed sketch that
+   travels with the keys gives the similarity of candidates and drops those far below the threshold (a pair of
+   similarity 0.8 fails it less than once in a million).
 4. Confirmation works like Boruvka's algorithm: each component picks its most similar open candidate, the picked pairs
    are compared on full sets, components merge; after two such rounds every candidate still open between two
    components is compared. A pair inside one component needs no comparison: it can't change the result.
@@ -40,7 +42,7 @@ from .common import KeyFilter, bounded_batches, chunks, materialize, mix, shingl
 TREES, DEPTH = 20, 5
 MIN_DEPTH, NEAR, CROWD, BEST = 2, 48, 32, 3
 ROUNDS = 2
-SKETCH_SLACK = 0.17
+SKETCH_SLACK = 0.22
 BLOCK_ROWS, BLOCK_ITEMS = 512, 1 << 19
 FILTER_BITS = 1 << 22
 _U = np.uint64
@@ -107,11 +109,16 @@ def _least_agreement(threshold: float) -> float:
     return threshold + (1 - threshold) / 16 - SKETCH_SLACK
 
 
-_FOREST = "t int, key binary, id long, sk binary, w long"
+def _size_fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m values can reach the threshold at all: no two sets further apart in size do."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+_FOREST = "t int, key binary, id long, sk binary, n long, w long"
 
 
 def _forest(size_t: int):
-    schema = pa.schema([("t", pa.int32()), ("key", pa.binary()), ("id", pa.int64()), ("sk", pa.binary()), ("w", pa.int64())])
+    schema = pa.schema([("t", pa.int32()), ("key", pa.binary()), ("id", pa.int64()), ("sk", pa.binary()), ("n", pa.int64()), ("w", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,89 +132,102 @@ def _forest(size_t: int):
             for t in range(size_t):
                 keys = np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH]).view(f"S{4 * DEPTH}")
                 raw = keys.tobytes()
-                yield _batch({"t": np.full(n, t, np.int32), "key": [raw[k : k + 4 * DEPTH] for k in range(0, len(raw), 4 * DEPTH)], "id": batch.column(0), "sk": sk, "w": batch.column(2)}, schema)
+                yield _batch({"t": np.full(n, t, np.int32), "key": [raw[k : k + 4 * DEPTH] for k in range(0, len(raw), 4 * DEPTH)], "id": batch.column(0), "sk": sk, "n": batch.column(2), "w": batch.column(3)}, schema)
 
     return run
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float32()), ("t", pa.int32()), ("key", pa.binary()), ("id", pa.int64()), ("sk", pa.binary())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float32()), ("t", pa.int32()), ("key", pa.binary()), ("id", pa.int64()), ("sk", pa.binary()), ("n", pa.int64())])
+
 
+def _neighbours(least: float, percent: int, borders: bool):
+    """Over rows sorted by (t, key, id): pairs of neighbours; with borders, also the first and last rows themselves.
 
-def _neighbours(least: float, borders: bool):
-    """Over rows sorted by (t, key, id): pairs of neighbours; with borders, also the first and last rows themselves."""
+    A row is handled once the NEAR rows after it are there and with CROWD rows before it still at hand, so what is paired
+    does not depend on how the rows come in batches.
+    """
 
     def arrays(batch: pa.RecordBatch):
         n = batch.num_rows
         key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(n, DEPTH)
         sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.uint8).reshape(n, -1)
-        return batch.column("t").to_numpy(), key, batch.column("id").to_numpy(), sk
+        return batch.column("t").to_numpy(), key, batch.column("id").to_numpy(), sk, batch.column("n").to_numpy()
 
-    def edge(rows: list) -> pa.RecordBatch:
-        t, key, ident, sk = (np.concatenate(x) for x in zip(*rows, strict=True))
-        n = len(t)
-        none = [None] * n
-        return _batch({"a": none, "b": none, "est": none, "t": t.astype(np.int32), "key": [k.tobytes() for k in key], "id": ident, "sk": [s.tobytes() for s in sk]}, _PAIRS)
+    def edge(rows: tuple) -> pa.RecordBatch:
+        t, key, ident, sk, size = rows
+        none = [None] * len(t)
+        return _batch({"a": none, "b": none, "est": none, "t": t.astype(np.int32), "key": [k.tobytes() for k in key], "id": ident, "sk": [s.tobytes() for s in sk], "n": size}, _PAIRS)
 
     def pairs(ident: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray) -> pa.RecordBatch:
         none = [None] * len(i)
-        return _batch({"a": np.minimum(ident[i], ident[j]), "b": np.maximum(ident[i], ident[j]), "est": est.astype(np.float32), "t": none, "key": none, "id": none, "sk": none}, _PAIRS)
+        return _batch({"a": np.minimum(ident[i], ident[j]), "b": np.maximum(ident[i], ident[j]), "est": est.astype(np.float32), "t": none, "key": none, "id": none, "sk": none, "n": none}, _PAIRS)
+
+    def handled(held: tuple, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+        """Pairs whose first row lies in begin..end of the held rows."""
+        t, key, ident, sk, size = held
+        rows = len(t)
+        same = (t[1:] == t[:-1]) & (key[1:, :MIN_DEPTH] == key[:-1, :MIN_DEPTH]).all(1)
+        region = np.concatenate([[0], np.cumsum(~same)])
+        crowded = np.bincount(region)[region] > CROWD
+        dense = np.flatnonzero(crowded[begin:end]) + begin
+        place = np.full(rows, -1)
+        place[dense] = np.arange(len(dense))
+        likely, rank = np.zeros((len(dense), NEAR), np.float32), np.zeros((len(dense), NEAR), np.float32)
+        for o in range(1, min(NEAR, rows - begin - 1) + 1):
+            i = np.arange(begin, min(end, rows - o))
+            i = i[region[i] == region[i + o]]
+            if not len(i):
+                break  # no region is this long
+            i = i[(ident[i] != ident[i + o]) & _size_fits(size[i], size[i + o], percent)]
+            est = _agree(sk[i], sk[i + o])
+            i, est = i[est >= least], est[est >= least]
+            far = crowded[i]
+            common = np.cumprod(key[i[far]] == key[i[far] + o], axis=1).sum(1)
+            likely[place[i[far]], o - 1] = est[far]
+            rank[place[i[far]], o - 1] = common + est[far]
+            if not far.all():
+                yield pairs(ident, i[~far], i[~far] + o, est[~far])
+        if len(dense):
+            top = np.argsort(-rank, axis=1, kind="stable")[:, :BEST]
+            row, col = np.nonzero(np.take_along_axis(rank, top, 1))
+            o = top[row, col]
+            if len(row):
+                yield pairs(ident, dense[row], dense[row] + o + 1, likely[row, o])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, seen = None, 0
+        held, begin, seen = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = arrays(batch)
             if borders and seen < NEAR:
-                yield edge([tuple(x[: NEAR - seen] for x in now)])
-            old = 0 if carry is None else len(carry[0])
-            t, key, ident, sk = now if carry is None else (np.concatenate(x) for x in zip(carry, now, strict=True))
-            n = len(t)
-            seen += n - old
-            same = (t[1:] == t[:-1]) & (key[1:, :MIN_DEPTH] == key[:-1, :MIN_DEPTH]).all(1)
-            run_id = np.concatenate([[0], np.cumsum(~same)])
-            crowded = np.bincount(run_id)[run_id] > CROWD
-            dense = np.flatnonzero(crowded)
-            place = np.full(n, -1)
-            place[dense] = np.arange(len(dense))
-            scores = np.zeros((len(dense), NEAR), np.float32)
-            for o in range(1, min(NEAR, n - 1) + 1):
-                i = np.arange(max(0, old - o), n - o)
-                i = i[run_id[i] == run_id[i + o]]
-                if not len(i):
-                    break  # no region is this long
-                i = i[ident[i] != ident[i + o]]
-                est = _agree(sk[i], sk[i + o])
-                i, est = i[est >= least], est[est >= least]
-                far = crowded[i]
-                scores[place[i[far]], o - 1] = est[far]
-                if not far.all():
-                    yield pairs(ident, i[~far], i[~far] + o, est[~far])
-            if len(dense):
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :BEST]
-                row, col = np.nonzero(np.take_along_axis(scores, top, 1))
-                o = top[row, col]
-                if len(row):
-                    yield pairs(ident, dense[row], dense[row] + o + 1, scores[row, o])
-            carry = tuple(x[-NEAR:] for x in (t, key, ident, sk))
-        if borders and carry is not None and seen > NEAR:
-            tail = min(NEAR, seen - NEAR)
-            yield edge([tuple(x[-tail:] for x in carry)])
+                yield edge(tuple(x[: NEAR - seen] for x in now))
+            seen += batch.num_rows
+            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            end = len(held[0]) - NEAR
+            if end > begin:
+                yield from handled(held, begin, end)
+                cut = max(0, end - CROWD)
+                held, begin = tuple(x[cut:] for x in held), end - cut
+        if held is not None:
+            yield from handled(held, begin, len(held[0]))
+            if borders and seen > NEAR:
+                yield edge(tuple(x[-min(NEAR, seen - NEAR) :] for x in held))
 
     return run
 
 
-def _to_hub(least: float):
+def _to_hub(least: float, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, h = batch.column("id").to_numpy(), batch.column("hub").to_numpy()
+            x, h, n, m = (batch.column(c).to_numpy() for c in ("id", "hub", "n", "hub_n"))
             sk, hsk = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(x), -1) for c in ("sk", "hub_sk"))
             est = _agree(sk, hsk)
-            ok = (est >= least) & (x != h)
+            ok = (est >= least) & (x != h) & _size_fits(n, m, percent)
             yield _batch({"a": np.minimum(x, h)[ok], "b": np.maximum(x, h)[ok], "est": est[ok].astype(np.float32)}, schema)
 
     return run
@@ -408,23 +428,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = _least_agreement(percent / 100)
     sketch = materialize(text.mapInArrow(_sketches(shingle_words), "doc_id long, n_shingles long, fp binary, sig binary"), "sketch")
     nodes = sketch.filter("doc_id is not null and fp is not null")
-    reps = materialize(nodes.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("w")), "nodes")
+    reps = materialize(nodes.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("w")), "nodes")
 
-    grown = reps.select("rep", "sig", "w").mapInArrow(_forest(TREES), _FOREST).withColumn("p", F.xxhash64("t", F.substring("key", 1, 4 * MIN_DEPTH)))
+    grown = reps.select("rep", "sig", "n", "w").mapInArrow(_forest(TREES), _FOREST).withColumn("p", F.xxhash64("t", F.substring("key", 1, 4 * MIN_DEPTH)))
     regions = materialize(grown.groupBy("p").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "regions")
     shared = grown.filter(KeyFilter(regions, ["p"], FILTER_BITS).hit("p"))
-    spread = shared.select("t", "key", "id", "sk").repartitionByRange("t", "key", "id").sortWithinPartitions("t", "key", "id")
-    pair_schema = "a long, b long, est float, t int, key binary, id long, sk binary"
-    found = materialize(spread.mapInArrow(_neighbours(least, True), pair_schema), "pairs")
-    border = found.filter("t is not null").select("t", "key", "id", "sk").distinct().repartition("t").sortWithinPartitions("t", "key", "id")
-    crossing = border.mapInArrow(_neighbours(least, False), pair_schema)
+    row = ["t", "key", "id", "sk", "n"]
+    spread = shared.select(*row).repartitionByRange("t", "key", "id").sortWithinPartitions("t", "key", "id")
+    pair_schema = "a long, b long, est float, t int, key binary, id long, sk binary, n long"
+    found = materialize(spread.mapInArrow(_neighbours(least, percent, True), pair_schema), "pairs")
+    # a region that lies in several partitions meets again among their border rows
+    border = found.filter("t is not null").select(*row).distinct().repartition("t", F.substring("key", 1, 4 * MIN_DEPTH)).sortWithinPartitions("t", "key", "id")
+    crossing = border.mapInArrow(_neighbours(least, percent, False), pair_schema)
 
     crowd = regions.filter(F.col("m") > CROWD)
     # written, so that no task holds the Python workers of two steps
     members = materialize(grown.filter(KeyFilter(crowd, ["p"], FILTER_BITS).hit("p")), "crowd")
-    paths = members.groupBy("p", "key").agg(F.sum("w").alias("w"), F.min("id").alias("hub"), F.min("sk").alias("hub_sk"))
-    hubs = paths.groupBy("p").agg(F.max(F.struct("w", F.negative("hub").alias("o"), "hub", "hub_sk")).alias("h")).select("p", "h.hub", "h.hub_sk").join(crowd, "p", "left_semi")
-    to_hub = members.select("p", "id", "sk").join(hubs, "p").mapInArrow(_to_hub(least), "a long, b long, est float")
+    paths = members.groupBy("p", "key").agg(F.sum("w").alias("w"), F.min(F.struct(F.col("id").alias("hub"), F.col("sk").alias("hub_sk"), F.col("n").alias("hub_n"))).alias("h"))
+    hubs = paths.groupBy("p").agg(F.max(F.struct("w", F.negative("h.hub").alias("o"), "h")).alias("x")).select("p", "x.h.*").join(crowd, "p", "left_semi")
+    to_hub = members.select("p", "id", "sk", "n").join(hubs, "p").mapInArrow(_to_hub(least, percent), "a long, b long, est float")
 
     candidates = found.filter("t is null").select("a", "b", "est").union(crossing.select("a", "b", "est")).union(to_hub)
     edges = materialize(candidates.groupBy("a", "b").agg(F.max("est").alias("est")), "edges")
