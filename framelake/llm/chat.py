@@ -4,11 +4,14 @@ Every turn is rendered as ``<s>role\\ntext</s>``; in roles and texts the charact
 escaped (``~`` ``<`` ``[`` become ``~0`` ``~1`` ``~2``, a line feed in a role ``~3``), so no text can end its turn and
 ``unescape`` gives every text back.
 
-Windows are spans of whole turns chosen by prefix sums: the turns of a conversation are laid end to end by token
-count, and a turn is new in window floor(tokens before it / stride). A window also repeats the conversation's leading
-system turn and those turns of the window before that begin at most ``history`` tokens before its first new turn. A
-turn is never cut, so a window holds less than stride + history tokens, the system turn and one longest turn. The
-loss mask lists the assistant texts that are new in the window; repeated targets are masked, so each counts once.
+Windows are spans of whole turns chosen by prefix sums, and hold ``budget`` tokens at most. The leading system turn opens
+every window. What it and ``history`` leave of the budget is the room for new turns. The other turns are laid end to end
+on a line marked off in lengths of that room: turns that lie between two marks form a span; a turn that a mark cuts joins
+the span before it if both fit the room together, or is a span of its own. A window repeats the turns before its first
+new one, from the window before, that begin at most ``history`` tokens before it and still fit the budget. A turn is
+never cut: only a window whose system turn and one new turn are too long by themselves is over the budget, and then it
+repeats nothing. The loss mask lists the assistant texts that are new in the window; repeated targets are masked, so each
+counts once.
 
 Prefix sums have two levels, blocks of 64 turn numbers and turns within a block, so a conversation with a third of all
 rows is spread over many tasks. A turn's tokens are its rendered UTF-8 bytes over ``bytes_per_token``, rounded up.
@@ -41,35 +44,47 @@ def unescape(c: Column, pairs=ESCAPES) -> Column:
     return c
 
 
-def format_windows(turns: DataFrame, stride: int = 512, history: int = 128, bytes_per_token: int = 4) -> DataFrame:
-    """One row per window: conv_id, window, text, carried (code points of its repeated turns), loss (spans start, length)."""
+def format_windows(turns: DataFrame, budget: int = 640, history: int = 128, bytes_per_token: int = 4) -> DataFrame:
+    """One row per window: conv_id, window, text, carried (code points of its repeated turns), tokens, loss (spans start, length)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit("<s>"), escape(role, ROLE_ESCAPES), F.lit("\n"))
     t = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), head.alias("head"), escape(text).alias("body"))
     t = t.withColumn("shown", F.concat("head", "body", F.lit("</s>"))).withColumn("tokens", F.ceil(F.octet_length("shown") / F.lit(bytes_per_token)).cast("long"))
     t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK)), F.lit(-(1 << 60))))
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"in_block": F.coalesce(F.sum("tokens").over(inside), F.lit(0)), "at": F.count("tokens").over(inside)})
     over = Window.partitionBy("conv_id").orderBy("block")
-    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows"))
-    blocks = blocks.select(F.col("conv_id").alias("bc"), F.col("block").alias("bb"), (F.sum("n").over(over) - F.col("n")).alias("n0"), (F.sum("rows").over(over) - F.col("rows")).alias("r0"))
+    first = F.min(F.struct("turn", "role", "text", "tokens"))
+    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows"), first.alias("first"))
+    lead = F.first("first").over(over)
+    blocks = blocks.select(F.col("conv_id").alias("bc"), F.col("block").alias("bb"), (F.sum("n").over(over) - F.col("n")).alias("n0"), (F.sum("rows").over(over) - F.col("rows")).alias("r0"), F.when(lead["role"] == "system", lead["tokens"]).otherwise(0).alias("system"))
+    t = t.withColumns({"in_block": F.coalesce(F.sum("tokens").over(inside), F.lit(0)), "at": F.count("tokens").over(inside)})
     t = t.join(blocks, F.col("conv_id").eqNullSafe(F.col("bc")) & (F.col("block") == F.col("bb")))
-    t = t.select("conv_id", "role", "head", "body", "shown", "tokens", (F.col("n0") + F.col("in_block")).alias("before"), (F.col("r0") + F.col("at")).alias("pos"))
-    t = t.withColumn("window", F.floor(F.col("before") / F.lit(stride)))
-
-    spans = t.groupBy("conv_id", "window").agg(F.min("before").alias("begins"), F.min("pos").alias("first"))
+    # tokens before a turn, the system turn left out; that turn itself lies before 0
+    t = t.select("conv_id", "role", "head", "body", "shown", "tokens", "system", (F.col("n0") + F.col("in_block") - F.col("system")).alias("before"), (F.col("r0") + F.col("at")).alias("pos"))
+    opens = (F.col("pos") == 0) & (F.col("system") > 0)
+    room = F.greatest(F.lit(1), F.lit(budget - history) - F.col("system"))
+    t = t.withColumns({"opens": opens, "room": room, "cell": F.when(opens, 0).otherwise(F.floor(F.col("before") / room))})
+    t = t.withColumn("cut", ~F.col("opens") & (F.floor((F.col("before") + F.col("tokens") - 1) / F.col("room")) > F.col("cell")))
+    beside = F.coalesce(F.sum(F.when(~F.col("cut") & ~F.col("opens"), F.col("tokens"))).over(Window.partitionBy("conv_id", "cell")), F.lit(0))
+    alone = F.col("cut") & (beside > 0) & (beside + F.col("tokens") > F.col("room"))
+    t = t.withColumn("window", 2 * F.col("cell") + F.when(alone, 1).otherwise(0)).drop("cell", "cut")
+
+    fresh = F.coalesce(F.sum(F.when(~F.col("opens"), F.col("tokens"))), F.lit(0))
+    spans = t.groupBy("conv_id", "window").agg(F.min(F.when(~F.col("opens"), F.col("before"))).alias("begins"), F.min("pos").alias("first"), (F.lit(budget) - F.max("system") - fresh).alias("left"))
     ahead = Window.partitionBy("conv_id").orderBy("window")
-    spans = spans.select(F.col("conv_id").alias("sc"), F.col("window").alias("sw"), "first", F.lead("window").over(ahead).alias("next"), F.lead("begins").over(ahead).alias("next_begins"))
-    system = t.filter((F.col("pos") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("yc"), F.col("shown").alias("system"))
+    spans = spans.select(F.col("conv_id").alias("sc"), F.col("window").alias("sw"), "first", *(F.lead(c).over(ahead).alias(f"next_{c}") for c in ("window", "begins", "left")))
+    system = t.filter("opens").select(F.col("conv_id").alias("yc"), F.col("shown").alias("shown"), "tokens")
 
     t = t.join(spans, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("window") == F.col("sw")))
-    repeated = F.col("next").isNotNull() & (F.col("next_begins") - F.col("before") <= history) & ~((F.col("pos") == 0) & (F.col("role") == "system"))
+    repeated = F.col("next_window").isNotNull() & (F.col("next_begins") - F.col("before") <= F.least(F.lit(history), F.col("next_left"))) & ~F.col("opens")
     as_new = F.struct(F.col("window").alias("window"), F.lit(2).alias("kind"))
-    as_old = F.struct(F.col("next").alias("window"), F.lit(1).alias("kind"))
+    as_old = F.struct(F.col("next_window").alias("window"), F.lit(1).alias("kind"))
     copies = F.explode(F.when(repeated, F.array(as_new, as_old)).otherwise(F.array(as_new)))
-    placed = t.select("conv_id", "pos", "role", "head", "body", "shown", copies.alias("c")).select("conv_id", "c.window", "c.kind", "pos", "role", "head", "body", "shown")
+    columns = ["conv_id", "window", "kind", "pos", "role", "head", "body", "shown", "tokens"]
+    placed = t.select("conv_id", "pos", "role", "head", "body", "shown", "tokens", copies.alias("c")).select("conv_id", "c.window", "c.kind", "pos", "role", "head", "body", "shown", "tokens")
     kept = spans.filter("first > 0").join(system, F.col("sc").eqNullSafe(F.col("yc")))
-    placed = placed.unionByName(kept.select(F.col("sc").alias("conv_id"), F.col("sw").alias("window"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit("system").alias("role"), F.lit("").alias("head"), F.lit("").alias("body"), F.col("system").alias("shown")))
+    none = F.lit("")
+    placed = placed.unionByName(kept.select(F.col("sc").alias("conv_id"), F.col("sw").alias("window"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit("system").alias("role"), none.alias("head"), none.alias("body"), "shown", "tokens").select(*columns))
 
     size = F.char_length("shown").cast("long")
     so_far = Window.partitionBy("conv_id", "window").orderBy("kind", "pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,8 +94,9 @@ def format_windows(turns: DataFrame, stride: int = 512, history: int = 128, byte
         F.array_sort(F.collect_list(F.struct("kind", "pos", "shown"))).alias("parts"),
         F.sum(F.when(F.col("kind") < 2, size).otherwise(0)).alias("carried"),
         F.array_sort(F.collect_list(span)).alias("loss"),
+        F.sum("tokens").alias("tokens"),
     )
-    return out.select("conv_id", "window", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("text"), "carried", "loss")
+    return out.select("conv_id", "window", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("text"), "carried", "tokens", "loss")
 
 
 def read_back(windows: DataFrame) -> DataFrame:

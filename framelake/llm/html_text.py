@@ -2,10 +2,14 @@
 
 The builder keeps the stack of open elements: void elements have no content, a block start closes an open paragraph,
 list items, table parts, options and definition terms close their own kind, an end tag closes what is open inside its
-element, and a stray end tag is ignored. Invisible are head matter, scripts, styles, templates, form internals, and
-elements with ``hidden``, ``display:none`` or ``visibility:hidden`` (with all that they hold). The renderer collapses
-white space outside ``pre``, sets paragraphs and headings apart by a blank line and other blocks by a line break,
-marks list items with ``-`` or their number, indents nested lists, and pads table cells so that columns align.
+element, and a stray end tag is ignored. Invisible are head matter, scripts, styles, templates, what stands in for media
+and frames, closed dialogs, notes of formulas and drawings, and elements with ``hidden`` or ``display:none``, with all
+that they hold; text under ``visibility:hidden`` is invisible until an element within says ``visible``. Both properties
+come from ``style`` attributes and from the page's own style sheets (rules of tags, classes and ids, without combinators
+or conditions, for what follows them). Options, text areas and closed details count as visible, attribute values do not.
+The renderer collapses white space outside ``pre``, sets paragraphs and headings apart by a blank line and other blocks by
+a line break, marks list items with ``-`` or their number, indents nested lists, and pads table cells so that columns
+align: a cell of several columns is as wide as they are, one of several rows keeps its columns in the rows below.
 
 Each page is read once, whole, by its task. Defined cases: null or empty HTML gives an empty text; unclosed tags,
 comments and quotes end with the page; null ids and repeated rows give a row each; further columns are ignored.
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,9 +35,9 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript textarea select datalist iframe object audio video canvas svg math noembed noframes dialog".split())
+HIDDEN = frozenset("head title script style template noscript datalist iframe object audio video canvas noembed noframes rp desc metadata defs annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure article section".split())
-BLOCK = SPACED | frozenset("html body div header footer main nav aside form fieldset address li dt dd hr figcaption center summary details caption tr td th thead tbody tfoot legend menu".split())
+BLOCK = SPACED | frozenset("html body div header footer main nav aside form fieldset address li dt dd hr figcaption center summary details caption tr td th thead tbody tfoot legend menu dialog option optgroup".split())
 #: What a start tag closes, and the elements that stop the search.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
@@ -103,23 +108,105 @@ def _width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s) if not s.isascii() else len(s)
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells of lines as text: every column as wide as its widest line, two spaces between columns."""
-    rows = [r for r in rows if any(any(c) for c in r)]
-    widths = [max((_width(x) for r in rows if k < len(r) for x in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
+Cell = tuple[list[str], int, int]
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Rows of cells (lines, columns, rows) as text: every column as wide as its widest line, two spaces between columns."""
+    placed, below = [], []
+    for cells in rows:
+        at, row, lower = 0, [], []
+        for lines, wide, high in cells:
+            for start, end, _ in sorted(below):
+                at = end if start <= at < end else at
+            row.append((at, at + wide, lines))
+            if high > 1:
+                lower.append((at, at + wide, high - 1))
+            at += wide
+        below = [(start, end, left - 1) for start, end, left in below if left > 1] + lower
+        if any(any(lines) for _, _, lines in row):
+            placed.append(row)
+    starts = sorted({start for row in placed for start, _, _ in row})
+    widths = [0] * len(starts)
+    spans = [(bisect_left(starts, start), bisect_left(starts, end), max(map(_width, lines), default=0)) for row in placed for start, end, lines in row]
+    for first, end, need in sorted(spans, key=lambda s: s[1] - s[0]):
+        widths[end - 1] += max(0, need - sum(widths[first:end]) - 2 * (end - first - 1))
+    offsets = [sum(widths[:k]) + 2 * k for k in range(len(widths))]
     out = []
-    for r in rows:
-        for n in range(max(len(c) for c in r)):
-            cells = [c[n] if n < len(c) else "" for c in r]
-            out.append("  ".join(x + " " * (w - _width(x)) for x, w in zip(cells, widths, strict=False)).rstrip(" "))
+    for row in placed:
+        for n in range(max(len(lines) for _, _, lines in row)):
+            line, used = "", 0
+            for start, _, lines in row:
+                if n < len(lines) and lines[n]:
+                    pad = max(0, offsets[bisect_left(starts, start)] - used)
+                    line, used = line + " " * pad + lines[n], used + pad + _width(lines[n])
+            out.append(line.rstrip(" "))
     return out
 
 
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"(?:[^;\"'(]++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|\([^)]*+(?:\)|\Z))++")
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
+
+
+def declared(style: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a declaration list: (important, value); of equal rank the last counts."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in _DECLARATION.finditer(style):
+        name, _, value = m[0].partition(":")
+        name = name.strip().lower()
+        if name in ("display", "visibility"):
+            value = value.strip().lower()
+            important = value.endswith("!important")
+            value = value.removesuffix("!important").strip()
+            if value and (important or not out.get(name, (False,))[0]):
+                out[name] = important, value
+    return out
+
+
+def sheet_rules(css: str) -> list[tuple[str | None, frozenset, dict]]:
+    """Rules (tag, classes and ids with their signs, declarations) of a style sheet; rules under conditions are left out."""
+    rules, at, css = [], 0, _COMMENT.sub(" ", css)
+    while (brace := css.find("{", at)) >= 0:
+        head, depth, end = css[at:brace].strip(), 1, brace + 1
+        while depth and end < len(css):
+            depth += {"{": 1, "}": -1}.get(css[end], 0)
+            end += 1
+        body, at = css[brace + 1 : end - 1 if not depth else end], end
+        head = head.rpartition(";")[2].strip()
+        said = {} if head.startswith("@") else declared(body)
+        for selector in head.split(",") if said else ():
+            m = _SELECTOR.match(selector.strip())
+            if m and m[0]:
+                rules.append((None if m[1] in (None, "*") else m[1].lower(), frozenset(re.findall(r"[.#][\w-]+", m[2])), said))
+    return rules
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        value = m[2] or m[3] or m[4] or ""
+        out.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return out
+
+
+def span_of(value: str | None, most: int) -> int:
+    """Columns or rows of a cell; what is no number from 1 on is 1, and ``most`` is the most that HTML knows."""
+    m = re.match(r"\s*\+?(\d{1,9})", value or "")
+    return min(max(1, int(m[1])), most) if m else 1
+
+
 class _Builder:
     def __init__(self) -> None:
         self.flows = [_Flow()]
-        self.stack: list[tuple[str, bool]] = []
+        #: Open elements: tag, whether it is not displayed, and whether text was visible before it.
+        self.stack: list[tuple[str, bool, bool]] = []
         self.hidden = 0
+        self.visible = True
+        self.rules: list = []
+        #: Columns and rows of the open cells.
+        self.cells: list[tuple[int, int]] = []
         self.pre = 0
         self.lists: list[list] = []
         self.tables: list[list] = []
@@ -129,7 +216,7 @@ class _Builder:
         return self.flows[-1]
 
     def text(self, raw: str) -> None:
-        if not self.hidden and raw:
+        if not self.hidden and self.visible and raw:
             self.flow.add(html.unescape(raw).replace("\xa0", " ") if "&" in raw else raw, self.pre > 0)
 
     def start(self, tag: str, attrs: str) -> None:
@@ -144,8 +231,12 @@ class _Builder:
                 elif tag == "hr":
                     self.flow.apart()
             return
-        gone = tag in HIDDEN or (bool(attrs) and self._unseen(attrs))
-        self.stack.append((tag, gone))
+        named = attributes(attrs) if attrs else {}
+        display, visibility = self._shown(tag, named) if named or self.rules else (None, None)
+        gone = tag in HIDDEN or display == "none" or (tag == "dialog" and "open" not in named and display is None) or ("hidden" in named and display is None)
+        self.stack.append((tag, gone, self.visible))
+        if visibility is not None:
+            self.visible = visibility == "visible" or (visibility not in ("hidden", "collapse") and self.visible)
         if gone:
             self.hidden += 1
         if self.hidden:
@@ -159,6 +250,7 @@ class _Builder:
             if not self.tables[-1]:
                 self.tables[-1].append([])
             self.flows.append(_Flow())
+            self.cells.append((span_of(named.get("colspan"), 1000), span_of(named.get("rowspan"), 65534)))
         elif tag in SPACED and not (tag in ("ul", "ol") and self.lists):
             self.flow.apart()
         elif tag in BLOCK:
@@ -172,20 +264,23 @@ class _Builder:
             self.flow.mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
         elif tag in ("dd", "blockquote"):
             self.flow.indent += 1
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             self.pre += 1
 
-    @staticmethod
-    def _unseen(attrs: str) -> bool:
-        for m in _ATTR.finditer(attrs):
-            name = m[1].lower()
-            if name == "hidden":
-                return True
-            if name == "style":
-                style = re.sub(r"\s+", "", (m[2] or m[3] or m[4] or "").lower())
-                if "display:none" in style or "visibility:hidden" in style:
-                    return True
-        return False
+    def _shown(self, tag: str, named: dict[str, str]) -> tuple[str | None, str | None]:
+        """display and visibility as the page's rules and the element's own style say, by importance, then precision, then order."""
+        found: dict[str, tuple] = {}
+        if self.rules:
+            signs = {"." + c for c in named.get("class", "").split()} | ({"#" + named["id"].strip()} if named.get("id", "").strip() else set())
+            for order, (of, wanted, said) in enumerate(self.rules):
+                if (of is None or of == tag) and wanted <= signs:
+                    precision = (sum(w[0] == "#" for w in wanted), sum(w[0] == "." for w in wanted), of is not None)
+                    for name, (important, value) in said.items():
+                        found[name] = max(found.get(name, ()), (important, False, precision, order, value))
+        if "style" in named:
+            for name, (important, value) in declared(named["style"]).items():
+                found[name] = max(found.get(name, ()), (important, True, (0, 0, False), 0, value))
+        return tuple(found[n][-1] if n in found else None for n in ("display", "visibility"))
 
     def _close_upto(self, tags: set, stop) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -213,15 +308,14 @@ class _Builder:
         return
 
     def _pop(self) -> None:
-        tag, gone = self.stack.pop()
+        tag, gone, self.visible = self.stack.pop()
         if gone:
             self.hidden -= 1
             return
         if self.hidden:
             return
         if tag in ("td", "th") and self.tables and len(self.flows) > 1:
-            cell = self.flows.pop().done()
-            self.tables[-1][-1].append(cell)
+            self.tables[-1][-1].append((self.flows.pop().done(), *self.cells.pop()))
             return
         if tag == "table" and self.tables:
             self.flow.block(aligned(self.tables.pop()))
@@ -233,7 +327,7 @@ class _Builder:
             self.flow.end()
             self.flow.indent = max(0, self.flow.indent - 1)
             self.flow.mark = None
-        if tag == "pre":
+        if tag in ("pre", "textarea"):
             self.pre = max(0, self.pre - 1)
         if tag in SPACED and not (tag in ("ul", "ol") and self.lists):
             self.flow.apart()
@@ -266,6 +360,8 @@ def render(page: str) -> str:
                 if tag in RAW:
                     close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
                     stop = close.start() if close else len(page)
+                    if tag == "style":
+                        b.rules += sheet_rules(page[at:stop])
                     b.text(page[at:stop])
                     at = stop
                     if not close:

@@ -1,8 +1,9 @@
 """License scan: fixed phrases, and template-markup matching with token automata.
 
-Templates hold plain wording with two kinds of markup: ``<<opt ...>>`` may be left out, ``<<any N>>`` stands for up to N
-replaceable words. A template compiles into a token automaton; a text is accepted where the mandatory wording matches
-word for word. Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and characters beyond ASCII, so
+Templates hold plain wording with markup: ``<<opt ...>>`` may be left out, ``<<any N>>`` stands for up to N replaceable
+words, and after ``<<not ...>>`` at the end none of its words may follow. A template compiles into a token automaton; a
+text is accepted where the mandatory wording matches word for word up to its last word. License texts are whole: their
+grant, conditions and disclaimer must all be there. Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and characters beyond ASCII, so
 punctuation and line breaks don't matter. Automata start only at words that can begin a template.
 
 Defined cases: null text counts as empty; an empty text has no words and no labels; repeated rows and null ids give a
@@ -25,20 +26,45 @@ from .common import ALNUM, bounded_batches
 #: Phrases and labels of the base scan.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label and template. Wording of public license notices.
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt including the next paragraph>> shall be included in all copies or substantial portions of the software"
+_MIT_DISCLAIMER = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<opt the>> <<any 8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<any 1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "<<any 1>> neither the name of <<any 12>> nor the names of <<any 3>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_DISCLAIMER = "this software is provided by <<any 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_ISC = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any 6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any 6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+_FREE = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation <<opt either>> version"
+_SPDX = "spdx license identifier"
+
+#: Label and template. Wording of public license notices and texts; a label with a version needs the version's words.
 TEMPLATES = [
-    ("apache-2.0", "licensed under <<opt the terms of>> the apache license <<opt version 2 0>>"),
-    ("apache-2.0", "<<opt licensed under the apache license version 2 0>> <<opt the license>> you may not use this file except in compliance with the license"),
-    ("gpl", "this <<any 4>> is licensed under the gnu <<opt lesser>> <<opt affero>> general public license <<opt version>> <<any 1>>"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<opt either>> version <<any 2>> of the license <<opt or at your option any later version>>"),
-    ("mit", "<<opt this software is>> released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("apache-2.0", "licensed under <<opt the terms of>> the apache license <<opt the license>> version 2 0"),
+    ("apache-2.0", f"{_SPDX} apache 2 0"),
+    ("gpl", "this <<any 4>> is licensed under the gnu general public license"),
+    ("lgpl", "this <<any 4>> is licensed under the gnu lesser general public license"),
+    ("agpl", "this <<any 4>> is licensed under the gnu affero general public license"),
+    ("gpl", _FREE.format("general public license")),
+    ("lgpl", _FREE.format("lesser general public license")),
+    ("agpl", _FREE.format("affero general public license")),
+    ("gpl", f"{_SPDX} gpl <<any 1>> 0"),
+    ("lgpl", f"{_SPDX} lgpl <<any 1>> <<any 1>>"),
+    ("agpl", f"{_SPDX} agpl 3 0"),
+    ("mit", "released under the mit license"),
+    ("mit", f"{_MIT_GRANT} {_MIT_DISCLAIMER}"),
+    ("mit", f"{_SPDX} mit <<not 0 advertising cmu enna feh festival khronos modern open testregex wu>>"),
     ("cc-by-nc-4.0", "licensed under <<opt the>> cc by nc <<opt license>> 4 0"),
     ("cc-by-4.0", "licensed under <<opt the>> cc by <<opt license>> 4 0"),
+    ("cc-by-sa-4.0", "licensed under <<opt the>> cc by sa <<opt license>> 4 0"),
+    ("cc-by-nd-4.0", "licensed under <<opt the>> cc by nd <<opt license>> 4 0"),
+    ("cc-by-nc-sa-4.0", "licensed under <<opt the>> cc by nc sa <<opt license>> 4 0"),
+    ("cc-by-nc-nd-4.0", "licensed under <<opt the>> cc by nc nd <<opt license>> 4 0"),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("spdx", "spdx license identifier <<any 3>>"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("bsd-3-clause", f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_DISCLAIMER}"),
+    ("bsd-2-clause", f"{_BSD_GRANT} {_BSD_DISCLAIMER}"),
+    ("bsd-2-clause", f"{_SPDX} bsd 2 clause <<not darwin first patent pkgconf views>>"),
+    ("bsd-3-clause", f"{_SPDX} bsd 3 clause <<not acpica attribution clear flex hp lbnl modification no open sun>>"),
+    ("isc", _ISC),
+    ("isc", f"{_SPDX} isc <<not veillard>>"),
     ("all-rights-reserved", "<<opt copyright>> <<any 6>> all rights reserved"),
 ]
 
@@ -50,6 +76,9 @@ class Automaton:
     """States are places between template elements; edges read one word, free edges read none."""
 
     def __init__(self, template: str):
+        template, _, never = template.partition("<<not ")
+        #: Words that may not come next.
+        self.never = {w.encode() for w in never.rstrip("> ").split()}
         parts = re.findall(r"<<opt ([^>]*)>>|<<any (\d+)>>|(\S+)", template)
         self.read: list[dict] = [{}]
         self.anything: list[list[int]] = [[]]
@@ -102,7 +131,7 @@ class Automaton:
         """Whether the template matches words from position at on."""
         states = self.first
         while True:
-            if self.final in states:
+            if self.final in states and not (at < len(words) and words[at] in self.never):
                 return True
             if at == len(words) or not states:
                 return False

@@ -85,14 +85,16 @@ ORACLES = {
              s AS (SELECT *, '<s>' || replace(replace(replace(replace(role, '~', '~0'), '<', '~1'), '[', '~2'), chr(10), '~3') || chr(10)
                           || replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2') || '</s>' AS shown FROM c),
              k AS (SELECT *, (strlen(shown) + 3) // 4 AS tokens, row_number() OVER o - 1 AS pos FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-             b AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS before FROM k),
-             w AS (SELECT *, before // 512 AS win FROM b),
-             p AS (SELECT conv_id, win, min(before) AS begins, min(pos) AS first FROM w GROUP BY ALL),
-             n AS (SELECT *, lead(begins) OVER (PARTITION BY conv_id ORDER BY win) AS next_begins FROM p),
-             y AS (SELECT conv_id, length(shown) AS len FROM w WHERE pos = 0 AND role = 'system'),
-             h AS (SELECT w.conv_id, sum(length(shown)) AS len FROM w JOIN n USING (conv_id, win)
-                   WHERE next_begins - before <= 128 AND NOT (pos = 0 AND role = 'system') GROUP BY ALL),
-             g AS (SELECT n.conv_id, sum(y.len) AS len FROM n JOIN y USING (conv_id) WHERE first > 0 GROUP BY ALL)
+             y AS (SELECT conv_id, tokens AS sys, length(shown) AS sys_len FROM k WHERE pos = 0 AND role = 'system'),
+             b AS (SELECT k.*, coalesce(sys, 0) AS sys, coalesce(sys_len, 0) AS sys_len, pos = 0 AND sys IS NOT NULL AS opens, greatest(1, 512 - coalesce(sys, 0)) AS room,
+                     sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens - coalesce(sys, 0) AS before FROM k LEFT JOIN y USING (conv_id)),
+             c AS (SELECT *, CASE WHEN opens THEN 0 ELSE before // room END AS cell, NOT opens AND (before + tokens - 1) // room > before // room AS cut FROM b),
+             d AS (SELECT *, coalesce(sum(tokens) FILTER (NOT cut AND NOT opens) OVER (PARTITION BY conv_id, cell), 0) AS beside FROM c),
+             w AS (SELECT *, 2 * cell + CASE WHEN cut AND beside > 0 AND beside + tokens > room THEN 1 ELSE 0 END AS win FROM d),
+             p AS (SELECT conv_id, win, min(before) FILTER (NOT opens) AS begins, min(pos) AS first, 640 - max(sys) - coalesce(sum(tokens) FILTER (NOT opens), 0) AS room_left FROM w GROUP BY ALL),
+             n AS (SELECT *, lead(begins) OVER o AS next_begins, lead(room_left) OVER o AS next_left FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY win)),
+             h AS (SELECT w.conv_id, sum(length(shown)) AS len FROM w JOIN n USING (conv_id, win) WHERE next_begins - before <= least(128, next_left) AND NOT opens GROUP BY ALL),
+             g AS (SELECT n.conv_id, sum(y.sys_len) AS len FROM n JOIN y USING (conv_id) WHERE first > 0 GROUP BY ALL)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -1,16 +1,19 @@
 """URL filter: longest-match rules, then host word segmentation and multinomial naive Bayes.
 
 1. Host and path are cut from the url; the longest rule that fits decides.
-2. Words come from the pages' own text, counted over all pages. A host label is split into words by a unigram Viterbi
-   pass. A label needs only the counts of its own substrings, so labels' substrings are joined to the word counts and
-   each label is solved alone: no vocabulary is broadcast or cut.
+2. Words come from the pages' visible text, counted over all pages. Pages print their own hosts, so a name that stands
+   between the dots of a host is counted apart: it does not vouch for itself when that label is split, though it does as
+   a part of others, and words set off by hyphens count as words. A label is split by a unigram Viterbi pass; a word
+   that was never counted costs ten over the total for its first, and ten times less for each letter. A label needs only
+   the counts of its own substrings, so labels' substrings are joined to the word counts and each label is solved alone:
+   no vocabulary is broadcast or cut.
 3. Host and path tokens train a multinomial naive Bayes model on the urls that rules decided (distant labels), and the
    others get the class with the larger posterior. Token weights are joined by token; distinct hosts and paths are
    scored once, and a hot token's rows are split by adaptive execution. Rows of one token leave each task pre-summed.
 
 Numbers in paths become one token per digit count, so page numbers carry no weight of their own.
 
-Defined cases: null urls and urls without ``://`` have empty host and path, fit no rule and are scored by the prior
+Defined cases: labels of more than 63 letters, which no host has, stay whole; null urls and urls without ``://`` have empty host and path, fit no rule and are scored by the prior
 alone; without urls that rules decided the verdict is allow; ties are allowed; null ids and repeated rows give a row
 each; further columns are ignored; an empty table gives an empty result.
 """
@@ -27,9 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, bounded_batches, materialize
+from .html_text import render
 
-LONGEST_WORD = 20
-_WORD = re.compile(r"[a-z]{1,20}")
+#: Fixed value: letters of a host label at most, by the rules of host names.
+LONGEST_LABEL = 63
+_WORD = re.compile(r"[a-z]+")
+#: Names joined by dots, as a host is printed; what stands between dots without a hyphen or digit is a whole label.
+_HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+")
 
 
 def host_of(url: Column) -> Column:
@@ -54,33 +61,42 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
+def count_words(text: str, counts: Counter, named: Counter) -> None:
+    """Add a text's words; those that are a whole label of a printed host are added to ``named`` as well."""
+    text = text.lower()
+    counts.update(_WORD.findall(text))
+    if "." in text:
+        named.update(label for host in _HOST.findall(text) for label in host.split(".") if label.isascii() and label.isalpha())
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of lower-case words; flushed before they grow large."""
-    counts: Counter = Counter()
+    """Partial counts of lower-case words of pages' visible text; flushed before they grow large."""
+    counts, named = Counter(), Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        n, m = list(counts.values()), [named[w] for w in counts]
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(n, pa.int64()), "named": pa.array(m, pa.int64())})
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(_WORD.findall((text or "").lower()))
+        for page in batch.column(0).to_pylist():
+            count_words(render(page or ""), counts, named)
             if len(counts) > 200_000:
                 yield out()
                 counts.clear()
+                named.clear()
     if counts:
         yield out()
 
 
 def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most probable split of a label by unigram word probabilities; unknown letters cost more the longer they run."""
+    """The most probable split of a label by unigram word probabilities; of equal ones that with the longest last word."""
     n = len(label)
+    if n > LONGEST_LABEL:
+        return [label]
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-    unknown = math.log(1 / (total + 1))
     for end in range(1, n + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
-            w = label[start:end]
-            c = counts.get(w, 0)
-            s = best[start] + (math.log(c / (total + 1)) if c else unknown - 3.0 * len(w))
+        for start in range(end):
+            s = best[start] + log_probability(label[start:end], counts, total)
             if s > best[end]:
                 best[end], back[end] = s, start
     words, at = [], n
@@ -90,6 +106,11 @@ def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
+def log_probability(word: str, counts: dict[str, int], total: int) -> float:
+    c = counts.get(word, 0)
+    return math.log(c / (total + 10)) if c else math.log(10 / (total + 10)) - len(word) * math.log(10)
+
+
 def _segment_batches(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,13 +122,15 @@ def _segment_batches(total: int):
 
 
 def segmented_labels(hosts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct labels (runs of a-z) of hosts (column host) and their words, by counts over texts (one column)."""
-    counts = materialize(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    """Distinct labels (runs of a-z) of hosts (column host) and their words, by counts over texts (one column of HTML)."""
+    counted = texts.mapInArrow(_count_words, "word string, n long, named long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("named").alias("named"))
+    counts = materialize(counted.filter(F.length("word") <= LONGEST_LABEL), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     labels = hosts.select(F.explode(F.regexp_extract_all("host", F.lit("([a-z]+)"), 1)).alias("label")).distinct()
-    piece = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.char_length("label"), F.lit(LONGEST_WORD))), lambda k: F.transform(F.sequence(F.lit(1), F.char_length("label") - k + 1), lambda s: F.substring(F.col("label"), s, k)))))
-    parts = labels.select("label", piece.alias("word")).distinct()
-    known = parts.join(counts, "word").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
+    piece = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length("label")), lambda k: F.transform(F.sequence(F.lit(1), F.char_length("label") - k + 1), lambda s: F.substring(F.col("label"), s, k)))))
+    parts = labels.filter(F.char_length("label") <= LONGEST_LABEL).select("label", piece.alias("word")).distinct()
+    free = F.col("n") - F.when(F.col("word") == F.col("label"), F.col("named")).otherwise(0)
+    known = parts.join(counts, "word").select("label", "word", free.alias("n")).filter("n > 0").groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
     return labels.join(known, "label", "left").select("label", "known").mapInArrow(_segment_batches(total), "label string, words array<string>")
 
 
