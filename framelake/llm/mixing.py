@@ -7,6 +7,11 @@ the domains' Gram matrix over documents whose rate is not 0 as scaling:
 
     r <- max(0, r - P g),   g = (G + eps)^-1 (A r - t)
 
+A step that does not bring the totals closer is taken back and made shorter, at last with the matrix of all documents,
+which always helps if anything does.
+The descent ends when the targets are met, or when it comes no closer: then the rates are the least squares' own best, and
+a warning tells by how much the targets are missed.
+
 A step needs one vector g for the whole table, so a document's rate follows from its posteriors and the short list of
 vectors so far. Each iteration is one pass that sums one vector of domains per task; nothing of a document is stored or
 sent anywhere, and a lost task is simply run again.
@@ -26,6 +31,7 @@ gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,21 +228,43 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_
 
 def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """The steps of the descent; a document's rate follows from them and its posteriors."""
-    steps: list[np.ndarray] = []
     k = len(DOMAINS)
     columns = [f"p_{d}" for d in DOMAINS]
-    goal = None
-    for _ in range(max_steps + 1):
+
+    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sums = table.select("n_tokens", *columns).mapInArrow(_sums(steps), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().set_index("k")["v"]
         v = sums.reindex(range(k + k * k), fill_value=0.0).to_numpy()
-        have, gram = v[:k], v[k:].reshape(k, k)
-        if goal is None:
-            goal = have[0] / targets[0] * np.array(targets)
-        miss = have - goal
-        whole = max(goal.sum(), 1.0)
-        if np.abs(miss).max() <= tolerance * whole or len(steps) == max_steps:
-            break
-        steps.append(np.linalg.solve(gram / whole + 1e-6 * np.eye(k), miss / whole))
+        return v[:k], v[k:].reshape(k, k)
+
+    return descend(totals, targets, max_steps, tolerance)
+
+
+def descend(totals, targets: tuple[float, ...], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
+    """totals(steps) gives the domains' expected tokens and the Gram matrix of documents that keep a rate."""
+    steps: list[np.ndarray] = []
+    have, gram = totals(steps)
+    goal = have[0] / targets[0] * np.array(targets)
+    whole = max(goal.sum(), 1.0)
+    ridge = 1e-6 * np.eye(len(goal))
+    safe = np.linalg.inv(gram / whole + ridge)
+    miss, scale, tries = (have - goal) / whole, safe, 0
+    for _ in range(max_steps):
+        if np.abs(miss).max() <= tolerance:
+            return steps
+        trial = [*steps, scale @ miss]
+        have, gram = totals(trial)
+        now = (have - goal) / whole
+        gain = miss @ safe @ miss - now @ safe @ now
+        if gain <= 1e-12 * (miss @ safe @ miss):
+            if scale is safe:
+                break
+            tries += 1
+            scale = scale / 4 if tries < 4 else safe
+            continue
+        steps, miss, tries = trial, now, 0
+        scale = np.linalg.inv(gram / whole + ridge)
+    if np.abs(miss).max() > tolerance:
+        warnings.warn(f"target shares are missed by {np.round(np.abs(miss), 5).tolist()} of all tokens", stacklevel=2)
     return steps
 
 
