@@ -18,8 +18,9 @@ from framelake.llm.common import materialize, table, without_ids
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or in no known language go; the source serves as host, lang as declared language."""
-    rows = docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("declared"), F.lit(None).cast("string").alias("named"))
+    """Documents without letters or in no known language go; the source serves as host. lang teaches the model and is no evidence."""
+    none = F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", F.col("source").alias("host"), none.alias("declared"), none.alias("named"))
     found = language.identify(rows, language.fit(docs), ["doc_id"])
     return without_ids(docs, "doc_id", found.filter(~F.col("kept")).select("doc_id"))
 

@@ -34,3 +34,9 @@ def rgb332(r: Column, g: Column, b: Column, a: Column, threshold: int, reserve:
 
 def distance(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
     return sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0)).cast("long")
+
+
+def palette332() -> list[int]:
+    """The fixed 3-3-2 palette: every level spread over 0..255."""
+    level = lambda v, top: (v * 255 + top // 2) // top
+    return [level(i >> 5, 7) << 16 | level(i >> 2 & 7, 7) << 8 | level(i & 3, 3) for i in range(256)]

@@ -171,10 +171,22 @@ def control_block(delay: int, disposal: int = 0, transparent: int | None = None)
 ENCODERS = {"literal": lzw.encode_literal, "runs": lzw.encode_runs, "dictionary": lzw.encode_dictionary}
 
 
-def image(x: int, y: int, width: int, height: int, indices: bytes, colors: int, encoder: str = "runs", local: list[int] | None = None) -> bytes:
-    """One image with the shortest of the literal stream and the encoder's."""
-    m = max(2, (padded_colors(colors) - 1).bit_length())
-    codes = min((ENCODERS[e](indices, m) for e in dict.fromkeys(("literal", "runs", encoder) if encoder == "dictionary" else ("literal", encoder))), key=len)
+def compressed(indices: bytes, m: int, encoder: str, filled: bytes | None = None) -> tuple[int, bytes]:
+    """Code size and stream of one image; filled: the same image with pixels that need no drawing marked."""
+    if encoder == "literal":
+        return m, lzw.encode_literal(indices, m)
+    if encoder == "runs":
+        return lzw.fastest(indices if filled is None else filled, m)
+    return lzw.smallest(indices, m, filled)
+
+
+def code_size(colors: int) -> int:
+    return max(2, (padded_colors(colors) - 1).bit_length())
+
+
+def image(x: int, y: int, width: int, height: int, indices: bytes, colors: int, encoder: str = "runs", local: list[int] | None = None, filled: bytes | None = None) -> bytes:
+    """One image; encoder is literal, runs or dictionary (the shortest stream)."""
+    m, codes = compressed(indices, code_size(colors), encoder, filled)
     packed = 0x80 | ((padded_colors(len(local)) - 1).bit_length() - 1) if local else 0
     head = b"\x2c" + b"".join(v.to_bytes(2, "little") for v in (x, y, width, height)) + bytes([packed])
     return head + (table_bytes(local) if local else b"") + bytes([m]) + lzw.sub_blocks(codes)
@@ -229,29 +241,40 @@ def retime(data: bytes, delays: list[int] | int) -> bytes:
 
 def set_loop(data: bytes, loop: int) -> bytes:
     """Every loop extension patched, or one inserted after the global table."""
+    if isinstance(loop, bool) or not isinstance(loop, int) or not 0 <= loop <= 65535:
+        raise GifError("a loop count is 0 to 65535")
     g = parse(data, "layout")
     if g["loop_at"]:
         return _spliced(data, {k: loop.to_bytes(2, "little") for k in g["loop_at"]}, [])
     return _spliced(data, {3: b"89a"} if g["version"] == "87a" else {}, [(g["after_global"], loop_block(loop))])
 
 
+#: What each frame must be for an edit of the order: the reason for refusing the first that is not, and its test on (file, frame, the one before).
+_MOVABLE = (
+    ("frame without a control block", lambda g, f, last: f["control_at"] is not None),
+    ("extension between a control block and its image", lambda g, f, last: f["control_at"] + 8 == f["image_at"]),
+    ("frame does not cover the canvas", lambda g, f, last: (f["x"], f["y"], f["width"], f["height"]) == (0, 0, g["width"], g["height"])),
+    ("unknown disposal", lambda g, f, last: f["disposal"] <= 3),
+    ("data between frames", lambda g, f, last: last is None or last["end"] == f["control_at"]),
+)
+
+
 def reorder_refusal(data: bytes) -> str | None:
-    """Why frames can't be put in another order, or None."""
+    """Why frames can't be put in another order, or None. A frame may move if it looks the same after any other one."""
     g = parse(data, "layout")
     frames = g["frames"]
     if not frames:
         return "no frames"
     if g["odd"]:
         return "plain text or stray control"
-    for k, f in enumerate(frames):
-        if (f["x"], f["y"], f["width"], f["height"]) != (0, 0, g["width"], g["height"]):
-            return "frame does not cover the canvas"
-        if f["disposal"] > 3:
-            return "unknown disposal"
-        if f["transparent"] is not None and f["disposal"] not in (2, 3):
-            return "transparent frame stays on the canvas"
-        if k and f["start"] != frames[k - 1]["end"]:
-            return "data between frames"
+    for last, f in zip([None, *frames], frames):
+        for why, holds in _MOVABLE:
+            if not holds(g, f, last):
+                return why
+    if g["trailer_at"] != frames[-1]["end"]:
+        return "data after the last frame"
+    if any(f["transparent"] is not None for f in frames) and not all(f["disposal"] in (2, 3) for f in frames):
+        return "transparent frame over one that stays on the canvas"
     return None
 
 

@@ -50,11 +50,10 @@ def literal_size(n: int, m: int) -> int:
     """Bytes of encode_literal(n pixels) in sub-blocks with the code size byte."""
     codes = n + max(1, -(-n // ((1 << m) - 2))) + 1
     data = -(-codes * (m + 1) // 8)
-    return 1 + data + -(-data // 255) + 1
+    return block_size(data)
 
 
-def encode_runs(indices: bytes, m: int) -> bytes:
-    """Codes of one width; a run of four or more uses the strings that the decoder builds from the run itself."""
+def _run_codes(indices: bytes, m: int) -> list[int]:
     clear, limit = 1 << m, (1 << (m + 1)) - 1
     out, nxt, fresh = [clear], clear + 2, True
 
@@ -89,7 +88,48 @@ def encode_runs(indices: bytes, m: int) -> bytes:
                 else:
                     break
     out.append(clear + 1)
-    return _pack(np.array(out), m + 1)
+    return out
+
+
+def encode_runs(indices: bytes, m: int) -> bytes:
+    """Codes of one width; a run of four or more uses the strings that the decoder builds from the run itself."""
+    return _pack(np.array(_run_codes(indices, m)), m + 1)
+
+
+def block_size(data: int) -> int:
+    """Bytes of an image's data: code size, sub-blocks, terminator."""
+    return 1 + data + -(-data // 255) + 1
+
+
+def _equal_neighbours(indices: bytes) -> int:
+    x = np.frombuffer(indices, np.uint8)
+    return int((x[1:] == x[:-1]).sum())
+
+
+def fastest(indices: bytes, m: int) -> tuple[int, bytes]:
+    """Code size and run-aware stream. Wider codes have room for longer runs: they are taken where three in four pixels
+    repeat, counted out where half do, and never beyond the literal stream of the palette's own size."""
+    wide, equal = 7 if m < 7 else 8, _equal_neighbours(indices)
+    own = None
+    if m < 8 and len(indices) > 1 and 2 * equal >= len(indices):
+        broad = encode_runs(indices, wide)
+        if 4 * equal < 3 * len(indices):
+            own = _run_codes(indices, m)
+            narrow_bits, wide_bits = len(own) * (m + 1), len(_run_codes(indices, wide)) * (wide + 1)
+            if wide_bits >= narrow_bits:
+                return m, _pack(np.array(own), m + 1)
+        if block_size(len(broad)) <= literal_size(len(indices), m):
+            return wide, broad
+    return m, encode_runs(indices, m) if own is None else _pack(np.array(own), m + 1)
+
+
+def smallest(indices: bytes, m: int, filled: bytes | None = None) -> tuple[int, bytes]:
+    """The shortest of the dictionary stream, the run-aware one, and the run-aware one of the pixels with unchanged ones filled in."""
+    best = m, encode_dictionary(indices, m)
+    # a run takes one code at least, so a dictionary stream below that bound can't be beaten
+    if block_size(len(best[1])) > -(-(len(indices) - _equal_neighbours(indices)) * (m + 1) // 8) + 2:
+        best = min(best, fastest(indices, m), key=lambda c: len(c[1]))
+    return best if filled is None else min(best, fastest(filled, m), key=lambda c: len(c[1]))
 
 
 def encode_dictionary(indices: bytes, m: int) -> bytes:

@@ -52,21 +52,31 @@ def deinterlaced(px: DataFrame, height: Column | int) -> DataFrame:
 
 
 def digests(canvas: DataFrame) -> DataFrame:
-    """One digest per composited frame; the sum and xor of position-bound hashes need no ordered collection of pixels."""
-    h = F.xxhash64("pos", "color")
-    return canvas.groupBy("clip_id", "frame_no").agg(F.bit_xor(h).alias("d1"), F.bit_xor(F.xxhash64(F.lit(1), "pos", "color")).alias("d2"), F.count(F.lit(1)).alias("pixels"))
+    """One digest per composited frame: sums of position-bound hashes need no ordered collection of pixels, and a repeated row counts."""
+    low = lambda seed: F.sum(F.xxhash64(F.lit(seed), "pos", "color").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return canvas.groupBy("clip_id", "frame_no").agg(low(1).alias("d1"), low(2).alias("d2"), F.count(F.lit(1)).alias("pixels"))
 
 
 def dedupe(canvas: DataFrame, mode: str = "adjacent") -> DataFrame:
-    """Per frame the earliest frame whose pixels it can share: the one before if equal (adjacent), or any earlier (all)."""
+    """Per frame the earliest frame whose pixels it can share: the one before if equal (adjacent), or any earlier (all).
+
+    Digests only suggest; a frame shares after a comparison of its pixels with the suggested frame's.
+    """
     d = digests(canvas)
-    if mode == "all":
-        share = F.min("frame_no").over(Window.partitionBy("clip_id", "d1", "d2"))
-        return d.select("clip_id", "frame_no", share.alias("shares"))
     w = Window.partitionBy("clip_id").orderBy("frame_no")
-    same = F.coalesce((F.lag("d1").over(w) == F.col("d1")) & (F.lag("d2").over(w) == F.col("d2")), F.lit(False))
-    start = F.when(~same, F.col("frame_no"))
-    marked = d.withColumn("start", start)
+    if mode == "all":
+        like = d.withColumn("like", F.min("frame_no").over(Window.partitionBy("clip_id", "d1", "d2", "pixels")))
+    else:
+        same = (F.lag("d1").over(w) == F.col("d1")) & (F.lag("d2").over(w) == F.col("d2")) & (F.lag("pixels").over(w) == F.col("pixels"))
+        like = d.withColumn("like", F.when(F.coalesce(same, F.lit(False)), F.lag("frame_no").over(w)).otherwise(F.col("frame_no")))
+    pairs = like.filter(F.col("like") < F.col("frame_no")).select("clip_id", "frame_no", "like", "pixels")
+    mine = canvas.join(pairs, ["clip_id", "frame_no"]).select("clip_id", "frame_no", "like", "pixels", "pos", "color")
+    theirs = canvas.select("clip_id", F.col("frame_no").alias("like"), "pos", "color").distinct()
+    equal = mine.join(theirs, ["clip_id", "like", "pos", "color"]).groupBy("clip_id", "frame_no").agg((F.count(F.lit(1)) == F.max("pixels")).alias("equal"))
+    held = like.join(equal, ["clip_id", "frame_no"], "left").withColumn("equal", F.coalesce("equal", F.lit(False)))
+    if mode == "all":
+        return held.select("clip_id", "frame_no", F.when(F.col("equal"), F.col("like")).otherwise(F.col("frame_no")).alias("shares"))
+    marked = held.withColumn("start", F.when(~F.col("equal"), F.col("frame_no")))
     return marked.select("clip_id", "frame_no", F.last("start", ignorenulls=True).over(w).alias("shares"))
 
 

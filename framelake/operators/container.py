@@ -139,13 +139,25 @@ def literal_size(n: Column, m: int) -> Column:
 
 
 def write_gifs(clips: DataFrame, folder: str) -> None:
-    """Sink: each clip as <clip_id>.gif in a folder that the executors share; through Hadoop's file API on the driver's iterator."""
-    spark = clips.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for r in clips.select("clip_id", "content").toLocalIterator():
-        where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['clip_id']}.gif")
-        stream = where.getFileSystem(conf).create(where, True)
-        try:
-            stream.write(bytes(r["content"]))
-        finally:
-            stream.close()
+    """Sink: each clip as <clip_id>.gif in a folder, written by the tasks that hold the clips.
+
+    A folder with a scheme that pyarrow knows (file, hdfs, s3, gs) or a plain path that all executors share. A file is
+    written under a temporary name and then moved, so a task that is run again leaves whole files only.
+    """
+
+    def write(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for clip, content in zip(batch.column("clip_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                part = f"{root}/.{clip}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, f"{root}/{clip}.gif")
+            yield batch.select(["clip_id"])
+
+    clips.filter("content is not null").select("clip_id", "content").mapInArrow(write, "clip_id long").write.format("noop").mode("overwrite").save()

@@ -26,7 +26,8 @@ def reorder(frames: DataFrame, order: list[int]) -> DataFrame:
 
 
 def reorder_verdict(frames: DataFrame, width: int, height: int) -> DataFrame:
-    """Whether a clip's frames may be put in another order: whole canvases, known disposal, transparent ones restored."""
-    whole = (F.col("fx") == 0) & (F.col("fy") == 0) & (F.col("fw") == width) & (F.col("fh") == height)
-    safe = F.col("transparent").isNull() | F.col("disposal").isin(2, 3)
-    return frames.groupBy("clip_id").agg(F.bool_and(whole).alias("covers"), F.bool_and(F.col("disposal") <= 3).alias("known"), F.bool_and(safe).alias("restores"), F.bool_and(whole & (F.col("disposal") <= 3) & safe).alias("allowed"))
+    """Whether a clip's frames may be put in another order: whole canvases and known disposals, and all frames opaque or all restoring."""
+    covers = F.bool_and((F.col("fx") == 0) & (F.col("fy") == 0) & (F.col("fw") == width) & (F.col("fh") == height))
+    known = F.bool_and(F.col("disposal") <= 3)
+    opaque, restores = F.bool_and(F.col("transparent").isNull()), F.bool_and(F.col("disposal").isin(2, 3))
+    return frames.groupBy("clip_id").agg(covers.alias("covers"), known.alias("known"), opaque.alias("opaque"), restores.alias("restores"), (covers & known & (opaque | restores)).alias("allowed"))

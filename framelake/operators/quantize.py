@@ -18,11 +18,14 @@ def _mean(n: np.ndarray, sums: np.ndarray, half: bool = True) -> int:
     return r << 16 | g << 8 | b
 
 
-def _nearest(colors: np.ndarray, palette: np.ndarray) -> np.ndarray:
+def nearest_entry(colors: np.ndarray, palette: np.ndarray) -> np.ndarray:
     """Index of the entry at the least squared distance, the lowest on ties."""
     split = lambda v: np.stack([v >> 16, v >> 8 & 255, v & 255], 1)
-    d = ((split(colors)[:, None, :] - split(palette)[None, :, :]) ** 2).sum(2)
-    return d.argmin(1)
+    near, q = np.zeros(len(colors), np.int64), split(palette)
+    for at in range(0, len(colors), 4096):
+        part = split(colors[at : at + 4096])
+        near[at : at + 4096] = ((part[:, None, :] - q[None, :, :]) ** 2).sum(2).argmin(1)
+    return near
 
 
 def _center(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -57,38 +60,76 @@ def median_cut_boxes(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int,
     return boxes
 
 
-def _by_clip(hist: DataFrame, make) -> DataFrame:
+def _by_clip(hist: DataFrame, plan, k: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cell")
         cells, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
-        idx, palette = make(cells, n, rows[["sr", "sg", "sb"]].to_numpy())
+        idx, palette = plan(cells, n, rows[["sr", "sg", "sb"]].to_numpy(), k)
         return pd.DataFrame({"clip_id": rows["clip_id"].iloc[0], "cell": cells, "idx": idx, "rgb": palette[idx]})
 
     return hist.groupBy("clip_id").applyInPandas(run, SCHEMA)
 
 
-def median_cut(hist: DataFrame, k: int = 256) -> DataFrame:
-    """hist: clip_id and a 5-bit histogram. Every cell belongs to its own box."""
+# A plan takes one group's cells in ascending order with their counts and channel sums, and the number of entries. It gives
+# each cell's index and the palette.
 
-    def make(cells, n, sums):
-        boxes = median_cut_boxes(cells, n, sums, k, 5, last_wins=False)
-        idx = np.zeros(len(cells), np.int64)
-        for i, b in enumerate(boxes):
-            idx[b] = i
-        return idx, np.array([_mean(n[b], sums[b]) for b in boxes])
 
-    return _by_clip(hist, make)
+def _cell_means(n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    mean = (sums + (n // 2)[:, None]) // n[:, None]
+    return mean[:, 0] << 16 | mean[:, 1] << 8 | mean[:, 2]
 
 
-def median_cut_nearest(hist: DataFrame, k: int = 256) -> DataFrame:
-    """hist: clip_id and a 5-bit histogram. Cells take the entry nearest to the middle of their 4-bit cell."""
+def direct_plan(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """An entry per cell."""
+    return np.arange(len(cells)), _cell_means(n, sums)
+
+
+def merge_plan(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """An entry per cell but the rarest (ties: the highest), which goes to the nearest."""
+    rgb = _cell_means(n, sums)
+    gone = np.lexsort((-cells, n))[0]
+    rest = np.delete(np.arange(len(cells)), gone)
+    idx = np.zeros(len(cells), np.int64)
+    idx[rest] = np.arange(len(rest))
+    idx[gone] = nearest_entry(rgb[[gone]], rgb[rest])[0]
+    return idx, rgb[rest]
+
+
+def dominant_plan(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k most frequent cells (ties: the lowest) as seeds, one step of weighted means, and the final assignment."""
+    rgb = _cell_means(n, sums)
+    seeds = rgb[np.lexsort((cells, -n))[:k]]
+    at = nearest_entry(rgb, seeds)
+    total = np.bincount(at, n, len(seeds)).astype(np.int64)
+    parts = np.stack([np.bincount(at, sums[:, c], len(seeds)).astype(np.int64) for c in range(3)], 1)
+    palette = _cell_means(np.maximum(total, 1), parts)
+    return nearest_entry(rgb, palette), palette
+
+
+def median_cut_plan(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """5-bit cells; every cell belongs to its own box."""
+    boxes = median_cut_boxes(cells, n, sums, k, 5, last_wins=False)
+    idx = np.zeros(len(cells), np.int64)
+    for i, b in enumerate(boxes):
+        idx[b] = i
+    return idx, np.array([_mean(n[b], sums[b]) for b in boxes])
+
 
-    def make(cells, n, sums):
-        boxes = median_cut_boxes(cells, n, sums, k, 5, last_wins=True)
-        palette = np.array([_mean(n[b], sums[b]) for b in boxes])
-        return _nearest(_center(cells, 5), palette), palette
+def median_cut_nearest_plan(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """5-bit cells; they take the entry nearest to the middle of their 4-bit cell."""
+    boxes = median_cut_boxes(cells, n, sums, k, 5, last_wins=True)
+    palette = np.array([_mean(n[b], sums[b]) for b in boxes])
+    return nearest_entry(_center(cells, 5), palette), palette
 
-    return _by_clip(hist, make)
+
+def median_cut(hist: DataFrame, k: int = 256) -> DataFrame:
+    """hist: clip_id and a 5-bit histogram."""
+    return _by_clip(hist, median_cut_plan, k)
+
+
+def median_cut_nearest(hist: DataFrame, k: int = 256) -> DataFrame:
+    """hist: clip_id and a 5-bit histogram."""
+    return _by_clip(hist, median_cut_nearest_plan, k)
 
 
 def variance_cut_boxes(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int) -> list[tuple]:
@@ -149,45 +190,47 @@ def variance_cut_boxes(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: in
     return boxes
 
 
-def variance_cut(hist: DataFrame, k: int = 256) -> DataFrame:
-    """hist: clip_id and a 4-bit histogram. Truncated box means sorted by colour; cells take the entry nearest to their middle."""
+def variance_cut_plan(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """4-bit cells; truncated box means sorted by colour; cells take the entry nearest to their middle."""
+    axes = np.stack([cells >> 8 & 15, cells >> 4 & 15, cells & 15], 1)
+    colors = []
+    for box in variance_cut_boxes(cells, n, sums, k):
+        inside = np.all([(axes[:, c] >= lo) & (axes[:, c] < hi) for c, (lo, hi) in enumerate(box)], 0)
+        if inside.any():
+            colors.append(_mean(n[inside], sums[inside], half=False))
+    palette = np.array(sorted(set(colors)))
+    return nearest_entry(_center(cells, 4), palette), palette
+
+
+def flat_grid_plan(cells: np.ndarray, n: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """4-bit cells; levels per channel grow by the largest drop in variance while their product fits k."""
+    axes = np.stack([cells >> 8 & 15, cells >> 4 & 15, cells & 15], 1)
+
+    def loss(axis: int, levels: int) -> float:
+        group = axes[:, axis] * levels // 16
+        v = sums[:, axis] / n
+        total = np.bincount(group, n, levels)
+        first, second = np.bincount(group, n * v, levels), np.bincount(group, n * v * v, levels)
+        return float((second - np.divide(first**2, total, out=np.zeros(levels), where=total > 0)).sum())
+
+    levels = [1, 1, 1]
+    while True:
+        gains = [(loss(c, levels[c]) - loss(c, levels[c] + 1) if levels[c] < 16 and np.prod(levels) // levels[c] * (levels[c] + 1) <= k else -1.0) for c in range(3)]
+        if max(gains) < 0:
+            break
+        levels[int(np.argmax(gains))] += 1
+    key = np.zeros(len(cells), np.int64)
+    for c in range(3):
+        key = key * levels[c] + axes[:, c] * levels[c] // 16
+    used, idx = np.unique(key, return_inverse=True)
+    return idx, np.array([_mean(n[idx == i], sums[idx == i]) for i in range(len(used))])
 
-    def make(cells, n, sums):
-        axes = np.stack([cells >> 8 & 15, cells >> 4 & 15, cells & 15], 1)
-        colors = []
-        for box in variance_cut_boxes(cells, n, sums, k):
-            inside = np.all([(axes[:, c] >= lo) & (axes[:, c] < hi) for c, (lo, hi) in enumerate(box)], 0)
-            if inside.any():
-                colors.append(_mean(n[inside], sums[inside], half=False))
-        palette = np.array(sorted(set(colors)))
-        return _nearest(_center(cells, 4), palette), palette
 
-    return _by_clip(hist, make)
+def variance_cut(hist: DataFrame, k: int = 256) -> DataFrame:
+    """hist: clip_id and a 4-bit histogram."""
+    return _by_clip(hist, variance_cut_plan, k)
 
 
 def flat_grid(hist: DataFrame, k: int = 256) -> DataFrame:
-    """hist: clip_id and a 4-bit histogram. Levels per channel grow by the largest drop in variance while their product fits k."""
-
-    def make(cells, n, sums):
-        axes = np.stack([cells >> 8 & 15, cells >> 4 & 15, cells & 15], 1)
-
-        def loss(axis: int, levels: int) -> float:
-            group = axes[:, axis] * levels // 16
-            v = sums[:, axis] / n
-            total = np.bincount(group, n, levels)
-            first, second = np.bincount(group, n * v, levels), np.bincount(group, n * v * v, levels)
-            return float((second - np.divide(first**2, total, out=np.zeros(levels), where=total > 0)).sum())
-
-        levels = [1, 1, 1]
-        while True:
-            gains = [(loss(c, levels[c]) - loss(c, levels[c] + 1) if levels[c] < 16 and np.prod(levels) // levels[c] * (levels[c] + 1) <= k else -1.0) for c in range(3)]
-            if max(gains) < 0:
-                break
-            levels[int(np.argmax(gains))] += 1
-        key = np.zeros(len(cells), np.int64)
-        for c in range(3):
-            key = key * levels[c] + axes[:, c] * levels[c] // 16
-        used, idx = np.unique(key, return_inverse=True)
-        return idx, np.array([_mean(n[idx == i], sums[idx == i]) for i in range(len(used))])
-
-    return _by_clip(hist, make)
+    """hist: clip_id and a 4-bit histogram."""
+    return _by_clip(hist, flat_grid_plan, k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.color import rgb332, rgb_key
 from framelake.operators import composite as C
-from framelake.operators import container, diff, order, quantize
+from framelake.operators import container, diff, encode, order, playback, quantize
 from framelake.operators import histogram as H
 from framelake.operators import metrics as M
 from framelake.operators import palette as P
@@ -239,9 +239,16 @@ def boomerang_order(spark, d):
     return order.boomerang_order(S.frame_table(_px(spark, d)))
 
 
-@query(f"WITH {PX}, t AS (SELECT *, CASE WHEN clip_id = 1 THEN 0 END AS transparent, CASE WHEN clip_id = 2 THEN fx ELSE 0 END AS qx FROM fr), v AS (SELECT clip_id, qx = 0 AS whole, disposal <= 3 AS known, transparent IS NULL OR disposal IN (2, 3) AS safe FROM t) SELECT clip_id, bool_and(whole) AS covers, bool_and(known) AS known, bool_and(safe) AS restores, bool_and(whole AND known AND safe) AS allowed FROM v GROUP BY ALL")
+@query(f"""WITH {PX}, t AS (SELECT clip_id, CASE WHEN clip_id = 2 THEN fx ELSE 0 END AS fx, CASE WHEN clip_id IN (1, 3) AND frame_no = 5 THEN 0 END AS transparent, CASE WHEN clip_id = 3 THEN 2 + frame_no % 2 WHEN clip_id = 1 THEN disposal % 4 ELSE least(disposal, 3) END AS disposal FROM fr)
+    SELECT clip_id, count(*) FILTER (fx <> 0) = 0 AS covers, max(disposal) <= 3 AS known, count(transparent) = 0 AS opaque, count(*) FILTER (disposal NOT IN (2, 3)) = 0 AS restores,
+      count(*) FILTER (fx <> 0) = 0 AND max(disposal) <= 3 AND (count(transparent) = 0 OR count(*) FILTER (disposal NOT IN (2, 3)) = 0) AS allowed FROM t GROUP BY clip_id""")
 def reorder_verdict(spark, d):
-    f = S.frame_table(_px(spark, d)).withColumns({"transparent": F.when(F.col("clip_id") == 1, 0), "fx": F.when(F.col("clip_id") == 2, F.col("fx")).otherwise(0), "fy": F.lit(0)})
+    """Clip 0 is opaque, 1 has one transparent frame among frames that stay, 2 has partial frames, 3 restores after every frame."""
+    clip, n = F.col("clip_id"), F.col("frame_no")
+    f = S.frame_table(_px(spark, d)).withColumns({
+        "fx": F.when(clip == 2, F.col("fx")).otherwise(0), "fy": F.lit(0), "transparent": F.when(clip.isin(1, 3) & (n == 5), 0),
+        "disposal": F.when(clip == 3, 2 + n % 2).when(clip == 1, F.col("disposal") % 4).otherwise(F.least("disposal", F.lit(3))),
+    })
     return order.reorder_verdict(f, 12, 14)
 
 
@@ -360,29 +367,35 @@ def dictionary_roundtrip(spark, d):
     return _round_trip(spark, d, "dictionary")
 
 
+def _whole_grid(px: DataFrame) -> tuple[DataFrame, int]:
+    """Indexed pixels of frames that reach to the last row with an event, three rows at least; absent pixels are transparent. Also the height."""
+    height = max(3, int(px.agg(F.max("y")).first()[0] or 0) + 1)
+    grid = px.select("clip_id", "frame_no").distinct().crossJoin(px.sparkSession.range(S.GRID * height).select(F.col("id").alias("pos")))
+    seen = px.groupBy("clip_id", "frame_no", "pos").agg(F.max("idx").alias("idx"))
+    return grid.join(seen, ["clip_id", "frame_no", "pos"], "left").withColumn("idx", F.coalesce("idx", F.lit(0).cast("long"))), height
+
+
 def _clips(spark, d, encoder="runs"):
-    """Real GIF bytes of the events' pixels: index 0 is transparent, whole rows only."""
+    """Real GIF bytes of the events' pixels: index 0 is transparent."""
     px = _indexed(spark, d)
-    whole = px.groupBy("y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 32 * S.GRID).select("y")
-    px = px.join(whole, "y")
-    height = int(whole.count())
-    frames = container.pack_frames(px).join(S.frame_table(px).select("clip_id", "frame_no", "delay", F.least("disposal", F.lit(3)).alias("disposal")), ["clip_id", "frame_no"])
+    full, height = _whole_grid(px)
+    frames = container.pack_frames(full).join(S.frame_table(px).select("clip_id", "frame_no", "delay", F.least("disposal", F.lit(3)).alias("disposal")), ["clip_id", "frame_no"])
     palette = px.select("clip_id").distinct().join(spark.range(21).select(F.col("id").alias("idx")))
     k = F.col("idx") - 1
     rgb = F.when(F.col("idx") == 0, 0).otherwise(F.floor(k / 4) * 50 * 65536 + k % 4 * 60 * 256 + 128).cast("long")
     return container.encode_clips(frames.withColumn("transparent", F.lit(0)), palette.withColumn("rgb", rgb), S.GRID, height, 0, encoder), height
 
 
-_GIF = f"{_INDEXED}, rows_ AS (SELECT y FROM px GROUP BY y HAVING count(*) = 512)"
+_GIF = f"{_INDEXED}, hh AS (SELECT greatest(3, max(y) + 1) AS h FROM px), cellgrid AS (SELECT clip_id, frame_no, unnest(range(0, 16 * (SELECT h FROM hh))) AS pos FROM fr), seen AS (SELECT clip_id, frame_no, pos, max(idx) AS idx FROM idx GROUP BY ALL), filled AS (SELECT clip_id, frame_no, pos, coalesce(seen.idx, 0) AS idx FROM cellgrid LEFT JOIN seen USING (clip_id, frame_no, pos))"
 
 
-@query(f"WITH {_GIF} SELECT clip_id, frame_no, x, y, idx, rgb FROM idx WHERE y IN (SELECT y FROM rows_) AND idx > 0")
+@query(f"WITH {_INDEXED} SELECT clip_id, frame_no, x, y, idx, rgb FROM idx WHERE idx > 0")
 def gif_decode(spark, d):
     clips, _ = _clips(spark, d)
     return container.pixels(container.decoded(container.frames(clips)))
 
 
-@query(f"WITH {_GIF} SELECT clip_id, frame_no, frame_no + 2 AS delay, CAST(16 AS BIGINT) AS width, (SELECT count(*) FROM rows_) AS height, least((clip_id + frame_no * 3) % 5, 3) AS disposal FROM fr")
+@query(f"WITH {_GIF} SELECT clip_id, frame_no, frame_no + 2 AS delay, CAST(16 AS BIGINT) AS width, (SELECT h FROM hh) AS height, least((clip_id + frame_no * 3) % 5, 3) AS disposal FROM fr")
 def gif_encode(spark, d):
     clips, _ = _clips(spark, d, "dictionary")
     long = lambda c: F.col(c).cast("long").alias(c)
@@ -395,7 +408,7 @@ def _edited(spark, d, edit):
     return container.decoded(f).select("clip_id", F.col("frame_no").cast("long"), F.col("delay").cast("long"), F.md5(F.lower(F.hex("indices")).cast("binary")).alias("digest"))
 
 
-_FRAMES = f"{_GIF}, fd AS (SELECT clip_id, frame_no, frame_no + 2 AS delay, md5(string_agg(lower(printf('%02x', idx)), '' ORDER BY pos)) AS digest FROM idx WHERE y IN (SELECT y FROM rows_) GROUP BY ALL)"
+_FRAMES = f"{_GIF}, fd AS (SELECT clip_id, frame_no, frame_no + 2 AS delay, md5(string_agg(lower(printf('%02x', idx)), '' ORDER BY pos)) AS digest FROM filled JOIN fr USING (clip_id, frame_no) GROUP BY clip_id, frame_no)"
 
 
 @query(f"WITH {_FRAMES} SELECT clip_id, frame_no, CAST(7 AS BIGINT) AS delay, digest FROM fd")
@@ -413,25 +426,32 @@ def reencode(spark, d):
     return _edited(spark, d, container.reencoded)
 
 
-@query(f"WITH {_FRAMES} SELECT clip_id, 7 - frame_no AS frame_no, delay, digest FROM fd WHERE clip_id = -1")
+@query(f"""WITH {PX}, c AS (SELECT DISTINCT clip_id FROM fr) SELECT clip_id, CASE clip_id WHEN 1 THEN 'transparent frame over one that stays on the canvas' WHEN 2 THEN 'frame does not cover the canvas' END AS refusal,
+    CASE WHEN clip_id IN (0, 3) THEN '7,6,5,4,3,2,1,0' END AS came_from FROM c""")
 def reorder_refused(spark, d):
-    """Clips whose transparent frames stay on the canvas can't be reversed: none is left."""
-    clips, _ = _clips(spark, d)
+    """Files of four kinds: opaque, transparent over lasting frames, partial, restoring. Two may be reversed; their frames are told by delay."""
     from framelake.functions import gif
 
-    ok = F.udf(lambda b: gif.reorder_refusal(bytes(b)) is None, "boolean", useArrow=True)
-    f = container.frames(clips.filter(ok("content")))
-    return container.decoded(f).select("clip_id", F.col("frame_no").cast("long"), F.col("delay").cast("long"), F.md5(F.lower(F.hex("indices")).cast("binary")).alias("digest"))
+    px = _indexed(spark, d)
+    full, height = _whole_grid(px)
+    clip, n = F.col("clip_id"), F.col("frame_no")
+    packed = container.pack_frames(full.filter((clip != 2) | (F.col("pos") >= S.GRID))).withColumns({
+        "delay": n + 2, "transparent": F.when(clip.isin(1, 3), 0), "disposal": F.when(clip == 3, 2).otherwise(1),
+        "y": F.when(clip == 2, 1).otherwise(0), "height": F.when(clip == 2, height - 1).otherwise(height),
+    })
+    palette = px.select("clip_id").distinct().join(spark.range(21).select(F.col("id").alias("idx"), F.col("id").alias("rgb")))
+    clips = container.encode_clips(packed, palette, S.GRID, height, None)
+    why = F.udf(lambda b: gif.reorder_refusal(bytes(b)), "string", useArrow=True)
+    judged = clips.withColumn("refusal", why("content"))
+    turned = F.udf(lambda b, no: None if no else gif.reverse(bytes(b)), "binary", useArrow=True)("content", "refusal")
+    scanned = container.scan(turned)
+    return judged.select("clip_id", "refusal", F.array_join(F.transform(scanned["frames"], lambda f: (f["delay"] - 2).cast("string")), ",").alias("came_from"))
 
 
-def _restoring(spark, d, rows=None):
-    """Clips whose every frame is disposed to background, so that any order is allowed. All rows; absent pixels are transparent."""
+def _restoring(spark, d):
+    """Clips whose every frame is disposed to background, so that any order is allowed."""
     px = _indexed(spark, d)
-    px = px if rows is None else px.filter(F.col("y") < rows)
-    height = rows or int(px.agg(F.max("y")).first()[0] or 0) + 1
-    grid = px.select("clip_id", "frame_no").distinct().crossJoin(spark.range(S.GRID * height).select(F.col("id").alias("pos")))
-    seen = px.groupBy("clip_id", "frame_no", "pos").agg(F.max("idx").alias("idx"))
-    full = grid.join(seen, ["clip_id", "frame_no", "pos"], "left").withColumn("idx", F.coalesce("idx", F.lit(0).cast("long")))
+    full, height = _whole_grid(px)
     frames = container.pack_frames(full).withColumns({"transparent": F.lit(0), "disposal": F.lit(2), "delay": F.col("frame_no") + 2})
     palette = px.select("clip_id").distinct().join(spark.range(21).select(F.col("id").alias("idx"), F.col("id").alias("rgb")))
     return container.encode_clips(frames, palette, S.GRID, height, None)
@@ -457,9 +477,9 @@ def set_loop(spark, d):
     return c.select("clip_id", F.col("clip.loop_count").cast("long").alias("loop_count"), "clip.version")
 
 
-@query(f"""WITH {PX} SELECT clip_id, '{{"version":"89a","width":16,"height":1,"frames":8,"delays":[2,3,4,5,6,7,8,9]}}' AS metadata FROM fr GROUP BY ALL""")
+@query(f"""WITH {PX} SELECT clip_id, '{{"version":"89a","width":16,"height":' || (SELECT greatest(3, max(y) + 1) FROM px) || ',"frames":8,"delays":[2,3,4,5,6,7,8,9]}}' AS metadata FROM fr GROUP BY clip_id""")
 def metadata_json(spark, d):
-    c = _restoring(spark, d, rows=1).withColumn("clip", container.scan("content", "lenient"))  # the twin's height is 1
+    c = _restoring(spark, d).withColumn("clip", container.scan("content", "lenient"))
     fields = F.struct("clip.version", "clip.width", "clip.height", F.size("clip.frames").alias("frames"), F.transform("clip.frames", lambda f: f["delay"]).alias("delays"))
     return c.select("clip_id", F.to_json(fields).alias("metadata"))
 
@@ -494,6 +514,94 @@ def fill_unchanged(spark, d):
     return f.groupBy("clip_id", "frame_no").agg(F.count_if(F.col("idx_color").isNotNull()).alias("drawn"), F.count_if(F.col("idx_color").isNull()).alias("filled"))
 
 
+# ---- RGBA frames to files and back: what a player shows is held against the pixels ----
+
+
+def _shown(clips: DataFrame) -> DataFrame:
+    return playback.canvas_pixels(playback.playback(clips))
+
+
+def _event_frames(spark, d):
+    px = _px(spark, d)
+    height = int(px.agg(F.max("y")).first()[0] or 0) + 1
+    return S.pack_rgba(px, S.GRID, height).withColumn("delay", F.col("frame_no") + 2)
+
+
+@query(f"WITH {PX} SELECT clip_id, frame_no, pos, rgb FROM px WHERE a >= 128")
+def encode_rgba_exact(spark, d):
+    """Lossless with changed rectangles, cleared areas and unchanged pixels marked."""
+    return _shown(encode.encode_rgba(_event_frames(spark, d), "exact", compact=True, loop=0))
+
+
+@query(f"WITH {PX} SELECT clip_id, frame_no, pos, rgb FROM px WHERE a >= 128")
+def encode_rgba_local(spark, d):
+    return _shown(encode.encode_rgba(_event_frames(spark, d), "exact", palette="local"))
+
+
+@query(f"WITH {PX} SELECT clip_id, frame_no, pos, rgb FROM px WHERE a >= 128")
+def encode_rgba_smallest(spark, d):
+    return _shown(encode.encode_rgba(_event_frames(spark, d), "quality", encoder="dictionary"))
+
+
+#: Vectors as clips of eight 8 x 8 frames of three tiles each; two clips in three spread over all colours, some pixels are transparent.
+VECTORS = """v AS (SELECT vec_id // 8 AS clip_id, vec_id % 8 AS frame_no, vec_id, i - 1 AS pos, [CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + 1) * 127.5))) AS BIGINT) FOR e IN embedding] AS t FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
+  w AS (SELECT *, CASE WHEN clip_id % 3 = 0 THEN 1 ELSE 37 END AS k FROM v),
+  vp AS (SELECT clip_id, frame_no, pos, t[pos + 1] * k % 256 AS r, t[(pos + 21) % 64 + 1] * k % 256 AS g, t[(pos + 42) % 64 + 1] * k % 256 AS b, CASE WHEN clip_id % 2 = 1 AND (vec_id + pos) % 7 = 0 THEN 0 ELSE 255 END AS a FROM w),
+  vq AS (SELECT *, r * 65536 + g * 256 + b AS rgb, (r // 16) * 256 + (g // 16) * 16 + b // 16 AS cell FROM vp),
+  vs AS (SELECT clip_id, count(DISTINCT rgb) FILTER (a >= 128) AS colors, count(DISTINCT cell) FILTER (a >= 128) AS cells, 256 - CAST(max(CASE WHEN a < 128 THEN 1 ELSE 0 END) AS BIGINT) AS room FROM vq GROUP BY clip_id)"""
+
+
+def _vector_frames(spark, d):
+    tiles = S.tiles(table(spark, d, "embeddings")).withColumn("pos", F.col("y") * 8 + F.col("x")).withColumnRenamed("clip_id", "vec_id")
+    clip = F.floor(F.col("vec_id") / 8)
+    v = F.col("v") * F.when(clip % 3 == 0, 1).otherwise(37) % 256
+    channels = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), ((F.col("pos") + 64 - shift) % 64).alias("at")) for c, shift in (("r", 0), ("g", 21), ("b", 42))))).alias("o")
+    long = tiles.select("vec_id", v.alias("v"), channels).groupBy("vec_id", F.col("o.at").alias("pos")).agg(*(F.max(F.when(F.col("o.c") == c, F.col("v"))).alias(c) for c in "rgb"))
+    px = long.withColumns({"clip_id": clip, "frame_no": F.col("vec_id") % 8, "a": F.when((clip % 2 == 1) & ((F.col("vec_id") + F.col("pos")) % 7 == 0), 0).otherwise(255)})
+    return S.pack_rgba(px, 8, 8)
+
+
+@query(f"WITH {VECTORS} SELECT clip_id, frame_no, pos, CASE WHEN colors <= room THEN rgb ELSE ((i // 32) * 255 + 3) // 7 * 65536 + ((i // 4 % 8) * 255 + 3) // 7 * 256 + ((i % 4) * 255 + 1) // 3 END AS rgb FROM (SELECT *, least(r // 32 * 32 + g // 32 * 4 + b // 64, CASE WHEN room = 255 THEN 254 ELSE 255 END) AS i FROM vq JOIN vs USING (clip_id) WHERE a >= 128)")
+def encode_rgba_fast(spark, d):
+    return _shown(encode.encode_rgba(_vector_frames(spark, d), "fast"))
+
+
+_CELLS = f"""{VECTORS}, vc AS (SELECT clip_id, cell, any_value(colors) AS colors, any_value(cells) AS cells, any_value(room) AS room, count(*) AS n, CAST(sum(r) AS BIGINT) AS sr, CAST(sum(g) AS BIGINT) AS sg, CAST(sum(b) AS BIGINT) AS sb FROM vq JOIN vs USING (clip_id) WHERE a >= 128 GROUP BY clip_id, cell),
+  vm AS (SELECT *, {_mean()} AS rgb FROM vc),
+  sd AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY n DESC, cell) - 1 AS idx, rgb, room FROM vm), sk AS (SELECT * FROM sd WHERE idx < room),
+  na AS (SELECT c.clip_id, c.cell, min(({_dist('c.rgb', 's.rgb')}) * 256 + s.idx) % 256 AS idx FROM vm c JOIN sk s USING (clip_id) GROUP BY c.clip_id, c.cell),
+  mv AS (SELECT clip_id, idx, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sr) AS BIGINT) AS sr, CAST(sum(sg) AS BIGINT) AS sg, CAST(sum(sb) AS BIGINT) AS sb FROM na JOIN vc USING (clip_id, cell) GROUP BY ALL), pl AS (SELECT clip_id, idx, {_mean()} AS rgb FROM mv),
+  nb AS (SELECT c.clip_id, c.cell, min(({_dist('c.rgb', 's.rgb')}) * 256 + s.idx) % 256 AS idx FROM vm c JOIN pl s USING (clip_id) GROUP BY c.clip_id, c.cell),
+  rr AS (SELECT clip_id, cell, rgb FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY n, cell DESC) AS rare FROM vm) WHERE rare > 1 OR cells <> room + 1),
+  mg AS (SELECT clip_id, cell, rgb FROM rr UNION ALL SELECT r.clip_id, r.cell, arg_min(o.rgb, ({_dist('r.rgb', 'o.rgb')}) * 4096 + o.cell) FROM (SELECT vm.* FROM vm ANTI JOIN rr USING (clip_id, cell)) r JOIN rr o USING (clip_id) GROUP BY r.clip_id, r.cell)"""
+
+
+@query(f"""WITH {_CELLS} SELECT clip_id, frame_no, pos, CASE WHEN q.colors <= q.room THEN q.rgb WHEN q.cells <= q.room + 1 THEN mg.rgb ELSE pl.rgb END AS rgb
+    FROM (SELECT * FROM vq JOIN vs USING (clip_id) WHERE a >= 128) q JOIN mg USING (clip_id, cell) JOIN nb USING (clip_id, cell) JOIN pl USING (clip_id, idx)""")
+def encode_rgba_quality(spark, d):
+    """Clips take exact, direct, single-merge or dominant palettes, each by its own colours; none here has more cells or is an even grid."""
+    return _shown(encode.encode_rgba(_vector_frames(spark, d), "quality"))
+
+
+@query(f"""WITH {_GIF}, gp AS (SELECT *, pos % 16 >= fx AND pos % 16 < fx + fw AND pos // 16 >= fy AND pos // 16 < fy + fh AS inside FROM filled JOIN fr USING (clip_id, frame_no)),
+  ow AS (SELECT *, CASE WHEN inside AND idx > 0 THEN (idx - 1) // 4 * 50 * 65536 + (idx - 1) % 4 * 60 * 256 + 128 END AS own FROM gp),
+  kp AS (SELECT *, CASE WHEN disposal = 3 THEN NULL WHEN disposal = 2 AND inside THEN -1 ELSE own END AS keep FROM ow),
+  cv AS (SELECT clip_id, frame_no, pos, coalesce(own, last_value(keep IGNORE NULLS) OVER (PARTITION BY clip_id, pos ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS rgb FROM kp)
+  SELECT clip_id, frame_no, pos, rgb FROM cv WHERE rgb >= 0""")
+def gif_playback(spark, d):
+    """From files with partial frames and disposals 0 to 3 to the pixels that a player shows."""
+    px = _indexed(spark, d)
+    full, height = _whole_grid(px)
+    f = S.frame_table(px)
+    inside = full.withColumns({"x": F.col("pos") % S.GRID, "y": F.floor(F.col("pos") / S.GRID)}).join(f, ["clip_id", "frame_no"]).filter(C.in_rect())
+    box = f.select("clip_id", "frame_no", "delay", F.when(F.col("disposal") > 3, 1).otherwise(F.col("disposal")).alias("disposal"), F.col("fx").alias("x"), F.col("fy").alias("y"), F.least("fw", S.GRID - F.col("fx")).alias("width"), F.least(F.col("fh"), F.lit(height) - F.col("fy")).alias("height"))
+    packed = container.pack_frames(inside.select("clip_id", "frame_no", "pos", "idx")).join(box, ["clip_id", "frame_no"]).withColumn("transparent", F.lit(0))
+    palette = px.select("clip_id").distinct().join(spark.range(21).select(F.col("id").alias("idx")))
+    k = F.col("idx") - 1
+    rgb = F.when(F.col("idx") == 0, 0).otherwise(F.floor(k / 4) * 50 * 65536 + k % 4 * 60 * 256 + 128).cast("long")
+    return _shown(container.encode_clips(packed, palette.withColumn("rgb", rgb), S.GRID, height, 0))
+
+
 # ---- learned palettes and other grouped work: rows only, held against invariants in the tests ----
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,56 @@ def unpack_rgba(frames: DataFrame, width: int, height: int) -> DataFrame:
     return p.select("clip_id", F.floor(F.col("i") / n).alias("frame_no"), (F.col("i") % n).cast("long").alias("pos"), byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"), byte(3).alias("a"))
 
 
+def _whole_frames(size: Column, frame: Column, count: int | None, what: str) -> Column:
+    """Number of frames in size bytes, an error where it isn't whole, is 0 or differs from count."""
+    n = size / frame
+    ok = (size > 0) & (size % frame == 0) & (F.lit(True) if count is None else n == count)
+    return F.when(ok, n).otherwise(F.raise_error(F.lit(f"{what} length does not match its frames")).cast("double")).cast("int")
+
+
+def rgba_frames(clips: DataFrame, frame_count: int | None = None) -> DataFrame:
+    """clips: clip_id, width, height, rgba (frames back to back) as a row per frame; the count follows from the length unless given."""
+    frame = F.col("width") * F.col("height") * 4
+    n = _whole_frames(F.octet_length("rgba"), frame, frame_count, "rgba")
+    k = clips.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
+    return k.select("clip_id", F.col("k").cast("long").alias("frame_no"), "width", "height", F.substring(F.col("rgba"), (F.col("k") * frame + 1).cast("int"), frame.cast("int")).alias("rgba"))
+
+
+def rgba_frame_list(frames: DataFrame) -> DataFrame:
+    """frames: clip_id, frame_no, width, height, rgba. Bytes beyond a frame's canvas are ignored, too few are an error."""
+    size = F.col("width") * F.col("height") * 4
+    cut = F.when(F.octet_length("rgba") >= size, F.substring(F.col("rgba"), F.lit(1), size.cast("int"))).otherwise(F.raise_error(F.lit("rgba frame is too short")).cast("binary"))
+    return frames.withColumn("rgba", cut)
+
+
+def index_frames(clips: DataFrame, padded: int, frame_count: int | None = None) -> DataFrame:
+    """clips: clip_id, width, height, indices (a byte per pixel, frames back to back) as a row per frame; an index beyond the padded palette is an error."""
+    frame = F.col("width") * F.col("height")
+    n = _whole_frames(F.octet_length("indices"), frame, frame_count, "index")
+    k = clips.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
+    part = F.substring(F.col("indices"), (F.col("k") * frame + 1).cast("int"), frame.cast("int"))
+    top = F.pandas_udf(lambda x: x.map(lambda d: max(bytes(d), default=0)), "int")(part)
+    checked = F.when(top < padded, part).otherwise(F.raise_error(F.lit("index beyond the palette")).cast("binary"))
+    return k.select("clip_id", F.col("k").cast("long").alias("frame_no"), "width", "height", checked.alias("indices"))
+
+
+def pack_rgba(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Pixels (clip_id, frame_no, pos, r, g, b, a) as packed frames of whole canvases; absent pixels are 0."""
+    place = F.col("pos") * (1 << 32) + F.col("r") * 16777216 + F.col("g") * 65536 + F.col("b") * 256 + F.col("a")
+    g = px.groupBy("clip_id", "frame_no").agg(F.collect_set(place.cast("long")).alias("p"))
+
+    def scattered(lists: pd.Series) -> pd.Series:
+        out = []
+        for p in lists:
+            v = np.sort(np.asarray(p, np.int64))
+            frame = np.zeros(width * height, ">u4")
+            frame[v >> 32] = v & 0xFFFFFFFF
+            out.append(frame.tobytes())
+        return pd.Series(out)
+
+    return g.select("clip_id", "frame_no", F.lit(width).alias("width"), F.lit(height).alias("height"), F.pandas_udf(scattered, "binary")("p").alias("rgba"))
+
+
 def check_indices(pixels: DataFrame, padded: int) -> DataFrame:
     """Indexed pixels as they are; an index beyond the padded palette is an error when it is read."""
     return pixels.withColumn("idx", F.when(F.col("idx") < padded, F.col("idx")).otherwise(F.raise_error(F.lit("index beyond the palette")).cast("long")))

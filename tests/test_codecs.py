@@ -66,11 +66,63 @@ def test_retime_inserts_controls_and_promotes_the_version():
     assert out[:6] == b"GIF89a" and [f["delay"] for f in gif.parse(out)["frames"]] == [8, 8]
 
 
-@pytest.mark.parametrize("kwargs, why", [({"transparent": 0}, "transparent"), ({"width": 1}, "cover"), ({"disposal": 5}, "disposal")])
-def test_reorder_refusals(kwargs, why):
-    assert why in gif.reorder_refusal(pair(**kwargs))
+def spliced(g, at, piece):
+    return g[:at] + piece + g[at:]
+
+
+def without_control(g, k):
+    f = gif.parse(g)["frames"][k]
+    return g[: f["control_at"]] + g[f["image_at"] :]
+
+
+COMMENT = b"\x21\xfe\x02hi\0"
+FRAMES = gif.parse(pair())["frames"]
+
+
+@pytest.mark.parametrize("data, why", [
+    (pair(transparent=0), "transparent"),
+    (pair(transparent=0, disposal=1), "transparent"),
+    (gif.write(2, 2, PALETTE, [{"indices": bytes(4), "disposal": 1}, {"indices": bytes(4), "disposal": 2, "transparent": 0}]), "transparent"),
+    (pair(width=1), "cover"),
+    (pair(disposal=5), "disposal"),
+    (without_control(pair(), 1), "control block"),
+    (without_control(pair(), 0), "control block"),
+    (spliced(pair(), FRAMES[1]["image_at"], COMMENT), "between a control block and its image"),
+    (spliced(pair(), FRAMES[1]["control_at"], COMMENT), "between frames"),
+    (spliced(pair(), len(pair()) - 1, COMMENT), "after the last frame"),
+    (spliced(pair(), FRAMES[0]["control_at"], gif.control_block(3)), "stray control"),
+    (spliced(pair(), FRAMES[1]["control_at"], b"\x21\x01\x0c" + bytes(12) + b"\x01a\0"), "plain text"),
+    (gif.header(2, 2, PALETTE, None) + b";", "no frames"),
+])
+def test_reorder_refusals(data, why):
+    assert why in gif.reorder_refusal(data)
     with pytest.raises(gif.GifError):
-        gif.reverse(pair(**kwargs))
+        gif.reverse(data)
+
+
+def test_metadata_before_the_first_frame_stays_where_it_is():
+    g = spliced(pair(), FRAMES[0]["control_at"], COMMENT)
+    assert gif.reverse(g)[: FRAMES[0]["control_at"] + len(COMMENT)].endswith(COMMENT)
+    opaque = gif.write(2, 2, PALETTE, [{"indices": bytes(4), "disposal": k} for k in range(4)])
+    assert gif.reorder_refusal(opaque) is None
+
+
+@pytest.mark.parametrize("loop", [-1, 65536, 1.5, True, "3", None])
+def test_loop_counts_out_of_range(loop):
+    with pytest.raises(gif.GifError):
+        gif.set_loop(pair(), loop)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 60)), min_size=1, max_size=30), st.integers(2, 7))
+def test_chosen_code_sizes_come_back_and_never_beat_themselves(runs, m):
+    x = b"".join(bytes([v]) * n for v, n in runs)
+    for size, codes in (lzw.fastest(x, m), lzw.smallest(x, m), lzw.smallest(x, m, x[::-1])):
+        assert lzw.decode(codes, size, len(x), strict=True) in (x, x[::-1]) and size in (m, 7, 8)
+    literal = lzw.literal_size(len(x), m)
+    assert lzw.block_size(len(lzw.fastest(x, m)[1])) <= literal
+    assert len(lzw.smallest(x, m)[1]) <= min(len(lzw.fastest(x, m)[1]), len(lzw.encode_dictionary(x, m)))
+    assert lzw.fastest(bytes(400), 2)[0] == 7 and lzw.fastest(bytes(range(4)) * 50, 2)[0] == 2
 
 
 def test_transparent_frames_that_restore_may_be_reordered():
