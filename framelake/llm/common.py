@@ -2,41 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.sources.storage import shared_dir, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only in local mode without it."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="framelake-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
+materialize = stored
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back. Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (column names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 BATCH_BYTES = 4 << 20
@@ -178,9 +169,10 @@ def shingles_of(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 def without_ids(docs: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 20) -> DataFrame:
     """docs without the rows whose id is in ids (one column, distinct or not). Only rows that hit a bit filter are shuffled."""
-    gone = ids.select(F.col(f"`{ids.columns[0]}`").alias("__gone"))
-    may = KeyFilter(gone, ["__gone"], bits)
-    suspect = may.hit(F.col(f"`{id_col}`"))
+    (name,) = unused(docs.columns, "gone")
+    gone = ids.select(F.col(f"`{ids.columns[0]}`").alias(name))
+    may = KeyFilter(gone, [name], bits)
+    suspect = F.coalesce(may.hit(F.col(f"`{id_col}`")), F.lit(False))
     found = docs.filter(suspect)
-    left = found.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    left = found.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
     return docs.filter(~suspect).unionByName(left)

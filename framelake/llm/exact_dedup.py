@@ -6,16 +6,17 @@ length and prefix already agree with another row's. False filter hits cost a has
 formed by partial aggregation, so a group with a third of all rows leaves each task as one row.
 
 Defined cases: null text counts as empty, and all empty texts are equal; a null id never becomes a group's keep_id
-unless all its ids are null; rows that repeat one id and one text are all marked kept (ids are expected unique);
-further columns pass through ``drop_exact_duplicates`` unchanged, and an empty table gives an empty result.
+unless all its ids are null; of rows that repeat one id and one text exactly one is kept, the first by its other columns in
+``exact_duplicates``, any one in ``drop_exact_duplicates``; further columns pass through the latter unchanged, whatever
+their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, ascii_lower
+from .common import KeyFilter, ascii_lower, unused
 
 PREFIX_CHARS = 256
 FILTER_BITS = 1 << 20
@@ -31,7 +32,6 @@ class _Refined:
         self.size, self.prefix = F.octet_length(raw), F.xxhash64(ascii_lower(F.substring(raw, 1, prefix_chars)))
         self.full = F.sha2(normalized(raw).cast("binary"), 256)
         ident = F.col(f"`{id_col}`")
-        again = F.count(F.lit(1)) > 1
         lengths = docs.select(self.size.alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         self.by_length = KeyFilter(lengths, ["n"], filter_bits)
         at = docs.filter(self.by_length.hit(self.size))
@@ -40,8 +40,24 @@ class _Refined:
         #: True where length and prefix agree with another row's; only these rows have their full text hashed.
         self.suspect = self.by_length.hit(self.size) & self.by_prefix.hit(self.size, self.prefix)
         self.rows = docs.select(ident.alias("doc_id"), F.when(self.suspect, self.full).alias("full"))
-        grouped = self.rows.filter(F.col("full").isNotNull()).groupBy("full")
-        self.groups = grouped.agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("members"), again.alias("again")).filter("again").drop("again")
+        by_id = self.rows.filter(F.col("full").isNotNull()).groupBy("full", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+        groups = by_id.groupBy("full").agg(F.max(F.struct("doc_id", "c")).alias("m"), F.sum("c").alias("members")).filter("members > 1")
+        #: Hash, id that stays, rows with that id (one, unless ids repeat), rows in all.
+        self.groups = groups.select("full", F.col("m.doc_id").alias("keep"), F.col("m.c").alias("twins"), "members")
+
+
+#: Rows that one row of counts stands for at most, when it is spread out again.
+SPREAD = 1 << 16
+
+
+def _one_kept(twins: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that repeat id and text, one of them kept. Equal rows meet as counts and are spread out again in parts."""
+    first = Window.partitionBy("full").orderBy(*columns)
+    counted = twins.groupBy("full", *columns).agg(F.count(F.lit(1)).alias("c")).withColumn("at", F.row_number().over(first))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / SPREAD)))).repartition("full", "part")
+    rows = F.least(F.lit(SPREAD).cast("long"), F.col("c") - F.col("part") * SPREAD)
+    each = parts.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), rows)))
+    return each.select("full", *columns, ((F.col("at") == 1) & (F.col("part") == 0) & (F.col("k") == 1)).alias("kept"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -51,17 +67,26 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = [c.alias(n) for n, c in (extra or {}).items()]
     # rows without a suspect hash get a key of their own, so that they spread over the join's tasks
     keyed = docs.select(ident.alias("doc_id"), F.when(r.suspect, r.full).otherwise(F.concat(F.lit("#"), F.coalesce(ident.cast("string"), F.lit("")))).alias("full"), *named)
-    out = keyed.join(r.groups, "full", "left")
+    joined = keyed.join(r.groups, "full", "left")
+    twin = F.coalesce((F.col("twins") > 1) & F.col("doc_id").eqNullSafe(F.col("keep")), F.lit(False))
     keep = F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), *(extra or {}))
+    columns = ["doc_id", "keep_id", "group_size", *(extra or {})]
+    shaped = lambda df: df.select("full", "doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1).cast("long")).alias("group_size"), *(extra or {}))
+    single = shaped(joined.filter(~twin)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    both = single.unionByName(_one_kept(shaped(joined.filter(twin)), columns))
+    return both.select("doc_id", "keep_id", "group_size", "kept", *(extra or {}))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """docs without the rows whose text an equal row with a larger id stands for. Only suspect rows are shuffled."""
+    """docs without the rows whose text another row stands for. Only suspect rows are shuffled."""
     r = _Refined(docs, id_col, text_col, prefix_chars, filter_bits)
+    full, keep, twins = unused(docs.columns, "full", "keep", "twins")
     clear = docs.filter(~r.suspect)
-    found = docs.filter(r.suspect).withColumn("__full", r.full)
-    groups = r.groups.select(F.col("full").alias("__full"), F.col("keep").alias("__keep"))
-    left = found.join(groups, "__full", "left")
-    stays = F.col("__keep").isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col("__keep"))
-    return clear.unionByName(left.filter(stays).select(*[f"`{c}`" for c in docs.columns]))
+    found = docs.filter(r.suspect).withColumn(full, r.full)
+    groups = r.groups.select(F.col("full").alias(full), F.col("keep").alias(keep), F.col("twins").alias(twins))
+    left = found.join(groups, full, "left")
+    stays = left.filter(F.col(twins).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(keep)))
+    again = F.coalesce(F.col(twins) > 1, F.lit(False))
+    columns = [f"`{c}`" for c in docs.columns]
+    once = stays.filter(again).dropDuplicates([full])
+    return clear.unionByName(stays.filter(~again).select(*columns)).unionByName(once.select(*columns))

@@ -40,13 +40,17 @@ _CLEAN = np.array([_FOLD[b] if b >= 0x80 or 65 <= b <= 90 or 97 <= b <= 122 else
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram bucket per byte position, the start of each text among them, and each text's number of letter bytes."""
+    """Trigram bucket per byte position, the start of each text among them, and each text's number of letter bytes.
+
+    The two positions whose trigram would reach into the next text get bucket GRAMS, which says nothing.
+    """
     joined = _CLEAN[np.frombuffer(b"".join(t + b"\n\n\n" for t in texts), np.uint8)]
     x = joined.astype(np.uint32)
     g = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(19)
     lengths = np.array([len(t) + 3 for t in texts], np.int64)
     starts = np.zeros(len(texts), np.int64)
     np.cumsum(lengths[:-1], out=starts[1:])
+    g[starts[1:] - 2] = g[starts[1:] - 1] = GRAMS
     letters = np.add.reduceat((joined != 32).astype(np.int64), starts)
     return g, starts, letters
 
@@ -59,7 +63,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g, starts, _ = trigrams([x or b"" for x in raw[i:j]])
             for lang, part in zip(langs[i:j], np.split(g, starts[1:]), strict=True):
                 counts.setdefault(lang, np.zeros(GRAMS, np.int64))
-                counts[lang] += np.bincount(part, minlength=GRAMS)
+                counts[lang] += np.bincount(part, minlength=GRAMS + 1)[:GRAMS]
     for lang, c in counts.items():
         k = np.flatnonzero(c)
         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(k), "gram": k, "n": c[k]})
@@ -89,7 +93,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 def _score(logp: np.ndarray):
     schema = pa.schema([("ll", pa.list_(pa.float64())), ("letters", pa.int64())])
-    columns = [np.ascontiguousarray(logp[:, k]) for k in range(logp.shape[1])]
+    columns = [np.append(logp[:, k], 0.0) for k in range(logp.shape[1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

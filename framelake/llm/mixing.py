@@ -53,12 +53,13 @@ _U = np.uint64
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets and their text numbers, trigram buckets and the texts' starts among them."""
+    """Word buckets and their text numbers, trigram buckets and the texts' starts among them; what reaches into the next text is GRAMS."""
     h, doc, _ = words_of(texts, ALNUM)
     x = np.frombuffer(b"".join(t + b"\n\n\n" for t in texts), np.uint8).astype(np.uint32)
     g = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(19)
     starts = np.zeros(len(texts), np.int64)
     np.cumsum([len(t) + 3 for t in texts[:-1]], out=starts[1:])
+    g[starts[1:] - 2] = g[starts[1:] - 1] = GRAMS
     return (h >> _U(49)).astype(np.int64), doc, g, starts
 
 
@@ -77,7 +78,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # a word counts once per text, so that one repetitive text can't shape a class
                 total[domain[i + k], np.unique(w[cut[k] : cut[k + 1]])] += 1
                 part = g[starts[k] : starts[k + 1] if k + 1 < j - i else None]
-                total[domain[i + k], WORDS:-1] += np.bincount(part, minlength=GRAMS)
+                total[domain[i + k], WORDS:-1] += np.bincount(part, minlength=GRAMS + 1)[:GRAMS]
                 total[domain[i + k], -1] += 1
     d, f = np.nonzero(total)
     yield pa.RecordBatch.from_pydict({"domain": d, "feature": f, "n": total[d, f]})
@@ -85,7 +86,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Classifier:
     def __init__(self, word: np.ndarray, gram: np.ndarray, weights: np.ndarray, shares: np.ndarray):
-        self.word, self.gram, self.weights, self.shares = word, gram, weights, shares
+        self.word, self.weights, self.shares = word, weights, shares
+        self.gram = np.concatenate([gram, np.zeros((len(gram), 1))], 1)
 
     def inputs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Per text, for each domain but the first: mean trigram evidence, strong and strongest word evidence; and 1; its words."""

@@ -43,7 +43,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (doc_id; source as host, lang as declared) and pages (page_id; url and markup) together."""
+    """Documents (doc_id; source as host) and pages (page_id; url and markup) together. lang only teaches: it is no evidence."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = language_id.fit(docs)
     url = F.coalesce("url", F.lit(""))
@@ -52,7 +52,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix, folder = F.substring_index(host, ".", -1), F.regexp_extract(url_filters.path_of(url), r"^/([a-zA-Z]{2})(?:/|$)", 1)
     named = F.when(suffix.isin(model.languages or [""]), suffix).when(folder != "", folder)
     null = lambda kind: F.lit(None).cast(kind)
-    a = docs.select("doc_id", null("long").alias("page_id"), "text", F.col("source").alias("host"), F.col("lang").alias("declared"), null("string").alias("named"))
+    a = docs.select("doc_id", null("long").alias("page_id"), "text", F.col("source").alias("host"), null("string").alias("declared"), null("string").alias("named"))
     b = pages.select(null("long").alias("doc_id"), "page_id", html_text.visible_text("html").alias("text"), host.alias("host"), markup.alias("declared"), named.alias("named"))
     return language_id.identify(a.unionByName(b), model, ["doc_id", "page_id"])
 
@@ -79,6 +79,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), x -> x <> '') AS w FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+             n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+             x AS (SELECT doc_id, unnest(s) AS sh FROM s),
+             c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM x a JOIN x b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * both >= 80 * (a.n + b.n - both)),
+             r AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+             m AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
     "op2_chat_formatting": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -5,6 +5,7 @@ import random
 import pytest
 from framelake.llm import exact_dedup, near_dedup, queries
 from framelake.llm.common import KeyFilter, materialize, shared_dir, shingles_of, without_ids
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 
@@ -63,6 +64,10 @@ def family(rnd, base, copies, edits):
 EDGES = [None, "", " \t\n", "one", "One", "two words", "two  WORDS", "É a", "é a", "x" * 300_000, "long " * 60_000, "a b c d", "a b c d", "A\x0bb c\td", "\u00a0a b c d"]
 
 
+def test_near_query_matches_sql(spark, duck, same):
+    same(queries.op1_minhash_near_dedup(spark, SMALL), duck, queries.ORACLES["op1_minhash_near_dedup"])
+
+
 def test_exact_query_matches_sql(spark, duck, same):
     same(queries.op3_exact_dedup(spark, SMALL), duck, queries.ORACLES["op3_exact_dedup"])
 
@@ -81,8 +86,31 @@ def test_exact_edges(spark):
 
 
 def test_exact_null_and_repeated_ids(spark):
-    got = exact_dedup.exact_duplicates(documents(spark, ["a", "a", "b", "b", "c"], [None, 1, 2, 2, None])).collect()
-    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == [("1", "1", 2, True), ("2", "2", 2, True), ("2", "2", 2, True), ("None", "1", 2, False), ("None", "None", 1, True)]
+    d = documents(spark, ["a", "a", "b", "b", "c", "b", "d", "d"], [None, 1, 2, 2, None, 1, None, None])
+    got = exact_dedup.exact_duplicates(d).collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == sorted([
+        ("1", "1", 2, True), ("None", "1", 2, False), ("2", "2", 3, True), ("2", "2", 3, False), ("1", "2", 3, False), ("None", "None", 1, True), ("None", "None", 2, True), ("None", "None", 2, False)])
+    left = exact_dedup.drop_exact_duplicates(d)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == [("1", "a"), ("2", "b"), ("None", "c"), ("None", "d")]
+
+
+def test_exact_rows_that_repeat_id_and_text_are_spread_out_again(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SPREAD", 7)
+    got = exact_dedup.exact_duplicates(documents(spark, ["a"] * 50 + ["b"], [3] * 50 + [4]), extra={"x": F.lit(1)}).collect()
+    assert len(got) == 51 and sum(r["kept"] for r in got) == 2 and {r["group_size"] for r in got if r["doc_id"] == 3} == {50}
+
+
+CLASHING = "doc_id long, text string, full string, keep string, twins string, `__full` string, gone map<string,int>, gone_ int, fp string, rep string"
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(k, t, f"f{k}", "k", "t", "u", {"a": k}, k, "p", "r") for k, t in enumerate(["a", "A", "b", "c", "c"])]
+    d = spark.createDataFrame(rows, CLASHING)
+    left = exact_dedup.drop_exact_duplicates(d)
+    assert left.columns == d.columns and sorted((tuple(r) for r in left.collect()), key=lambda r: r[0]) == [tuple(rows[k]) for k in (1, 2, 4)]
+    left = without_ids(d, "doc_id", d.filter("doc_id < 2").select("doc_id"))
+    assert left.columns == d.columns and [tuple(r) for r in left.orderBy("doc_id").collect()] == [tuple(r) for r in rows[2:]]
+    assert near_dedup.near_duplicates(d).count() == 5
 
 
 def test_exact_needs_no_luck_in_its_filters(spark):
@@ -115,6 +143,39 @@ def test_near_crowd_is_not_cut(spark):
     assert not [i for i in got if got[i] != expected[i][1]]
 
 
+def test_near_does_not_depend_on_partitions(spark):
+    rnd = random.Random(4)
+    base = " ".join(f"b{k}" for k in range(60))
+    texts = [*family(rnd, base, 120, 10), *family(rnd, " ".join(f"c{k}" for k in range(40)), 40, 6)]
+    expected = {i: c for i, (_, c) in components(dict(enumerate(texts)), 5, 80).items()}
+    d = documents(spark, texts)
+    for parts, rows in ((1, 10_000), (13, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        try:
+            got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(d.repartition(parts)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == expected
+
+
+def test_near_candidates_find_all_pairs(spark):
+    """Recall of pairs, each a small family of its own at similarities from the threshold up."""
+    rnd = random.Random(6)
+    texts, linked = [], 0
+    for f in range(300):
+        w = [f"f{f}_{k}" for k in range(rnd.randrange(20, 120))]
+        other = list(w)
+        for k in sorted(rnd.sample(range(len(w)), max(1, len(w) // 55))):
+            other[k] = "x"
+        texts += [" ".join(w), " ".join(other)]
+        a, b = shingle_set(texts[-2], 5), shingle_set(texts[-1], 5)
+        linked += 100 * len(a & b) >= 80 * len(a | b)
+    got = [r["component_id"] for r in near_dedup.near_duplicates(documents(spark, texts)).orderBy("doc_id").collect()]
+    found = sum(got[k] == got[k + 1] for k in range(0, len(got), 2))
+    print(f"pair recall {found / linked:.4f} of {linked}")
+    assert linked > 100 and found == linked
+
+
 def test_near_null_repeated_and_no_rows(spark):
     t = "a b c d e f g h"
     got = near_dedup.near_duplicates(documents(spark, [t, t, t, None, "z"], [None, 4, 4, 9, None])).collect()

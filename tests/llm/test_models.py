@@ -42,6 +42,58 @@ def test_language_evidence_decides_where_text_does_not(spark):
     assert (got[0]["language"], got[1]["language"]) == ("es", "fr")
 
 
+def fused(rows, model):
+    """The posterior of every row by the definitions, one row at a time."""
+    spots = [*model.languages, "und"]
+    lls, posts = [], []
+    for _, text, *_ in rows:
+        raw = (text or "").encode()
+        clean = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in raw + b"\n\n\n")
+        grams = [((clean[k] * 0x9E3779B1 + clean[k + 1] * 0x85EBCA6B + clean[k + 2] * 0xC2B2AE35) % 2**32) >> 19 for k in range(len(clean) - 2)]
+        ll = model.logp[grams].sum(0) * language_id.TEMPER
+        lls.append(ll - ll.max())
+        p = np.exp(lls[-1])
+        posts.append(p / p.sum() if clean.strip() else None)
+    none = np.zeros(len(spots))
+    known = lambda c: c if c in model.languages else "" if not c else "?"
+    host, said = [(r[2] or "").lower() for r in rows], [[known(r[c]) for r in rows] for c in (3, 4)]
+    level = [host, [".".join(h.split(".")[-2:]) for h in host], [h.split(".")[-1] for h in host]]
+    mass = lambda keys, key: sum((p for k, p in zip(keys, posts) if k == key and p is not None), none)
+    whole = mass([0] * len(rows), 0) + 1
+    out = []
+    for i, row in enumerate(rows):
+        own = none if posts[i] is None else posts[i]
+        prior = whole / whole.sum()
+        for keys in level[::-1]:
+            m = mass(keys, keys[i])
+            prior = (np.maximum(m - own, 0) + language_id.STRENGTH * prior) / (max(m.sum() - (posts[i] is not None), 0) + language_id.STRENGTH)
+        s = lls[i] + np.log(prior)
+        for values in said:
+            if values[i]:
+                by = {v: mass(values, v) for v in set(values)}
+                s = s + np.log((by[values[i]] + 1 / (len(by) + 1)) / (sum(by.values()) + 1))
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        best = int(np.argmax(s))
+        out.append((spots[best] if posts[i] is not None else "und", round(p[best], 6) if posts[i] is not None else 0.0))
+    return out
+
+
+def test_language_fusion_equals_brute_force(spark):
+    model = language_id.fit(docs(spark))
+    texts = [r["text"] for r in docs(spark).orderBy("doc_id").limit(40).collect()]
+    rnd = np.random.default_rng(1)
+    hosts = ["a.example.de", "b.example.de", "x.fr", "fr", "", None, "Z.example.com"]
+    rows = [(k, texts[k % 40][: rnd.integers(3, 60)], hosts[k % 7], [None, "fr", "DE-at", "xx", ""][k % 5], [None, "de", "en"][k % 3]) for k in range(90)]
+    rows += [(90, None, "x.fr", "fr", "fr"), (91, "12 34", None, None, None), (None, texts[0][:50], "x.fr", "en", None), (5, rows[5][1], *rows[5][2:]), (92, texts[1] * 40, "long.de", None, "de")]
+    df = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "doc_id long, text string, host string, declared string, named string, language string, post double")
+    got = language_id.identify(df, model, ["doc_id"]).collect()
+    lower = [(r[0], r[1], r[2], r[3] and r[3].lower().split("-")[0], r[4]) for r in rows]
+    expected = sorted((str(r[0]), lang, conf) for r, (lang, conf) in zip(rows, fused(lower, model)))
+    mine = sorted((str(r["doc_id"]), r["language"], r["confidence"]) for r in got)
+    assert [m[:2] for m in mine] == [e[:2] for e in expected]
+    assert max(abs(m[2] - e[2]) for m, e in zip(mine, expected)) < 2e-6
+
+
 def test_language_without_labels_or_rows(spark):
     empty = docs(spark).limit(0)
     model = language_id.fit(empty)
@@ -159,13 +211,34 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_stops_early_where_few_components_decide(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(3000, 6)) * np.array([1, 0.3, 0.05, 0.02, 0.01, 0.01])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, with_scored=True).toPandas()
+    share = got.groupby("query_id")["scored"].first().mean() / len(x)
+    print(f"share of rows scored {share:.3f}")
+    assert share < 0.5
+    whole = np.floor(256 * x)
+    for q, rows in got.groupby("query_id"):
+        best = sorted(((-int(s), k) for k, s in enumerate(whole @ whole[q]) if k != q))[:5]
+        assert [(-r.score, r.vec_id) for r in rows.sort_values("rank").itertuples()] == best
+
+
+def test_top_k_repeated_ids(spark):
+    rows = [(0, [1.0]), (7, [0.5]), (7, [0.5]), (7, [0.25]), (None, [9.0]), (0, [0.75])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=5).orderBy("query_id", "rank").collect()
+    assert {r["vec_id"] for r in got} == {7} and [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 60), st.integers(1, 5), st.integers(0, 10**6))
 def test_threshold_algorithm_is_exact(n, d, seed):
     rnd = np.random.default_rng(seed)
     x, q, ids = rnd.integers(-4, 5, (n, d)).astype(float), rnd.integers(-3, 4, d).astype(float), rnd.permutation(n)
     lists = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
-    i, s = topk.best_in_block(x, ids, lists, q, 0, 5)
+    i, s, scored = topk.best_in_block(x, ids, lists, q, 0, 5)
+    assert len(i) <= scored <= n
     expected = sorted(((-int(v), int(k)) for k, v in zip(ids, x @ q) if k != 0))[:5]
     assert [(-int(b), int(a)) for a, b in zip(i, s)] == expected
 
