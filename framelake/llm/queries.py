@@ -80,13 +80,13 @@ QUERIES = {
 
 ORACLES = {
     "op1_minhash_near_dedup": r"""
-        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), x -> x <> '') AS w FROM documents),
+        WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
              s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
                      ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
              n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
              x AS (SELECT doc_id, unnest(s) AS sh FROM s),
-             c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM x a JOIN x b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-             l AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * both >= 80 * (a.n + b.n - both)),
+             c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM x a JOIN x b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+             l AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
              r AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
              m AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
         SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)""",
