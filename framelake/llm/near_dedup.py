@@ -5,9 +5,10 @@
 2. The forest: every tree takes its own values in its own order as a sort key. The nodes of a tree are range
    partitioned and sorted by key; candidates are neighbours with the longest common prefixes. A pair needs a prefix of
    MIN_DEPTH values, and a region of up to CROWD nodes with such a prefix pairs all its nodes. A crowded region goes
-   deeper: of the NEAR nodes next to it in sorted order a node takes the BEST with the longest common prefix (the more
-   similar first), and the region's hub, the node on its heaviest path; step 5 decides the rest. Range partitions split
-   any crowd; the rows beside a partition's border are compared in a second, small pass.
+   deeper: of the NEAR nodes next to it in sorted order a node takes in each tree the one with the longest common prefix
+   (of several the most similar), and the region's hub, the node on its heaviest path; these join most of a crowd, and
+   step 5 decides the rest. Range partitions split any crowd; the rows beside a partition's border are compared in a
+   second, small pass.
 3. Pairs whose sets differ too much in size are dropped before any text moves, which loses nothing. A packed sketch that
    travels with the keys gives the similarity of candidates and drops those far below the threshold (a pair of
    similarity 0.8 fails it less than once in a million).
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import KeyFilter, bounded_batches, chunks, materialize, mix, shingles_of
 
 TREES, DEPTH = 20, 5
-MIN_DEPTH, NEAR, CROWD, BEST = 2, 48, 32, 3
+MIN_DEPTH, NEAR, CROWD, BEST = 2, 48, 32, 1
 ROUNDS = 2
 SKETCH_SLACK = 0.22
 BLOCK_ROWS, BLOCK_ITEMS = 512, 1 << 19
