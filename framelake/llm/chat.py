@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BLOCK = 64
 #: What is escaped, in this order; undone in the opposite order.
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"))
@@ -44,56 +46,71 @@ def unescape(c: Column, pairs=ESCAPES) -> Column:
     return c
 
 
+def _head(role: Column) -> Column:
+    return F.concat(F.lit("<s>"), escape(role, ROLE_ESCAPES), F.lit("\n"))
+
+
+def _measured(turns: DataFrame, bytes_per_token: int) -> DataFrame:
+    """Turns with their place (block, at), their sizes and the tokens before them in their block. Written once: planning reads its numbers only."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    head, body = _head(role), escape(text)
+    size = F.octet_length(head) + F.octet_length(body) + 4
+    t = turns.select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"), F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK)), F.lit(-(1 << 60))).alias("block"),
+        F.ceil(size / F.lit(bytes_per_token)).cast("long").alias("tokens"), F.char_length(head).cast("long").alias("head"), F.char_length(body).cast("long").alias("body"),
+    )
+    before = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(t.withColumns({"in_block": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "at": F.count("tokens").over(before)}).drop("turn"), "turns")
+
+
 def format_windows(turns: DataFrame, budget: int = 640, history: int = 128, bytes_per_token: int = 4) -> DataFrame:
     """One row per window: conv_id, window, text, carried (code points of its repeated turns), tokens, loss (spans start, length)."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit("<s>"), escape(role, ROLE_ESCAPES), F.lit("\n"))
-    t = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), head.alias("head"), escape(text).alias("body"))
-    t = t.withColumn("shown", F.concat("head", "body", F.lit("</s>"))).withColumn("tokens", F.ceil(F.octet_length("shown") / F.lit(bytes_per_token)).cast("long"))
-    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK)), F.lit(-(1 << 60))))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    said = _measured(turns, bytes_per_token)
+    t = said.withColumn("system", F.col("role") == "system").select("conv_id", "block", "at", "in_block", "system", (F.col("role") == "assistant").alias("target"), "tokens", "head", "body")
+
     over = Window.partitionBy("conv_id").orderBy("block")
-    first = F.min(F.struct("turn", "role", "text", "tokens"))
-    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows"), first.alias("first"))
-    lead = F.first("first").over(over)
-    blocks = blocks.select(F.col("conv_id").alias("bc"), F.col("block").alias("bb"), (F.sum("n").over(over) - F.col("n")).alias("n0"), (F.sum("rows").over(over) - F.col("rows")).alias("r0"), F.when(lead["role"] == "system", lead["tokens"]).otherwise(0).alias("system"))
-    t = t.withColumns({"in_block": F.coalesce(F.sum("tokens").over(inside), F.lit(0)), "at": F.count("tokens").over(inside)})
+    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.when((F.col("at") == 0) & F.col("system"), F.col("tokens"))), F.lit(0)).alias("lead"))
+    blocks = blocks.select(F.col("conv_id").alias("bc"), F.col("block").alias("bb"), (F.sum("n").over(over) - F.col("n")).alias("n0"), (F.sum("rows").over(over) - F.col("rows")).alias("r0"), F.first("lead").over(over).alias("opening"))
     t = t.join(blocks, F.col("conv_id").eqNullSafe(F.col("bc")) & (F.col("block") == F.col("bb")))
     # tokens before a turn, the system turn left out; that turn itself lies before 0
-    t = t.select("conv_id", "role", "head", "body", "shown", "tokens", "system", (F.col("n0") + F.col("in_block") - F.col("system")).alias("before"), (F.col("r0") + F.col("at")).alias("pos"))
-    opens = (F.col("pos") == 0) & (F.col("system") > 0)
-    room = F.greatest(F.lit(1), F.lit(budget - history) - F.col("system"))
-    t = t.withColumns({"opens": opens, "room": room, "cell": F.when(opens, 0).otherwise(F.floor(F.col("before") / room))})
+    t = t.withColumns({"before": F.col("n0") + F.col("in_block") - F.col("opening"), "pos": F.col("r0") + F.col("at")}).drop("bc", "bb", "n0", "r0", "in_block")
+    room = F.greatest(F.lit(1), F.lit(budget - history) - F.col("opening"))
+    t = t.withColumns({"opens": (F.col("pos") == 0) & (F.col("opening") > 0), "room": room})
+    t = t.withColumn("cell", F.when(F.col("opens"), 0).otherwise(F.floor(F.col("before") / F.col("room"))))
     t = t.withColumn("cut", ~F.col("opens") & (F.floor((F.col("before") + F.col("tokens") - 1) / F.col("room")) > F.col("cell")))
     beside = F.coalesce(F.sum(F.when(~F.col("cut") & ~F.col("opens"), F.col("tokens"))).over(Window.partitionBy("conv_id", "cell")), F.lit(0))
     alone = F.col("cut") & (beside > 0) & (beside + F.col("tokens") > F.col("room"))
-    t = t.withColumn("window", 2 * F.col("cell") + F.when(alone, 1).otherwise(0)).drop("cell", "cut")
+    t = t.withColumn("window", 2 * F.col("cell") + F.when(alone, 1).otherwise(0)).drop("cell", "cut", "room")
 
     fresh = F.coalesce(F.sum(F.when(~F.col("opens"), F.col("tokens"))), F.lit(0))
-    spans = t.groupBy("conv_id", "window").agg(F.min(F.when(~F.col("opens"), F.col("before"))).alias("begins"), F.min("pos").alias("first"), (F.lit(budget) - F.max("system") - fresh).alias("left"))
+    spans = t.groupBy("conv_id", "window").agg(F.min(F.when(~F.col("opens"), F.col("before"))).alias("begins"), F.min("pos").alias("first"), (F.lit(budget) - F.max("opening") - fresh).alias("left"))
     ahead = Window.partitionBy("conv_id").orderBy("window")
     spans = spans.select(F.col("conv_id").alias("sc"), F.col("window").alias("sw"), "first", *(F.lead(c).over(ahead).alias(f"next_{c}") for c in ("window", "begins", "left")))
-    system = t.filter("opens").select(F.col("conv_id").alias("yc"), F.col("shown").alias("shown"), "tokens")
 
-    t = t.join(spans, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("window") == F.col("sw")))
+    joined = t.join(spans, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("window") == F.col("sw")))
     repeated = F.col("next_window").isNotNull() & (F.col("next_begins") - F.col("before") <= F.least(F.lit(history), F.col("next_left"))) & ~F.col("opens")
     as_new = F.struct(F.col("window").alias("window"), F.lit(2).alias("kind"))
     as_old = F.struct(F.col("next_window").alias("window"), F.lit(1).alias("kind"))
-    copies = F.explode(F.when(repeated, F.array(as_new, as_old)).otherwise(F.array(as_new)))
-    columns = ["conv_id", "window", "kind", "pos", "role", "head", "body", "shown", "tokens"]
-    placed = t.select("conv_id", "pos", "role", "head", "body", "shown", "tokens", copies.alias("c")).select("conv_id", "c.window", "c.kind", "pos", "role", "head", "body", "shown", "tokens")
-    kept = spans.filter("first > 0").join(system, F.col("sc").eqNullSafe(F.col("yc")))
-    none = F.lit("")
-    placed = placed.unionByName(kept.select(F.col("sc").alias("conv_id"), F.col("sw").alias("window"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit("system").alias("role"), none.alias("head"), none.alias("body"), "shown", "tokens").select(*columns))
-
-    size = F.char_length("shown").cast("long")
+    copies = F.explode(F.when(repeated, F.array(as_new, as_old)).otherwise(F.array(as_new))).alias("c")
+    columns = ["conv_id", "block", "at", "pos", "target", "tokens", "head", "body"]
+    placed = joined.select(*columns, copies).select(*columns, "c.window", "c.kind")
+    kept = spans.filter("first > 0").select("sc", "sw").join(t.filter("opens").select(*columns), F.col("sc").eqNullSafe(F.col("conv_id")))
+    placed = placed.unionByName(kept.select(*columns, F.col("sw").alias("window"), F.lit(0).alias("kind")))
+
+    size = F.col("head") + F.col("body") + 4
     so_far = Window.partitionBy("conv_id", "window").orderBy("kind", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum(size).over(so_far), F.lit(0)))
-    span = F.when((F.col("kind") == 2) & (F.col("role") == "assistant"), F.struct((F.col("offset") + F.char_length("head")).alias("start"), F.char_length("body").cast("long").alias("length")))
-    out = placed.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("kind", "pos", "shown"))).alias("parts"),
-        F.sum(F.when(F.col("kind") < 2, size).otherwise(0)).alias("carried"),
-        F.array_sort(F.collect_list(span)).alias("loss"),
+    offset = F.coalesce(F.sum(size).over(so_far), F.lit(0))
+    span = F.when((F.col("kind") == 2) & F.col("target"), F.struct((F.col("offset") + F.col("head")).alias("start"), F.col("body").alias("length")))
+    planned = placed.withColumn("offset", offset).withColumns({"span": span, "carried": F.when(F.col("kind") < 2, size).otherwise(0)})
+    planned = planned.select(F.col("conv_id").alias("pc"), F.col("block").alias("pb"), F.col("at").alias("pa"), "window", "kind", "pos", "span", "carried", "tokens")
+
+    # the texts meet their windows here for the first time
+    full = said.select("conv_id", "block", "at", "role", "text").join(planned, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("block") == F.col("pb")) & (F.col("at") == F.col("pa")))
+    shown = F.concat(_head(F.col("role")), escape(F.col("text")), F.lit("</s>"))
+    out = full.groupBy("conv_id", "window").agg(
+        F.array_sort(F.collect_list(F.struct("kind", "pos", shown.alias("shown")))).alias("parts"),
+        F.sum("carried").alias("carried"),
+        F.array_sort(F.collect_list("span")).alias("loss"),
         F.sum("tokens").alias("tokens"),
     )
     return out.select("conv_id", "window", F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("text"), "carried", "tokens", "loss")

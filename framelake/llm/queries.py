@@ -99,8 +99,8 @@ ORACLES = {
              y AS (SELECT conv_id, tokens AS sys, length(shown) AS sys_len FROM k WHERE pos = 0 AND role = 'system'),
              b AS (SELECT k.*, coalesce(sys, 0) AS sys, coalesce(sys_len, 0) AS sys_len, pos = 0 AND sys IS NOT NULL AS opens, greatest(1, 512 - coalesce(sys, 0)) AS room,
                      sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens - coalesce(sys, 0) AS before FROM k LEFT JOIN y USING (conv_id)),
-             c AS (SELECT *, CASE WHEN opens THEN 0 ELSE before // room END AS cell, NOT opens AND (before + tokens - 1) // room > before // room AS cut FROM b),
-             d AS (SELECT *, coalesce(sum(tokens) FILTER (NOT cut AND NOT opens) OVER (PARTITION BY conv_id, cell), 0) AS beside FROM c),
+             e AS (SELECT *, CASE WHEN opens THEN 0 ELSE before // room END AS cell, NOT opens AND (before + tokens - 1) // room > before // room AS cut FROM b),
+             d AS (SELECT *, coalesce(sum(tokens) FILTER (NOT cut AND NOT opens) OVER (PARTITION BY conv_id, cell), 0) AS beside FROM e),
              w AS (SELECT *, 2 * cell + CASE WHEN cut AND beside > 0 AND beside + tokens > room THEN 1 ELSE 0 END AS win FROM d),
              p AS (SELECT conv_id, win, min(before) FILTER (NOT opens) AS begins, min(pos) AS first, 640 - max(sys) - coalesce(sum(tokens) FILTER (NOT opens), 0) AS room_left FROM w GROUP BY ALL),
              n AS (SELECT *, lead(begins) OVER o AS next_begins, lead(room_left) OVER o AS next_left FROM p WINDOW o AS (PARTITION BY conv_id ORDER BY win)),
