@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, ascii_lower, unused
+from .common import KeyFilter, ascii_lower, materialize, unused
 
 PREFIX_CHARS = 256
 FILTER_BITS = 1 << 20
@@ -42,8 +42,30 @@ class _Refined:
         self.rows = docs.select(ident.alias("doc_id"), F.when(self.suspect, self.full).alias("full"))
         by_id = self.rows.filter(F.col("full").isNotNull()).groupBy("full", "doc_id").agg(F.count(F.lit(1)).alias("c"))
         groups = by_id.groupBy("full").agg(F.max(F.struct("doc_id", "c")).alias("m"), F.sum("c").alias("members")).filter("members > 1")
-        #: Hash, id that stays, rows with that id (one, unless ids repeat), rows in all.
-        self.groups = groups.select("full", F.col("m.doc_id").alias("keep"), F.col("m.c").alias("twins"), "members")
+        #: Hash, id that stays, rows with that id (one, unless ids repeat), rows in all. Written once, as several steps read it.
+        self.groups = materialize(groups.select("full", F.col("m.doc_id").alias("keep"), F.col("m.c").alias("twins"), "members"), "groups")
+        self.repeated = not self.groups.filter("twins > 1").isEmpty()
+
+    def joined(self, rows: DataFrame, full: str, spread: Column, names: list[str]) -> DataFrame:
+        """rows with their group's keep, twins and members under these names, or nulls.
+
+        Groups with a thousandth of all grouped rows or more - a thousand at most - are broadcast; the others are joined
+        by shuffle, where the rows of broadcast groups lie under ``spread``.
+        """
+        keep, twins, members, key = names
+        left, right = ({n: f for n, f in zip(("full", "keep", "twins", "members"), part)} for part in (unused([*rows.columns, *names], *"abcd"), unused([*rows.columns, *names], *"efgh")))
+        total = self.groups.agg(F.sum("members").alias("n")).scalar()
+        large = F.col("members") * HOT_GROUPS >= total
+        named = lambda g, to: g.select(*(F.col(c).alias(n) for c, n in to.items()))
+        a = rows.join(F.broadcast(named(self.groups.filter(large), left)), F.col(full) == F.col(left["full"]), "left")
+        a = a.withColumn(key, F.when(F.col(left["full"]).isNotNull(), spread).otherwise(F.col(full)))
+        b = a.join(named(self.groups.filter(~large), right), F.col(key) == F.col(right["full"]), "left")
+        both = [F.coalesce(left[c], right[c]).alias(n) for c, n in (("keep", keep), ("twins", twins), ("members", members))]
+        return b.select(*(f"`{c}`" for c in rows.columns), *both)
+
+
+#: As many groups may have a share of one in so many of all grouped rows; they are broadcast.
+HOT_GROUPS = 1000
 
 
 #: Rows that one row of counts stands for at most, when it is spread out again.
@@ -66,27 +88,32 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ident = F.col(f"`{id_col}`")
     named = [c.alias(n) for n, c in (extra or {}).items()]
     # rows without a suspect hash get a key of their own, so that they spread over the join's tasks
-    keyed = docs.select(ident.alias("doc_id"), F.when(r.suspect, r.full).otherwise(F.concat(F.lit("#"), F.coalesce(ident.cast("string"), F.lit("")))).alias("full"), *named)
-    joined = keyed.join(r.groups, "full", "left")
+    own = F.concat(F.lit("#"), F.coalesce(ident.cast("string"), F.lit("")))
+    keyed = docs.select(ident.alias("doc_id"), F.when(r.suspect, r.full).otherwise(own).alias("full"), *named)
+    spread = F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    joined = r.joined(keyed, "full", spread, ["keep", "twins", "members", "key"])
     twin = F.coalesce((F.col("twins") > 1) & F.col("doc_id").eqNullSafe(F.col("keep")), F.lit(False))
     keep = F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     columns = ["doc_id", "keep_id", "group_size", *(extra or {})]
     shaped = lambda df: df.select("full", "doc_id", keep.alias("keep_id"), F.coalesce("members", F.lit(1).cast("long")).alias("group_size"), *(extra or {}))
-    single = shaped(joined.filter(~twin)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    both = single.unionByName(_one_kept(shaped(joined.filter(twin)), columns))
-    return both.select("doc_id", "keep_id", "group_size", "kept", *(extra or {}))
+    out = shaped(joined.filter(~twin) if r.repeated else joined).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if r.repeated:
+        out = out.unionByName(_one_kept(shaped(joined.filter(twin)), columns))
+    return out.select("doc_id", "keep_id", "group_size", "kept", *(extra or {}))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """docs without the rows whose text another row stands for. Only suspect rows are shuffled."""
     r = _Refined(docs, id_col, text_col, prefix_chars, filter_bits)
-    full, keep, twins = unused(docs.columns, "full", "keep", "twins")
+    full, keep, twins, *more = unused(docs.columns, "full", "keep", "twins", "members", "key")
     clear = docs.filter(~r.suspect)
     found = docs.filter(r.suspect).withColumn(full, r.full)
-    groups = r.groups.select(F.col("full").alias(full), F.col("keep").alias(keep), F.col("twins").alias(twins))
-    left = found.join(groups, full, "left")
+    spread = F.concat(F.lit("#"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    left = r.joined(found, full, spread, [keep, twins, *more])
     stays = left.filter(F.col(twins).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(keep)))
-    again = F.coalesce(F.col(twins) > 1, F.lit(False))
     columns = [f"`{c}`" for c in docs.columns]
+    if not r.repeated:
+        return clear.unionByName(stays.select(*columns))
+    again = F.coalesce(F.col(twins) > 1, F.lit(False))
     once = stays.filter(again).dropDuplicates([full])
     return clear.unionByName(stays.filter(~again).select(*columns)).unionByName(once.select(*columns))
