@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.sources.storage import stored
+
 
 def psnr(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """pairs: keys, r g b a (source), r2 g2 b2 (decoded; null where transparent counts as black). Over source-opaque pixels; equal is null."""
@@ -58,19 +60,19 @@ def geometric_mean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def pareto_frontier(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows that no other row beats: none is at most equal in both and less in one.
 
-    A window instead of a self join: a row stands if its b is below every b at smaller a, and least among its own a.
-    Random buckets are reduced to their own frontiers first, so that the last, single ordering sees few rows.
+    A row stands if its b is below every b at smaller a, and least among its own a. Rows are dealt to ranges of a; a range
+    needs only the least b of the ranges before it, so no task sees more than its range even if all rows stand.
     """
-    least = df.groupBy(a).agg(F.min(b).alias("__b"))
-
-    def standing(rows: DataFrame, within: Window) -> DataFrame:
-        before = F.min("__b").over(within.orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
-        return rows.withColumn("__before", before).filter(F.col("__before").isNull() | (F.col("__b") < F.col("__before"))).drop("__before")
-
-    bucketed = standing(least.withColumn("__bucket", F.pmod(F.xxhash64(a), F.lit(64))), Window.partitionBy("__bucket"))
-    stands = standing(bucketed.drop("__bucket"), Window.partitionBy())
-    on = stands.select(F.col(a).alias("__a"), "__b")
-    return df.join(on, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left_semi")
+    spark = df.sparkSession
+    least = df.groupBy(F.col(a).alias("__a")).agg(F.min(b).alias("__b")).filter("__a is not null and __b is not null")
+    ranges = stored(least.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__a").withColumn("__range", F.spark_partition_id()), "ranges")
+    low = ranges.groupBy("__range").agg(F.min("__b").alias("low"))
+    # as many rows as there are ranges
+    below = low.select(F.col("__range").alias("__r"), F.min("low").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__low"))
+    inside = F.min("__b").over(Window.partitionBy("__range").orderBy("__a").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.least(F.col("__before"), F.col("__low"))
+    stands = ranges.withColumn("__before", inside).join(F.broadcast(below), F.col("__range") == F.col("__r")).filter(before.isNull() | (F.col("__b") < before)).select("__a", "__b")
+    return df.join(stands, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left_semi")
 
 
 def ratio_summary(df: DataFrame, fixture: str, implementation: str, value: str, ours: str) -> DataFrame:

@@ -36,11 +36,11 @@ def nearest(colors: DataFrame, palette: DataFrame, keys: list[str] = ()) -> Data
     return colors.join(p, on).groupBy(*keys, "rgb").agg((F.min(d) % 256).alias("idx"), F.floor(F.min(d) / 256).alias("dist"))
 
 
-def map_to_palette(px: DataFrame, palette: DataFrame) -> DataFrame:
+def map_to_palette(px: DataFrame, palette: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Opaque pixels get the first equal entry's index, else the nearest one's: pixels are reduced to distinct colours before they are matched."""
-    mapped = nearest(px.filter(F.col("a") >= OPAQUE).select("rgb").distinct(), palette)
+    mapped = nearest(px.filter(F.col("a") >= OPAQUE).select(*keys, "rgb").distinct(), palette.select(*keys, "idx", "rgb"), keys)
     keyed = px.withColumn("__key", F.when(F.col("a") >= OPAQUE, F.col("rgb")))
-    return keyed.join(mapped.select(F.col("rgb").alias("__key"), "idx"), "__key", "left").drop("__key")
+    return keyed.join(mapped.select(*keys, F.col("rgb").alias("__key"), "idx"), [*keys, "__key"], "left").drop("__key")
 
 
 def transparent_slot(palette: DataFrame, used: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from framelake.operators import metrics as M
 from framelake.operators import palette as P
 from framelake.sources import pixels as S
 from framelake.sources.pixels import table
+from framelake.sources.storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -65,6 +66,11 @@ def _bag(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("rgb", rgb_key(F.col("r"), F.col("g"), F.col("b")))
 
 
+def _counted(bag: DataFrame) -> DataFrame:
+    """Distinct opaque colours and how many pixels have them, written once for the steps that start from colours."""
+    return stored(bag.filter(F.col("a") >= P.OPAQUE).groupBy("rgb", "r", "g", "b", "a").agg(F.count(F.lit(1)).alias("held")), "colors")
+
+
 def _px(spark: SparkSession, d: str) -> DataFrame:
     return S.placed(table(spark, d, "events"))
 
@@ -116,8 +122,8 @@ def rgb332_map(spark, d):
 
 @query(f"WITH {SEEDS}, u AS (SELECT DISTINCT r * 65536 + g * 256 + b AS rgb FROM bag WHERE a >= 128), m AS (SELECT u.rgb, min(({_dist('u.rgb', 's.rgb')}) * 256 + s.idx) AS k FROM u CROSS JOIN seeds s GROUP BY u.rgb) SELECT rgb, k % 256 AS idx, k // 256 AS dist FROM m")
 def nearest_map(spark, d):
-    b = _bag(spark, d)
-    return P.nearest(b.filter("a >= 128").select("rgb").distinct(), H.seeds(H.histogram(b, 4), 16).select("idx", "rgb"))
+    counted = _counted(_bag(spark, d))
+    return P.nearest(counted.select("rgb"), H.seeds(H.histogram(counted, 4, weight="held"), 16).select("idx", "rgb"))
 
 
 @query(f"WITH {SEEDS}, u AS (SELECT r * 65536 + g * 256 + b AS rgb, count(*) AS c FROM bag WHERE a >= 128 GROUP BY ALL), m AS (SELECT u.rgb, u.c, min(({_dist('u.rgb', 's.rgb')}) * 256 + s.idx) % 256 AS idx FROM u CROSS JOIN seeds s GROUP BY ALL) SELECT idx, CAST(sum(c) AS BIGINT) AS n FROM m GROUP BY ALL UNION ALL SELECT NULL, count(*) FROM bag WHERE a < 128")
@@ -257,8 +263,9 @@ _PAIRS = f"WITH {SEEDS}, u AS (SELECT DISTINCT r * 65536 + g * 256 + b AS rgb FR
 
 def _mapped(spark, d):
     b = _bag(spark, d)
-    pal = H.seeds(H.histogram(b, 4), 16).select("idx", F.col("rgb").alias("rgb2"))
-    near = P.nearest(b.filter("a >= 128").select("rgb").distinct(), pal.withColumnRenamed("rgb2", "rgb")).select(F.col("rgb").alias("k"), "idx")
+    counted = _counted(b)
+    pal = stored(H.seeds(H.histogram(counted, 4, weight="held"), 16).select("idx", F.col("rgb").alias("rgb2")), "palette")
+    near = P.nearest(counted.select("rgb"), pal.withColumnRenamed("rgb2", "rgb")).select(F.col("rgb").alias("k"), "idx")
     m = b.join(near, (F.col("rgb") == F.col("k")) & (F.col("a") >= 128), "left").join(F.broadcast(pal), "idx", "left")
     return m.withColumns({"r2": F.floor(F.col("rgb2") / 65536), "g2": F.floor(F.col("rgb2") / 256) % 256, "b2": F.col("rgb2") % 256, "a2": F.when(F.col("idx").isNotNull(), 255).otherwise(0), "part": F.col("b") % 4})
 
@@ -634,7 +641,8 @@ def frame_plan(spark, d):
     return diff.frame_plan(_canvas(spark, d), 16, 64)
 
 
-@query()
+@query(f"""WITH {TILES}, p AS (SELECT clip_id, CAST(v AS DOUBLE) AS v, CAST((v & 240) + 8 AS DOUBLE) AS w FROM tiles), m AS (SELECT clip_id, avg(v) AS ma, avg(w) AS mb, var_pop(v) AS sa, var_pop(w) AS sb, covar_pop(v, w) AS sab FROM p GROUP BY ALL)
+    SELECT clip_id, round((2 * ma * mb + 6.5025) * (2 * sab + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (sa + sb + 58.5225)), 9) AS ssim FROM m""")
 def ssim(spark, d):
     t = S.tiles(table(spark, d, "embeddings"))
     return M.ssim(t.withColumn("v2", F.col("v").bitwiseAND(F.lit(0xF0).cast("long")) + 8), ["clip_id"])
