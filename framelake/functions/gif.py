@@ -207,6 +207,54 @@ def write(width: int, height: int, palette: list[int] | None, frames: list[dict]
     return b"".join(out) + b"\x3b"
 
 
+class Writer:
+    """A file frame by frame. ``file`` may be asked for at any time; frames can be added after it."""
+
+    def __init__(self, width: int, height: int, palette: list[int] | None = None, loop: int | None = None, encoder: str = "runs"):
+        if not (1 <= width <= 65535 and 1 <= height <= 65535):
+            raise GifError("width and height are 1 to 65535")
+        self.width, self.height, self.palette, self.encoder = width, height, palette, encoder
+        self.parts = [header(width, height, palette, loop)]
+        #: What the canvas shows by indices of the global palette; None where a frame was disposed or had its own palette.
+        self.canvas: bytearray | None = None
+
+    def add(self, indices: bytes, x: int = 0, y: int = 0, width: int | None = None, height: int | None = None, delay: int = 0, disposal: int = 0, transparent: int | None = None, palette: list[int] | None = None) -> None:
+        width, height = width or self.width, height or self.height
+        colors = palette or self.palette
+        if not colors:
+            raise GifError("a frame needs a palette")
+        if x < 0 or y < 0 or x + width > self.width or y + height > self.height:
+            raise GifError("frame outside the screen")
+        if len(indices) != width * height or max(indices, default=0) >= padded_colors(len(colors)):
+            raise GifError("a frame has width * height indices of its palette")
+        if not (0 <= delay <= 65535 and 0 <= disposal <= 7) or (transparent is not None and not 0 <= transparent < padded_colors(len(colors))):
+            raise GifError("delay, disposal or transparent index out of range")
+        self.parts += [control_block(delay, disposal, transparent), image(x, y, width, height, indices, len(colors), self.encoder, palette)]
+        if palette or disposal in (2, 3):
+            self.canvas = None
+            return
+        self.canvas = self.canvas or bytearray(self.width * self.height)
+        for row in range(height):
+            at = (y + row) * self.width + x
+            line = indices[row * width : (row + 1) * width]
+            self.canvas[at : at + width] = line if transparent is None else bytes(o if v == transparent else v for v, o in zip(line, self.canvas[at : at + width], strict=True))
+
+    def add_delta(self, indices: bytes, delay: int = 0, transparent: int | None = None) -> None:
+        """A whole frame, written as its changed rectangle where the canvas is known, as one pixel where nothing changed."""
+        if len(indices) != self.width * self.height:
+            raise GifError("a delta is told by a whole frame")
+        if self.canvas is None:
+            return self.add(indices, delay=delay, transparent=transparent)
+        changed = [k for k, (a, b) in enumerate(zip(indices, self.canvas, strict=True)) if a != b] or [0]
+        rows, columns = [k // self.width for k in changed], [k % self.width for k in changed]
+        x, y, width, height = min(columns), min(rows), max(columns) - min(columns) + 1, max(rows) - min(rows) + 1
+        part = b"".join(indices[(y + r) * self.width + x :][:width] for r in range(height))
+        self.add(part, x, y, width, height, delay, 0, transparent)
+
+    def file(self) -> bytes:
+        return b"".join(self.parts) + b"\x3b"
+
+
 # ---- edits ----
 
 

@@ -178,9 +178,16 @@ def encode_dictionary(indices: bytes, m: int) -> bytes:
     return bytes(out)
 
 
-def decode(data: bytes, m: int, pixels: int, strict: bool = False) -> bytes:
+def decode(data: bytes, m: int, pixels: int, strict: bool = False, whole: bool = False) -> bytes:
     """Indices of a frame. Tolerant: a code beyond the table repeats the last string, surplus is dropped, a short stream is
-    filled with 0. Strict: a bad code or surplus raises LzwError; a short stream is still filled with 0."""
+    filled with 0. Strict: a bad code or surplus raises LzwError; a short stream is still filled with 0, unless ``whole``."""
+    out = _decoded(data, m, pixels, strict)
+    if whole and len(out) < pixels:
+        raise LzwError("fewer pixels than the frame holds")
+    return out + bytes(max(0, pixels - len(out)))
+
+
+def _decoded(data: bytes, m: int, pixels: int, strict: bool) -> bytes:
     clear, eoi = 1 << m, (1 << m) + 1
     out = bytearray()
     table: list[bytes] = []
@@ -224,4 +231,4 @@ def decode(data: bytes, m: int, pixels: int, strict: bool = False) -> bytes:
 def _fit(out: bytearray, pixels: int, strict: bool) -> bytes:
     if strict and len(out) > pixels:
         raise LzwError("more pixels than the frame holds")
-    return bytes(out[:pixels]) + bytes(max(0, pixels - len(out)))
+    return bytes(out[:pixels])

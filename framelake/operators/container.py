@@ -37,6 +37,26 @@ def scan(content: Column | str, mode: str = "strict", on_error: str = "raise") -
     return F.udf(lambda d: None if d is None else _clip(d, mode, on_error == "raise"), CLIP, useArrow=True)(content)
 
 
+def metadata(content: Column | str) -> Column:
+    """A file's structure as JSON: screen, global palette, loop count, number of frames, and every frame's fields. Absent values are left out."""
+    c = scan(content, "lenient")
+    return F.when(c.isNotNull(), F.to_json(F.struct(c["version"].alias("version"), c["width"].alias("width"), c["height"].alias("height"), c["global_offset"].alias("global_palette_offset"),
+        c["global_size"].alias("global_palette_size"), c["loop_count"].alias("loop_count"), F.size(c["frames"]).alias("frame_count"), c["frames"].alias("frames"))))
+
+
+def manifest(clips: DataFrame) -> DataFrame:
+    """clip_id, bytes and SHA-256 of each file."""
+    return clips.select("clip_id", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def stable(runs: list[DataFrame]) -> DataFrame:
+    """Per clip the number of different files over several runs; one where the output is stable."""
+    both = manifest(runs[0])
+    for r in runs[1:]:
+        both = both.union(manifest(r))
+    return both.groupBy("clip_id").agg(F.count_distinct("bytes", "sha256").alias("versions"))
+
+
 def frames(clips: DataFrame, mode: str = "strict") -> DataFrame:
     """clips: clip_id, content. One row per frame with the clip's fields and the bytes that the frame needs."""
     c = clips.withColumn("clip", scan("content", mode))

@@ -97,6 +97,17 @@ def equivalent(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).agg(F.count(F.lit(1)).alias("missing")).join(b.exceptAll(a).agg(F.count(F.lit(1)).alias("surplus")))
 
 
+def within_tolerance(measured: DataFrame, psnr_loss: float, ssim_loss: float) -> DataFrame:
+    """measured: a row per fixture with identical, psnr_before, psnr_after, ssim_before, ssim_after (null psnr: no error at all).
+
+    Adds passes: the pixels are identical, or neither measure fell by more than its tolerance. What can't be measured fails.
+    """
+    lost = lambda c: F.coalesce(F.col(f"{c}_before"), F.lit(float("inf"))) - F.coalesce(F.col(f"{c}_after"), F.lit(float("inf")))
+    fell = F.when(F.col("psnr_after").isNull(), F.lit(0.0)).otherwise(lost("psnr"))
+    fine = (fell <= psnr_loss) & (F.col("ssim_before") - F.col("ssim_after") <= ssim_loss)
+    return measured.withColumn("passes", F.coalesce(F.col("identical"), F.lit(False)) | F.coalesce(fine, F.lit(False)))
+
+
 def ssim(pairs: DataFrame, keys: list[str], window: int = 8) -> DataFrame:
     """Mean structural similarity of grey images (v, v2) over all window x window blocks at step 1; keys give one image each."""
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2

@@ -43,6 +43,11 @@ def map_to_palette(px: DataFrame, palette: DataFrame, keys: list[str] = ()) -> D
     return keyed.join(mapped.select(*keys, F.col("rgb").alias("__key"), "idx"), [*keys, "__key"], "left").drop("__key")
 
 
+def opaque(px: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: pixels, whether all are fully opaque, and whether any is partly transparent."""
+    return px.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), (F.min("a") == 255).alias("opaque"), F.bool_or(~F.col("a").isin(0, 255)).alias("partial"))
+
+
 def transparent_slot(palette: DataFrame, used: DataFrame) -> DataFrame:
     """The transparent index: appended while there is room, else the lowest unused entry, else an error."""
     n = palette.agg(F.count(F.lit(1)).alias("n"))

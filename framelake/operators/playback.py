@@ -124,20 +124,25 @@ def playback(clips: DataFrame, order: str = "rgba", wanted: list[int] | None = N
     return clips.select("clip_id", "content").mapInArrow(run, _DDL)
 
 
-def rasters(clips: DataFrame, order: str = "rgba") -> DataFrame:
-    """Every frame alone on an empty canvas, no disposal applied: clip_id, frame_no, width, height, raster."""
+def rasters(clips: DataFrame, order: str = "rgba", wanted: list[int] | None = None) -> DataFrame:
+    """Frames alone on an empty canvas, no disposal applied: clip_id, position, frame_no, width, height, raster.
+
+    Positions follow the order in which frames are wanted, the first of repeated ones.
+    """
+    _checked(order, wanted, "none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for clip, data in zip(batch.column("clip_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 g = gif.parse(data)
-                for k, f in enumerate(g["frames"]):
+                for at, k in enumerate(range(len(g["frames"])) if wanted is None else dict.fromkeys(wanted)):
+                    if k >= len(g["frames"]):
+                        raise gif.GifError(f"frame {k} of {len(g['frames'])}")
                     canvas = np.zeros((g["height"], g["width"], 4), np.uint8)
-                    blit(canvas, data, f, order)
-                    yield pa.RecordBatch.from_pydict({"clip_id": [clip], "frame_no": [k], "width": pa.array([g["width"]], pa.int32()), "height": pa.array([g["height"]], pa.int32()), "raster": [canvas.tobytes()]})
+                    blit(canvas, data, g["frames"][k], order)
+                    yield pa.RecordBatch.from_pydict({"clip_id": [clip], "position": [at], "frame_no": [k], "width": pa.array([g["width"]], pa.int32()), "height": pa.array([g["height"]], pa.int32()), "raster": [canvas.tobytes()]})
 
-    _checked(order, None, "none")
-    return clips.filter("content is not null").select("clip_id", "content").mapInArrow(run, "clip_id long, frame_no long, width int, height int, raster binary")
+    return clips.filter("content is not null").select("clip_id", "content").mapInArrow(run, "clip_id long, position long, frame_no long, width int, height int, raster binary")
 
 
 def canvas_pixels(frames: DataFrame, column: str = "canvas") -> DataFrame:

@@ -500,7 +500,7 @@ def validate_gif(spark, d):
 
 @query(f"WITH {PX} SELECT clip_id, count(*) AS pixels, min(a) = 255 AS opaque, bool_or(a NOT IN (0, 255)) AS partial FROM px GROUP BY ALL")
 def opaque_check(spark, d):
-    return _px(spark, d).groupBy("clip_id").agg(F.count(F.lit(1)).alias("pixels"), (F.min("a") == 255).alias("opaque"), F.bool_or(~F.col("a").isin(0, 255)).alias("partial"))
+    return P.opaque(_px(spark, d), ["clip_id"])
 
 
 @query(f"WITH {_INDEXED} SELECT clip_id, frame_no, sha256(string_agg(lower(printf('%02x', idx)), '' ORDER BY pos)) AS sha, CAST(1 AS BIGINT) AS versions FROM idx GROUP BY ALL")
@@ -510,6 +510,14 @@ def output_manifest(spark, d):
     return parts[0].union(parts[1]).groupBy("clip_id", "frame_no").agg(F.min("sha").alias("sha"), F.count_distinct("sha").alias("versions"))
 
 
+@query(f"""WITH {_GIF}, n AS (SELECT clip_id, frame_no, count(*) AS n FROM filled GROUP BY ALL), c AS (SELECT *, CAST(ceil((n + greatest(1, CAST(ceil(n / 30) AS BIGINT)) + 1) * 6 / 8) AS BIGINT) AS data FROM n)
+    SELECT clip_id, CAST(13 + 96 + 19 + sum(18 + data + CAST(ceil(data / 255) AS BIGINT) + 2) + 1 AS BIGINT) AS bytes, CAST(1 AS BIGINT) AS versions FROM c GROUP BY clip_id""")
+def file_manifest(spark, d):
+    """Sizes of files with literal streams in closed form, and whether two runs give the same bytes."""
+    runs = [_clips(spark, d, "literal")[0] for _ in range(2)]
+    return container.manifest(runs[0]).select("clip_id", "bytes").join(container.stable(runs), "clip_id")
+
+
 @query(f"WITH {_LAST} SELECT clip_id, frame_no, {_BOX.format('CASE WHEN x BETWEEN 2 AND 9 AND y BETWEEN 1 AND 8 THEN color > 0 ELSE changed END')} FROM ch WHERE frame_no > 0 GROUP BY ALL")
 def changed_after_clear(spark, d):
     return diff.changed_after_clear(_canvas(spark, d), (2, 1, 9, 8))

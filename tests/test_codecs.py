@@ -166,3 +166,35 @@ def test_writer_checks():
     with pytest.raises(gif.GifError):
         gif.write(1, 1, PALETTE, [{"indices": b"\4"}])
     assert gif.padded_colors(1) == 2 and gif.padded_colors(5) == 8
+
+
+def test_short_streams_can_be_an_error():
+    codes = lzw.encode_literal(bytes([1, 2, 3]), 2)
+    assert lzw.decode(codes, 2, 5, strict=True) == bytes([1, 2, 3, 0, 0])
+    with pytest.raises(lzw.LzwError):
+        lzw.decode(codes, 2, 5, strict=True, whole=True)
+    assert lzw.decode(codes, 2, 3, strict=True, whole=True) == bytes([1, 2, 3])
+
+
+def test_writer_adds_frames_and_deltas_and_goes_on_after_the_end():
+    w = gif.Writer(3, 2, PALETTE, loop=2)
+    one = bytes([1, 1, 1, 2, 2, 2])
+    w.add_delta(one, delay=4)
+    w.add_delta(one)
+    first = w.file()
+    w.add_delta(bytes([1, 1, 3, 2, 2, 0]))
+    w.add(bytes([2]), 1, 1, 1, 1, disposal=2)
+    w.add_delta(one)
+    boxes = lambda d: [(f["x"], f["y"], f["width"], f["height"]) for f in gif.parse(d)["frames"]]
+    assert boxes(first) == [(0, 0, 3, 2), (0, 0, 1, 1)] and boxes(w.file()) == [(0, 0, 3, 2), (0, 0, 1, 1), (2, 0, 1, 2), (1, 1, 1, 1), (0, 0, 3, 2)]
+    assert gif.parse(first)["loop_count"] == 2 and w.file().startswith(first[:-1])
+    for bad in ({"indices": one, "x": 1}, {"indices": one[:5]}, {"indices": bytes([9] * 6)}, {"indices": one, "delay": -1}, {"indices": one, "transparent": 4}):
+        with pytest.raises(gif.GifError):
+            w.add(**bad)
+    with pytest.raises(gif.GifError):
+        gif.Writer(2, 2).add(bytes(4))
+    with pytest.raises(gif.GifError):
+        gif.Writer(0, 2, PALETTE)
+    local = gif.Writer(2, 1)
+    local.add(bytes([0, 1]), palette=[5, 6])
+    assert gif.parse(local.file())["frames"][0]["local"] and local.canvas is None

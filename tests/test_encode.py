@@ -1,12 +1,13 @@
 """RGBA frames to files and back: layout, palettes by strategy, playback, ingest and options."""
 
+import json
 import random
 
 import numpy as np
 import pandas as pd
 import pytest
 from framelake.functions import gif, layout
-from framelake.operators import composite, encode, playback
+from framelake.operators import composite, container, encode, metrics, playback
 from framelake.sources import pixels as S
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +45,24 @@ def test_rasters_ignore_disposal(spark):
     assert [color(c) for c in canvases] == [[RED] * 4, [GREEN, None, GREEN, None], [None, BLUE, None, BLUE]]
 
 
+def test_rasters_keep_the_order_that_is_wanted(spark):
+    clips = spark.createDataFrame([(1, RESTORE_PREVIOUS)], "clip_id long, content binary")
+    assert [r["frame_no"] for r in playback.rasters(clips, wanted=[2, 0, 2]).orderBy("position").collect()] == [2, 0]
+    with pytest.raises(PythonException):
+        playback.rasters(clips, wanted=[3]).collect()
+
+
+def test_metadata_manifest_and_tolerance(spark):
+    clips = spark.createDataFrame([(1, RESTORE_PREVIOUS), (2, None)], "clip_id long, content binary")
+    m = json.loads(clips.select(container.metadata("content").alias("m")).first()["m"])
+    assert (m["version"], m["width"], m["height"], m["frame_count"], m["global_palette_size"]) == ("89a", 2, 2, 3, 4) and m["frames"][1]["disposal"] == 3
+    assert container.manifest(clips).first()["bytes"] == len(RESTORE_PREVIOUS)
+    assert {r["versions"] for r in container.stable([clips.limit(1), clips.limit(1)]).collect()} == {1}
+    rows = [(1, True, None, 1.0, None, 0.0), (2, False, 40.0, 39.9, 0.99, 0.99), (3, False, 40.0, 30.0, 0.99, 0.99), (4, False, 40.0, 41.0, 0.99, 0.9), (5, False, None, 40.0, 0.9, 0.9), (6, False, 40.0, None, 0.9, 0.9), (7, None, 40.0, 40.0, None, 0.9)]
+    got = metrics.within_tolerance(spark.createDataFrame(rows, "id int, identical boolean, psnr_before double, psnr_after double, ssim_before double, ssim_after double"), 0.5, 0.01)
+    assert {r["id"]: r["passes"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True, 7: False}
+
+
 def test_prepared_frames_share_change_and_are_chosen():
     twice = gif.write(2, 2, PALETTE, [{"indices": bytes([1, 0, 0, 1])}, {"indices": bytes([1, 0, 0, 1])}, {"indices": bytes([1, 2, 0, 1])}, {"indices": bytes([1, 0, 0, 1])}])
     share = lambda **kw: [p["shares"] for p in playback.prepared(twice, **kw)]
