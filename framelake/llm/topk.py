@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 1 << 15, 1 << 14
+CANDIDATES, QUERIES = 1 << 13, 1 << 14
 
 
 def best_in_block(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:

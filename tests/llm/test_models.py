@@ -259,6 +259,45 @@ def test_plan_places_everything(counts):
     assert least <= sum(n for n, _ in patterns) <= least * 1.7 + 1
 
 
+def fewest(items, capacity):
+    """The least number of sequences by trying every place for every item, the longest first."""
+    items = sorted(items, reverse=True)
+    best = len(items)
+
+    def place(k, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if k == len(items):
+            best = len(gaps)
+            return
+        for g in sorted(set(gaps)):
+            if g >= items[k]:
+                rest = list(gaps)
+                rest.remove(g)
+                place(k + 1, [*rest, g - items[k]])
+        place(k + 1, [*gaps, capacity - items[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
+def test_plan_is_near_the_fewest_sequences(items):
+    counts = {x: items.count(x) for x in set(items)}
+    n, least = sum(n for n, _ in packing.plan(counts, 12)), fewest(items, 12)
+    assert least <= n <= least + (least + 2) // 3
+
+
+def test_plan_is_the_fewest_where_all_fill_up():
+    rnd = np.random.default_rng(4)
+    for _ in range(20):
+        items = [x for _ in range(rnd.integers(2, 5)) for x in np.diff([0, *sorted(rnd.choice(range(1, 40), rnd.integers(1, 3), replace=False)), 40])]
+        counts = {int(x): items.count(x) for x in set(items)}
+        assert sum(n for n, _ in packing.plan(counts, 40)) <= sum(items) // 40 + 1
+
+
 def test_plan_finds_exact_complements():
     assert sum(n for n, _ in packing.plan({60: 10, 4: 10, 30: 5, 20: 5, 14: 5, 64: 3}, 64)) == 18
 
@@ -310,12 +349,19 @@ def test_packing_edges(spark):
 def test_pipeline_stages_agree_with_brute_force(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language ID", "exact dedup", "near dedup", "source mixing", "best-fit packing"]
-    now = docs(spark)
+    odd = [(9000, "12 34 -- 56", "en", "src1", 11), (9001, "", "en", None, 0), (9002, None, None, "src2", None), (9003, "\u0441\u043b\u043e\u0432\u0430 " * 40, "ru?", "src1", 1)]
+    now = docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    now = now.unionByName(spark.createDataFrame(odd, now.schema)).select(*docs(spark).columns)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
-        before = {r["doc_id"]: r["text"] for r in now.collect()}
-        now = stage(spark, now, SMALL)
+        rows = now.collect()
+        before = {r["doc_id"]: r["text"] for r in rows}
+        source, now = now, stage(spark, now, SMALL)
         assert now.columns == docs(spark).columns
         after = [r["doc_id"] for r in now.collect()]
+        if k == 0:
+            said = fused([(r["doc_id"], r["text"], r["source"], None, None) for r in rows], language_id.fit(source))
+            assert sorted(after) == sorted(r["doc_id"] for r, (language, _) in zip(rows, said) if language != "und")
+            assert not {9000, 9001, 9002} & set(after) and len(after) >= 0.97 * len(before)
         if k == 1:
             last = {}
             for i, t in before.items():
@@ -326,14 +372,34 @@ def test_pipeline_stages_agree_with_brute_force(spark):
             from test_dedup import components
 
             assert sorted(after) == sorted({c for _, c in components(before, 5, 80).values()})
-        if k == 0:
-            assert len(after) >= 0.99 * len(before)
         if k == 3:
-            assert set(after) <= set(before) and len(set(after)) > 0.6 * len(before)
+            model = mixing.fit(source, spark.read.parquet(f"{SMALL}/labels.parquet"))
+            p, n = model.posteriors([(r["text"] or "").encode() for r in rows])
+
+            def totals(steps, p=p, n=n):
+                r = mixing.rates(p, steps)
+                return (r * n) @ p, (p * (n * (r > 0))[:, None]).T @ p
+
+            rate = np.where(n == 0, 1.0, mixing.rates(p, mixing.descend(totals, mixing.TARGETS)))
+            u = np.array([r["u"] for r in source.select((F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("u")).collect()])
+            times = {r["doc_id"]: int(x) for r, x in zip(rows, np.floor(rate + u)) if x}
+            assert {i: after.count(i) for i in set(after)} == times
     packed = corpus_pipeline.STAGES[4][1](spark, now, SMALL)
     assert packed.select("doc_id").distinct().count() == len(set(after))
 
 
+def test_pipeline_stages_take_empty_and_clashing_tables(spark):
+    plain = docs(spark)
+    more = plain.limit(60).selectExpr("*", "'f' as full", "'k' as keep", "1 as twins", "2 as gone", "map('a', 1) as named", "0.5 as rate", "'p' as post", "3 as component_id", "'h' as host", "array(1) as ll")
+    for table in (plain.limit(0), more):
+        now = table
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            now = stage(spark, now, SMALL)
+            assert now.columns == table.columns
+        assert now.count() <= 70 and (now.count() > 20 or table is not more)
+        assert corpus_pipeline.STAGES[4][1](spark, now, SMALL).count() >= now.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_are_registered(name):
     import __spark_entry__ as entry

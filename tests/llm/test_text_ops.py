@@ -167,6 +167,16 @@ def test_url_parts_and_rules(spark):
     assert url_filters.filter_urls(df.filter("page_id = 8"), queries.URL_RULES).first()["verdict"] == "allow"
 
 
+def test_url_null_and_repeated_ids_and_long_urls(spark):
+    long = "http://" + "a" * 5000 + ".com/" + "x" * 200_000
+    rows = [(None, "http://a.com/en/1"), (1, "http://a.com/en/1"), (1, "http://a.com/en/1"), (2, long), (3, "http://" + "-".join(["ab"] * 3000) + ".net/de/"), (4, "://"), (5, None)]
+    df = spark.createDataFrame([(a, b, "<p>words", "t", 0.5) for a, b in rows], "page_id long, url string, html string, token string, log_odds double")
+    got = url_filters.filter_urls(df, queries.URL_RULES).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    assert {(r["rule"], r["verdict"]) for r in got if r["page_id"] in (None, 1)} == {("com/en/", "block")} and next(r for r in got if r["page_id"] == 3)["verdict"] == "allow"
+    assert next(r for r in got if r["page_id"] == 2)["path"] == "/" + "x" * 200_000
+
+
 def test_segmentation():
     counts = {"big": 50, "red": 40, "bus": 30, "busy": 2, "re": 9, "d": 5}
     assert url_filters.segment("bigredbus", counts, 136) == ["big", "red", "bus"]
@@ -268,6 +278,13 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_null_and_repeated_ids_and_long_texts(spark):
+    rows = [(None, "MIT License"), (7, "mit license"), (7, "mit license"), (8, "word " * 100_000 + "apache license"), (9, "permission " * 50_000), (10, "x" * 1_000_000)]
+    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, n_words int")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["base_labels"], r["first_word"]) for r in licenses.license_scan(df).collect())
+    assert got == sorted([("None", 2, "mit", 0), ("7", 2, "mit", 0), ("7", 2, "mit", 0), ("8", 100_002, "apache", 100_000), ("9", 50_000, "", None), ("10", 1, "", None)])
+
+
 def test_license_base_equals_brute_force(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in queries.op8_license_scan(spark, SMALL).collect():
