@@ -36,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import ALNUM, bounded_batches, chunks, materialize, words_of
+from .common import ALNUM, bounded_batches, chunks, materialize, unused, words_of
 
 DOMAINS = ("good", "low", "toxic")
 #: Target shares of tokens by domain. The total is such that the first domain keeps all its tokens.
@@ -277,36 +278,50 @@ def _uniform(id_col: str):
     return F.pmod(F.xxhash64(F.lit(77), F.col(f"`{id_col}`")), F.lit(1 << 40))
 
 
-def _taken(model: Classifier, steps: list[np.ndarray], text_at: int):
-    """Rows as often as their rate says; the last column, a hash of the row's id, is taken off."""
+def _scored(model: Classifier, text_at: int):
+    """Rows with their words and posteriors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, u = _bytes(batch.column(text_at)), batch.column(batch.num_columns - 1).to_numpy() / UNIFORM
+            raw = _bytes(batch.column(text_at))
             for i, j in chunks(raw):
                 p, n = model.posteriors(raw[i:j])
-                times = np.floor(np.where(n == 0, 1.0, rates(p, steps)) + u[i:j]).astype(np.int64)
-                part = batch.slice(i, j - i).select(range(batch.num_columns - 1))
-                yield part.take(pa.array(np.repeat(np.arange(j - i), times)))
+                part = batch.slice(i, j - i)
+                more = [pa.array(n, pa.int64()), *(pa.array(p[:, k]) for k in range(len(DOMAINS)))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[f"c{k}" for k in range(part.num_columns + len(more))])
 
     return run
 
 
+def _rate(steps: list[np.ndarray], n: str, p: list[str]) -> Column:
+    """The rate of a document with n words and posteriors p after these steps; 1 without words."""
+    rate = F.lit(1.0)
+    for g in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col(c) * F.lit(float(g[k])) for k, c in enumerate(p)), F.lit(0.0)))
+    return F.when(F.col(n) == 0, F.lit(1.0)).otherwise(rate)
+
+
+def _copies(rate: Column, id_col: str) -> Column:
+    return F.floor(rate + _uniform(id_col) / F.lit(UNIFORM)).cast("int")
+
+
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """One row per document: doc_id, n_tokens, posteriors, rate, copies (how often the mix takes it)."""
     model = fit(docs, labels, id_col, text_col)
     table = posteriors(docs, model, id_col, text_col)
-    rate = F.lit(1.0)
-    for g in fit_rates(table, targets):
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{d}") * F.lit(float(g[k])) for k, d in enumerate(DOMAINS)), F.lit(0.0)))
-    rate = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(rate)
-    out = table.withColumn("rate", rate)
-    return out.withColumn("copies", F.floor(F.col("rate") + _uniform("doc_id") / F.lit(UNIFORM)).cast("int"))
+    rate = _rate(fit_rates(table, targets), "n_tokens", [f"p_{d}" for d in DOMAINS])
+    return table.withColumn("rate", rate).withColumn("copies", _copies(F.col("rate"), "doc_id"))
 
 
 def take(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS) -> DataFrame:
-    """docs as the mix takes them: rows dropped or repeated, columns unchanged. Texts are scored where they lie and never shuffled."""
+    """docs as the mix takes them: rows dropped or repeated, columns unchanged. Texts are scored once, where they lie, and never shuffled."""
     model = fit(docs, labels, id_col, text_col)
-    steps = fit_rates(posteriors(docs, model, id_col, text_col), targets)
     text_at = next(k for k, c in enumerate(docs.columns) if c.lower() == text_col.lower())
-    return docs.select("*", _uniform(id_col)).mapInArrow(_taken(model, steps, text_at), docs.schema)
+    n, *p, copy = unused(docs.columns, "n_tokens", *(f"p_{d}" for d in DOMAINS), "copy")
+    schema = StructType([*docs.schema.fields, StructField(n, LongType()), *(StructField(c, DoubleType()) for c in p)])
+    scored = materialize(docs.mapInArrow(_scored(model, text_at), schema), "scored")
+    steps = fit_rates(scored.select(F.col(n).alias("n_tokens"), *(F.col(c).alias(f"p_{d}") for c, d in zip(p, DOMAINS, strict=True))), targets)
+    each = F.explode(F.array_repeat(F.lit(0), _copies(_rate(steps, n, p), id_col)))
+    out = scored.withColumn(copy, each).select(*(f"`{c}`" for c in docs.columns))
+    # a written table may hold nulls anywhere; where docs may not, its own schema is put back
+    return out if out.schema == docs.schema else out.mapInArrow(lambda batches: batches, docs.schema)
