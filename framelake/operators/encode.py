@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import gif, layout
 from framelake.functions.color import palette332
-from framelake.sources.storage import stored
+from framelake.sources.storage import bounded_batches, stored
 
 from . import quantize
 
@@ -185,6 +185,7 @@ def _as_plan(strategy: str, bits: int, clear: bool, partial: bool, rows: pd.Data
 
 def plans(frames: DataFrame, mode: str = "quality", palette: str = "global", threshold: int = 128) -> DataFrame:
     """Per clip, or per clip and frame: the palette, its transparent slot, and how colours or cells map to entries."""
+    bounded_batches(frames.sparkSession)
     keys = ["clip_id"] if palette == "global" else ["clip_id", "frame_no"]
     each = colors(frames, threshold)
     counted = stored(each if len(keys) == 2 else each.groupBy("clip_id", "rgb").agg(F.sum("n").alias("n"), F.min("at").alias("at")), "colors")
@@ -349,6 +350,7 @@ def encode_rgba(frames: DataFrame, mode: str = "quality", palette: str = "global
     """One GIF per clip: clip_id, content. compact (changed rectangles, cleared areas) is what quality mode does unless deltas,
     local or supplied palettes say otherwise; the other modes write whole frames."""
     check_options(mode, palette, encoder, loop, threshold, deltas, supplied is not None)
+    bounded_batches(frames.sparkSession)
     f = frames if "delay" in frames.columns else frames.withColumn("delay", F.lit(0))
     f = f.select("clip_id", "frame_no", "width", "height", F.coalesce("delay", F.lit(0)).alias("delay"), "rgba")
     plan = plans(f, mode, palette, threshold) if supplied is None else supplied_plans(f, supplied, mode, threshold)

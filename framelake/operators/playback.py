@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import gif, layout
+from framelake.sources.storage import bounded_batches
 
 ORDERS = ("rgba", "bgra")
 
@@ -114,6 +115,7 @@ _DDL = "clip_id long, frame_no long, width int, height int, delay int, shares lo
 def playback(clips: DataFrame, order: str = "rgba", wanted: list[int] | None = None, dedupe: str = "none", deltas: bool = False, budget: int | None = None, strict: bool = True) -> DataFrame:
     """clips: clip_id, content. One row per (wanted) frame; see ``prepared``."""
     _checked(order, wanted, dedupe)
+    bounded_batches(clips.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,6 +132,7 @@ def rasters(clips: DataFrame, order: str = "rgba", wanted: list[int] | None = No
     Positions follow the order in which frames are wanted, the first of repeated ones.
     """
     _checked(order, wanted, "none")
+    bounded_batches(clips.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
