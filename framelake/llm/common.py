@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.sources.storage import shared_dir, stored  # noqa: F401
+from framelake.sources.storage import bounded_batches, shared_dir, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,14 +30,6 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Send texts to Python in batches of a few MB: a worker's memory then follows its longest text, not 10,000 rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 class KeyFilter:
     """A one-hash Bloom filter of fixed size over a key set, as an array<bigint> scalar subquery.
 
