@@ -102,7 +102,7 @@ def compact(frames: Iterator[tuple[int, np.ndarray]], transparent: int | None) -
     if held is None:
         return
     if held.shown is None:
-        held.disposal = 0 if transparent is None else 2
+        held.disposal = 2 if transparent is not None and (held.frame == transparent).any() else 0
     elif transparent is not None:
         gone = bounds((first == transparent) & (held.frame != transparent))
         if gone is not None:

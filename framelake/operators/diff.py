@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions import layout
+from framelake.sources.storage import bounded_batches
+
 _BEFORE = ("clip_id", "pos")
 
 
@@ -53,38 +60,27 @@ def delta_frames(canvas: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def frame_plan(canvas: DataFrame, width: int, height: int) -> DataFrame:
-    """Rectangles and disposal of a compact clip that may clear pixels: x, y, w, h, disposal.
+    """Rectangles and disposal of a compact clip whose pixels (color, 0 is transparent) may be cleared: x, y, w, h, disposal.
 
-    Where a frame clears pixels, the frame before it is disposed to background and its rectangle grows to cover them;
-    what that takes away is drawn again. The plan of a frame changes the one before, so a clip's frames are walked in
-    order, over one small row of boxes per frame.
+    The plan of a frame changes the one before (see ``layout.compact``), so a clip's frames are walked in order, three at a
+    time; pixels that canvas lacks are transparent.
     """
-    p = _with_last(canvas)
-    drawn = F.col("color") > 0
-    changed = ~F.col("color").eqNullSafe(F.col("last")) & drawn
-    clears = (F.coalesce("last", F.lit(0)) > 0) & (F.col("color") == 0)
-    boxes = lambda c, n: F.struct(*_box(c)).alias(n)
-    per = p.groupBy("clip_id", "frame_no").agg(boxes(changed, "changed"), boxes(clears, "cleared"), boxes(drawn, "drawn"))
-    flat = per.select("clip_id", "frame_no", *(F.col(f"{a}.{b}").alias(f"{a}_{b}") for a in ("changed", "cleared", "drawn") for b in ("x0", "y0", "x1", "y1")))
-
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_no")
-        box = lambda r, n: None if pd.isna(r[f"{n}_x0"]) else tuple(int(r[f"{n}_{k}"]) for k in ("x0", "y0", "x1", "y1"))
-        join = lambda a, b: b if a is None else a if b is None else (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-        area = lambda a: 0 if a is None else (a[2] - a[0] + 1) * (a[3] - a[1] + 1)
-        whole, out, last = (0, 0, width - 1, height - 1), [], None
-        for _, r in rows.iterrows():
-            changed, cleared, drawn = (box(r, n) for n in ("changed", "cleared", "drawn"))
-            rect, disposal = (whole if last is None else changed or (0, 0, 0, 0)), 1
-            if last is not None and cleared is not None:
-                last["rect"] = join(last["rect"], cleared)
-                if 4 * area(last["rect"]) >= 3 * width * height:
-                    last["rect"] = whole
-                last["disposal"] = 2
-                # the cleared background has to be drawn again where this frame is opaque
-                rect = join(changed, drawn) or (0, 0, 0, 0)
-            last = {"frame_no": r["frame_no"], "rect": rect, "disposal": disposal}
-            out.append(last)
-        return pd.DataFrame([{"clip_id": rows["clip_id"].iloc[0], "frame_no": o["frame_no"], "x": o["rect"][0], "y": o["rect"][1], "w": o["rect"][2] - o["rect"][0] + 1, "h": o["rect"][3] - o["rect"][1] + 1, "disposal": o["disposal"]} for o in out])
-
-    return flat.groupBy("clip_id").applyInPandas(plan, "clip_id long, frame_no long, x long, y long, w long, h long, disposal long")
+    bounded_batches(canvas.sparkSession)
+    place = (F.col("pos") * (1 << 32) + F.col("color")).cast("long")
+    packed = canvas.groupBy("clip_id", "frame_no").agg(F.collect_set(place).alias("p"))
+    schema = pa.schema([(c, pa.int64()) for c in ("clip_id", "frame_no", "x", "y", "w", "h", "disposal")])
+
+    def frame(p: list[int]) -> np.ndarray:
+        v, out = np.array(p, np.int64), np.zeros(width * height, np.int64)
+        out[v >> 32] = v & 0xFFFFFFFF
+        return out.reshape(height, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        for clip, group in itertools.groupby(rows, key=lambda r: r[0]):
+            for p in layout.compact(((n, frame(px)) for _, n, px in group), 0):
+                left, top, right, bottom = p.box
+                yield pa.RecordBatch.from_pylist([{"clip_id": clip, "frame_no": p.number, "x": left, "y": top, "w": right - left + 1, "h": bottom - top + 1, "disposal": p.disposal}], schema=schema)
+
+    ordered = packed.repartition("clip_id").sortWithinPartitions("clip_id", "frame_no")
+    return ordered.mapInArrow(run, "clip_id long, frame_no long, x long, y long, w long, h long, disposal long")

@@ -80,6 +80,11 @@ def _canvas(spark: SparkSession, d: str) -> DataFrame:
     return C.composite(px, S.frame_table(px))
 
 
+def _rows(spark: SparkSession, d: str) -> int:
+    """Rows of pixels of the events' clips."""
+    return int(_px(spark, d).agg(F.max("y")).first()[0] or 0) + 1
+
+
 @query(f"WITH {HIST4} SELECT cell, n, sr, sg, sb FROM cells")
 def hist4(spark, d):
     return H.histogram(_bag(spark, d), 4)
@@ -220,9 +225,9 @@ def clears_rect(spark, d):
     return diff.clears_rect(_canvas(spark, d))
 
 
-@query(f"WITH {_LAST}, bx AS (SELECT clip_id, frame_no, {_BOX.format('changed')} FROM ch WHERE frame_no > 0 GROUP BY ALL) SELECT clip_id, frame_no, coalesce(x0, 0) AS x, coalesce(y0, 0) AS y, coalesce(x1 - x0 + 1, 1) AS w, coalesce(y1 - y0 + 1, 1) AS h FROM bx UNION ALL SELECT DISTINCT clip_id, 0, 0, 0, 16, 64 FROM canvas")
+@query(f"WITH {_LAST}, bx AS (SELECT clip_id, frame_no, {_BOX.format('changed')} FROM ch WHERE frame_no > 0 GROUP BY ALL) SELECT clip_id, frame_no, coalesce(x0, 0) AS x, coalesce(y0, 0) AS y, coalesce(x1 - x0 + 1, 1) AS w, coalesce(y1 - y0 + 1, 1) AS h FROM bx UNION ALL SELECT DISTINCT clip_id, 0, 0, 0, 16, (SELECT max(y) + 1 FROM canvas) FROM canvas")
 def delta_frames(spark, d):
-    return diff.delta_frames(_canvas(spark, d), 16, 64)
+    return diff.delta_frames(_canvas(spark, d), S.GRID, _rows(spark, d))
 
 
 @query(f"WITH {_SHARE}, o AS (SELECT clip_id, frame_no, CASE WHEN shares = frame_no THEN pixels * 4 ELSE 0 END AS bytes FROM adj) SELECT clip_id, frame_no, bytes, CAST(sum(bytes) OVER (PARTITION BY clip_id ORDER BY frame_no) AS BIGINT) AS total, total > 5000 AS over FROM o")
@@ -538,8 +543,7 @@ def _shown(clips: DataFrame) -> DataFrame:
 
 def _event_frames(spark, d):
     px = _px(spark, d)
-    height = int(px.agg(F.max("y")).first()[0] or 0) + 1
-    return S.pack_rgba(px, S.GRID, height).withColumn("delay", F.col("frame_no") + 2)
+    return S.pack_rgba(px, S.GRID, _rows(spark, d)).withColumn("delay", F.col("frame_no") + 2)
 
 
 @query(f"WITH {PX} SELECT clip_id, frame_no, pos, rgb FROM px WHERE a >= 128")
@@ -646,7 +650,7 @@ def flat_grid_palette(spark, d):
 
 @query()
 def frame_plan(spark, d):
-    return diff.frame_plan(_canvas(spark, d), 16, 64)
+    return diff.frame_plan(_canvas(spark, d), S.GRID, _rows(spark, d))
 
 
 @query(f"""WITH {TILES}, p AS (SELECT clip_id, CAST(v AS DOUBLE) AS v, CAST((v & 240) + 8 AS DOUBLE) AS w FROM tiles), m AS (SELECT clip_id, avg(v) AS ma, avg(w) AS mb, var_pop(v) AS sa, var_pop(w) AS sb, covar_pop(v, w) AS sab FROM p GROUP BY ALL)

@@ -36,6 +36,6 @@ BATCH_BYTES = 4 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Send rows to Python in batches of a few MB: a worker's memory then follows its longest row, not 10,000 rows. A smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(name, ""))
+    now = spark.conf.get(name).removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
