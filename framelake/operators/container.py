@@ -95,24 +95,37 @@ def pack_frames(indexed: DataFrame) -> DataFrame:
     return g.select("clip_id", "frame_no", F.unhex(hexed).alias("indices"))
 
 
-def encode_clips(packed: DataFrame, palettes: DataFrame, width: int, height: int, loop: int | None = 0, encoder: str = "runs") -> DataFrame:
-    """packed: clip_id, frame_no, indices, and optionally delay, disposal, transparent and a rectangle; palettes: clip_id, idx, rgb. One GIF per clip."""
+def encode_clips(packed: DataFrame, palettes: DataFrame | None = None, width: int | None = None, height: int | None = None, loop: int | None = 0, encoder: str = "runs") -> DataFrame:
+    """One GIF per clip from index frames.
+
+    packed: clip_id, frame_no, indices, and optionally delay, disposal, transparent, a rectangle, and local_palette (colours of
+    this frame alone). palettes: clip_id, idx, rgb; None where every frame has its own. The canvas is width x height for all
+    clips, or each clip's canvas_width x canvas_height.
+    """
     if encoder not in gif.ENCODERS:
         raise ValueError(f"encoder is one of {', '.join(gif.ENCODERS)}")
-    if not (1 <= width <= 65535 and 1 <= height <= 65535):
+    if (width is None) != (height is None) or not all(v is None or 1 <= v <= 65535 for v in (width, height)):
         raise ValueError("width and height are 1 to 65535")
     if loop is not None and not 0 <= loop <= 65535:
         raise ValueError("loop is None or 0 to 65535")
-    table = palettes.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "rgb"))), lambda s: s["rgb"]).alias("palette"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame_no")
         names = [n for n in ("delay", "disposal", "transparent", "x", "y", "width", "height") if n in rows]
         frames_ = [{"indices": bytes(r["indices"]), **{n: int(r[n]) for n in names if not pd.isna(r[n])}} for _, r in rows.iterrows()]
-        data = gif.write(width, height, [int(v) for v in rows["palette"].iloc[0]], frames_, loop, encoder)
+        if "local_palette" in rows:
+            for f, own in zip(frames_, rows["local_palette"], strict=True):
+                if own is not None:
+                    f["palette"] = [int(v) for v in own]
+        whole = rows["palette"].iloc[0] if "palette" in rows else None
+        size = (width, height) if width is not None else tuple(int(rows[c].iloc[0]) for c in ("canvas_width", "canvas_height"))
+        data = gif.write(*size, None if whole is None else [int(v) for v in whole], frames_, loop, encoder)
         return pd.DataFrame({"clip_id": [rows["clip_id"].iloc[0]], "content": [data]})
 
-    return packed.join(table, "clip_id").groupBy("clip_id").applyInPandas(run, "clip_id long, content binary")
+    if palettes is not None:
+        table = palettes.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "rgb"))), lambda s: s["rgb"]).alias("palette"))
+        packed = packed.join(table, "clip_id")
+    return packed.groupBy("clip_id").applyInPandas(run, "clip_id long, content binary")
 
 
 def _edit(f: Callable[[bytes], bytes]):

@@ -224,6 +224,19 @@ def test_frames_are_refused(width, height, delay, size):
         encode.check_frame(width, height, delay, size)
 
 
+def test_index_frames_of_many_sizes_and_palettes(spark):
+    rows = [(1, 0, bytes([0, 1, 1, 0]), 2, 2, [RED, BLUE]), (1, 1, bytes([1, 1, 1, 0]), 2, 2, [GREEN, BLACK]), (2, 0, bytes([1, 0, 1]), 3, 1, [BLUE, RED])]
+    packed = spark.createDataFrame(rows, "clip_id long, frame_no long, indices binary, canvas_width int, canvas_height int, local_palette array<int>")
+    out = {r["clip_id"]: shown(bytes(r["content"])) for r in container.encode_clips(packed).collect()}
+    assert out == {1: [[RED, BLUE, BLUE, RED], [BLACK, BLACK, BLACK, GREEN]], 2: [[RED, BLUE, RED]]}
+    palettes = spark.createDataFrame([(c, k, v) for c in (1, 2) for k, v in enumerate([RED, BLUE])], "clip_id long, idx long, rgb long")
+    out = {r["clip_id"]: shown(bytes(r["content"])) for r in container.encode_clips(packed.drop("local_palette"), palettes).collect()}
+    assert out[1][1] == [BLUE, BLUE, BLUE, RED] and out[2] == [[BLUE, RED, BLUE]]
+    for bad in ({"width": 2}, {"width": 0, "height": 1}, {"loop": -1}, {"encoder": "x"}):
+        with pytest.raises(ValueError):
+            container.encode_clips(packed, **bad)
+
+
 def test_encode_no_rows(spark):
     assert encode.encode_rgba(frames_of(spark, {1: [np.zeros((4, 4))]}, 2, 2).limit(0)).count() == 0
 
