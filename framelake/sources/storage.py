@@ -20,14 +20,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _written(df: DataFrame, label: str) -> str:
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    store, where = _file_system(df.sparkSession, path)
+    store.deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back. Removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, label))
+
+
+class Scratch:
+    """Tables of one operator, removed together once its result is written and no plan needs them any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = _written(df, label)
+        self.paths.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            store, where = _file_system(*self.paths.pop())
+            store.delete(where, True)
 
 
 BATCH_BYTES = 4 << 20
