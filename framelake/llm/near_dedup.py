@@ -20,7 +20,8 @@
    more than the threshold allows can't link) and by hash; a task compares two blocks and emits only a spanning forest of
    the links it finds. Pairs within the region's largest component are not formed.
 
-Nothing is collected to the driver. Intermediate tables are written to the cluster's shared folder.
+Nothing is collected to the driver. Intermediate tables are written to the cluster's shared folder and removed when the
+result, which is written too, is there.
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; texts with fewer words than a
 shingle are one shingle; ids are expected unique, rows that share an id are one node and linked as soon as one of their
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, bounded_batches, chunks, materialize, mix, shingles_of
+from .common import KeyFilter, Scratch, bounded_batches, chunks, materialize, mix, shingles_of
 
 TREES, DEPTH = 20, 5
 MIN_DEPTH, NEAR, CROWD, BEST = 2, 48, 32, 1
@@ -278,7 +279,7 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, materialize=materialize) -> DataFrame:
     """Connected components of links (u, v) by alternating large-star and small-star steps: rows (node, root), root the smallest."""
     both = lambda e: e.union(e.select("v", "u"))
     e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
@@ -397,7 +398,7 @@ def _block_links(percent: int):
     return run
 
 
-def _crowd_links(nodes: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
+def _crowd_links(nodes: DataFrame, text: DataFrame, size: int, percent: int, materialize) -> DataFrame:
     """Over (p, id, root), the nodes of crowded regions: links (la, lb) of roots by every pair of a region's nodes that differ in root."""
     tally = nodes.groupBy("p", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top"))
     split = materialize(tally.filter("m > top.n").select("p", F.col("top.root").alias("top")), "split")
@@ -424,6 +425,14 @@ def _crowd_links(nodes: DataFrame, text: DataFrame, size: int, percent: int) ->
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
+    scratch = Scratch()
+    try:
+        return materialize(_components(docs, id_col, text_col, shingle_words, percent, scratch.stored), "components")
+    finally:
+        scratch.clear()
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int, materialize) -> DataFrame:
     bounded_batches(docs.sparkSession)
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     least = _least_agreement(percent / 100)
@@ -467,7 +476,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sides = picked.select("a", "b", "la", "lb", F.explode(F.array("a", "b")).alias("id"))
         with_text = sides.join(near, F.col("id") == F.col("doc_id")).select("a", "b", "la", "lb", "id", "text")
         links = materialize(with_text.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_confirmed(shingle_words, percent), "la long, lb long"), "links")
-        merged = connected(links.select(F.col("la").alias("u"), F.col("lb").alias("v")))
+        merged = connected(links.select(F.col("la").alias("u"), F.col("lb").alias("v")), materialize)
         merged = merged.select("node", F.col("root").alias("new"))
         moved = labels.join(merged, F.col("root") == F.col("node"), "left").select("id", F.coalesce("new", "root").alias("root"))
         labels = materialize(moved, "labels")
@@ -482,9 +491,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = members.join(crowd, "p", "left_semi").select("p", "id").distinct()
     if not crowded.isEmpty():
         inside = materialize(crowded.join(labels, "id", "left").select("p", "id", F.coalesce("root", "id").alias("root")), "inside")
-        links = materialize(_crowd_links(inside, text, shingle_words, percent).distinct(), "crowd-links")
+        links = materialize(_crowd_links(inside, text, shingle_words, percent, materialize).distinct(), "crowd-links")
         if not links.isEmpty():
-            merged = connected(links.select(F.col("la").alias("u"), F.col("lb").alias("v"))).select("node", F.col("root").alias("new"))
+            merged = connected(links.select(F.col("la").alias("u"), F.col("lb").alias("v")), materialize).select("node", F.col("root").alias("new"))
             known = labels.union(inside.select("id", F.col("id").alias("root")).distinct().join(labels, "id", "left_anti"))
             moved = known.join(merged, F.col("root") == F.col("node"), "left").select("id", F.coalesce("new", "root").alias("root"))
             labels = materialize(moved, "labels")
