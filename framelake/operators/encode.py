@@ -3,7 +3,9 @@
 ``frames`` has a row per frame: clip_id, frame_no, width, height, rgba (whole canvases) and optionally delay. A frame shrinks
 to its distinct colours in its own task; colours are added up per clip (or per frame, for local palettes), and what the
 palette needs of them is bounded: 256 colours, or the cells of a 4- or 5-bit histogram. Mapping and compression run per
-frame. Only layout follows a clip's frames in order; it holds three of them at a time. Assembly gathers compressed frames.
+frame. Palettes, layout and assembly are dealt by number of tasks, as their rows are short and their work isn't; plans reach
+their frames by broadcast up to a fixed size, by a shuffle beyond. ``frames`` is read twice (three times in quality mode), so
+store it first if it is costly to make. Only layout follows a clip's frames in order; it holds three of them at a time. Assembly gathers compressed frames.
 
 Modes: exact takes at most 256 colours and alpha 0 or 255; fast falls back to the fixed 3-3-2 palette; quality falls back to
 a palette of its own. What a clip falls back to depends on that clip alone.
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 
 from framelake.functions import gif, layout
 from framelake.functions.color import palette332
-from framelake.sources.storage import bounded_batches, stored
+from framelake.sources.storage import bounded_batches, column_batches, record_batches, spread, stored
 
 from . import quantize
 
 #: Limits of the choice of a quality palette.
 DOMINANT_CELLS, LOW_RES_PIXELS, SMOOTH_SAMPLES, SMOOTH_DELTA = 2048, 1_000_000, 8192, 16
+#: Bytes of plans that may be broadcast; those of a plan without cells, and of one of a 4- or 5-bit histogram, at most.
+PLAN_LIMIT, PLAN_BYTES, CELL_PLAN_BYTES = 8 << 20, 3 << 10, {4: 24 << 10, 5: 168 << 10}
 #: How a cell strategy makes its palette.
 PLANS = {"direct": quantize.direct_plan, "merge": quantize.merge_plan, "grid": quantize.flat_grid_plan, "dominant": quantize.dominant_plan, "wu": quantize.variance_cut_plan, "mediancut": quantize.median_cut_nearest_plan}
 
@@ -85,7 +89,7 @@ def colors(frames: DataFrame, threshold: int = 128) -> DataFrame:
     """clip_id, frame_no, rgb, n, at (first place in the clip): a frame's distinct opaque colours, CLEAR and PARTIAL."""
     schema = pa.schema([("clip_id", pa.int64()), ("frame_no", pa.int64()), ("rgb", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for row in batch.to_pylist():
                 check_frame(row["width"], row["height"], row["delay"], len(row["rgba"]))
@@ -94,8 +98,10 @@ def colors(frames: DataFrame, threshold: int = 128) -> DataFrame:
                 soft = int(((alpha > 0) & (alpha < 255)).sum())
                 if soft:
                     u, first, n = (np.append(a, b) for a, b in ((u, PARTIAL), (first, 0), (n, soft)))
-                same = np.full(len(u), row["clip_id"], np.int64), np.full(len(u), row["frame_no"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in (*same, u, n, first + row["frame_no"] * len(rgb))], schema=schema)
+                yield np.full(len(u), row["clip_id"], np.int64), np.full(len(u), row["frame_no"], np.int64), u, n, first + row["frame_no"] * len(rgb)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return column_batches(pieces(batches), schema)
 
     return frames.select("clip_id", "frame_no", "width", "height", "delay", "rgba").mapInArrow(run, "clip_id long, frame_no long, rgb long, n long, at long")
 
@@ -133,29 +139,40 @@ def _smooth(frames: DataFrame, large: DataFrame, keys: list[str], threshold: int
 
 def strategies(frames: DataFrame, counted: DataFrame, keys: list[str], mode: str, threshold: int) -> DataFrame:
     """Per key: strategy, bits of its histogram, and whether it holds transparent and partly transparent pixels."""
+    s = counted.groupBy(*keys).agg(F.count_if(F.col("rgb") >= 0).alias("n_colors"), F.max(F.col("rgb") == CLEAR).alias("clear"), F.max(F.col("rgb") == PARTIAL).alias("partial"), F.sum(F.when(F.col("rgb") >= CLEAR, F.col("n"))).alias("pixels"))
+    limit = 256 - F.col("clear").cast("int")
+    exact = F.coalesce("n_colors", F.lit(0)) <= limit
+    if mode != "quality":  # what clips fall back to has no cells
+        return s.select(*keys, F.when(exact, "exact").otherwise({"exact": "refused", "fast": "rgb332"}[mode]).alias("strategy"), F.lit(4).alias("bits"), "clear", "partial")
     four, five = _cells(counted, keys, 4), _cells(counted, keys, 5)
     one = F.lit(1).cast("long")
     bit = lambda shift: F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.shiftright("k", shift).bitwiseAND(F.lit(15).cast("long")).cast("int"))))
     grid = (F.min("n") == F.max("n")) & (bit(8) * bit(4) * bit(0) == F.count(one))
     shape = four.groupBy(*keys).agg(F.count(one).alias("cells4"), grid.alias("grid")).join(five.groupBy(*keys).agg(F.count(one).alias("cells5")), keys)
-    s = counted.groupBy(*keys).agg(F.count_if(F.col("rgb") >= 0).alias("n_colors"), F.max(F.col("rgb") == CLEAR).alias("clear"), F.max(F.col("rgb") == PARTIAL).alias("partial"), F.sum(F.when(F.col("rgb") >= CLEAR, F.col("n"))).alias("pixels"))
     s = s.join(shape, keys, "left")
     s = s.join(_smooth(frames, s.filter(F.col("pixels") > LOW_RES_PIXELS).select(*keys, "pixels"), keys, threshold), keys, "left")
-    limit = 256 - F.col("clear").cast("int")
     fine = (F.col("pixels") > LOW_RES_PIXELS) & F.coalesce("smooth", F.lit(False))
     cells = F.when(fine, F.col("cells5")).otherwise(F.col("cells4"))
     low = F.col("pixels") <= LOW_RES_PIXELS
     quality = F.when(low & (cells <= limit), "direct").when(low & (cells == limit + 1), "merge").when(low & F.col("grid"), "grid").when(cells <= DOMINANT_CELLS, "dominant").when(fine, "mediancut").otherwise("wu")
-    beyond = {"exact": F.lit("refused"), "fast": F.lit("rgb332"), "quality": quality}[mode]
-    chosen = F.when(F.coalesce("n_colors", F.lit(0)) <= limit, "exact").otherwise(beyond)
-    return s.select(*keys, chosen.alias("strategy"), F.when(fine, 5).otherwise(4).alias("bits"), "clear", "partial")
+    return s.select(*keys, F.when(exact, "exact").otherwise(quality).alias("strategy"), F.when(fine, 5).otherwise(4).alias("bits"), "clear", "partial")
 
 
 _PLAN = "strategy string, bits int, transparent int, palette binary, k binary, idx binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
-def _as_plan(strategy: str, bits: int, clear: bool, partial: bool, rows: pd.DataFrame, mode: str) -> dict:
-    """palette: 32-bit colours; k and idx: sorted colours or cells and their entries."""
+def _reached(plans_: DataFrame, size: int) -> DataFrame:
+    """Plans with how a join is to take them, by their size at most: that of their table on disk says nothing, it compresses well."""
+    return plans_.hint("broadcast" if size <= PLAN_LIMIT else "merge")
+
+
+def _as_plan(strategy: str, bits: int, clear: bool, partial: bool, rows: dict[str, np.ndarray], mode: str) -> dict:
+    """rows: k (ascending), n, sr, sg, sb, at. palette: 32-bit colours; k and idx: sorted colours or cells and their entries."""
     if strategy == "refused":
         raise ValueError("exact mode takes at most 256 colours, a transparent one included")
     if mode == "exact" and partial:
@@ -168,13 +185,12 @@ def _as_plan(strategy: str, bits: int, clear: bool, partial: bool, rows: pd.Data
         slot = 255 if clear else None
     else:
         if strategy == "exact":
-            palette = rows.sort_values("at")["k"].to_numpy()
+            palette = rows["k"][np.argsort(rows["at"])]
             idx = np.argsort(palette, kind="stable")
             k = palette[idx]
         else:
-            rows = rows.sort_values("k")
-            k = rows["k"].to_numpy()
-            idx, palette = PLANS[strategy](k, rows["n"].to_numpy(), rows[["sr", "sg", "sb"]].to_numpy(), limit)
+            k = rows["k"]
+            idx, palette = PLANS[strategy](k, rows["n"], np.stack([rows[c] for c in ("sr", "sg", "sb")], 1), limit)
             if strategy == "direct" and len(palette) + clear > 128:
                 palette = np.concatenate([palette, np.full(limit - len(palette), palette[-1])])
         slot = len(palette) if clear else None
@@ -193,17 +209,27 @@ def plans(frames: DataFrame, mode: str = "quality", palette: str = "global", thr
     zero = F.lit(0).cast("long")
     exact = counted.filter("rgb >= 0").join(chosen.filter("strategy = 'exact'").select(*keys), keys).select(*keys, F.col("rgb").alias("k"), "n", zero.alias("sr"), zero.alias("sg"), zero.alias("sb"), "at")
     rows = exact
-    for bits in (4, 5):
+    for bits in (4, 5) if mode == "quality" else ():
         some = chosen.filter(F.col("strategy").isin(list(PLANS)) & (F.col("bits") == bits)).select(*keys)
         rows = rows.unionByName(_cells(counted, keys, bits).join(some, keys))
-    schema = ", ".join(f"{k} long" for k in keys) + ", " + _PLAN
+    ddl = ", ".join(f"{k} long" for k in keys) + ", " + _PLAN
+    names = ("k", "n", "sr", "sg", "sb", "at")
+    cells = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("cells"))
+    none = {c: np.zeros(0, np.int64) for c in names}
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        one = g.iloc[0]
-        made = _as_plan(one["strategy"], int(one["bits"]), bool(one["clear"]), bool(one["partial"]), g[g["k"].notna()].astype({c: "int64" for c in ("k", "n", "sr", "sg", "sb", "at")}), mode)
-        return pd.DataFrame([{**{k: one[k] for k in keys}, **made}]).astype({"transparent": "Int64"})
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            cells = batch.column("cells")
+            for at, one in enumerate(batch.select([*keys, "strategy", "bits", "clear", "partial"]).to_pylist()):
+                own = cells[at].values
+                yield {**one, **_as_plan(one["strategy"], one["bits"], one["clear"], one["partial"], none if own is None else {c: v.to_numpy() for c, v in zip(names, own.flatten(), strict=True)}, mode)}
 
-    return chosen.join(rows, keys, "left").groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return record_batches(made(batches), _schema(ddl))
+
+    each = F.when(F.col("strategy").isin(list(PLANS)), F.when(F.col("bits") == 4, CELL_PLAN_BYTES[4]).otherwise(CELL_PLAN_BYTES[5])).otherwise(PLAN_BYTES)
+    size = chosen.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return _reached(spread(chosen, *keys).join(cells, keys, "left").mapInArrow(run, ddl), size)
 
 
 def supplied_plans(frames: DataFrame, palettes: DataFrame, mode: str = "quality", threshold: int = 128) -> DataFrame:
@@ -241,7 +267,8 @@ def supplied_plans(frames: DataFrame, palettes: DataFrame, mode: str = "quality"
             out.append({"clip_id": row["clip_id"], "strategy": "supplied", "bits": 0, "transparent": slot, "palette": palette.astype("<i4").tobytes(), "k": np.array([len(row["palette"])], "<i4").tobytes(), "idx": b""})
         return pd.DataFrame(out, columns=["clip_id", *[c.split()[0] for c in _PLAN.split(", ")]]).astype({"transparent": "Int64"})
 
-    return seen.join(table, "clip_id").mapInPandas(lambda parts: map(run, parts), "clip_id long, " + _PLAN)
+    made = spread(seen, "clip_id").join(table, "clip_id").mapInPandas(lambda parts: map(run, parts), "clip_id long, " + _PLAN)
+    return _reached(made, PLAN_BYTES * palettes.select("clip_id").distinct().count())
 
 
 def map_frame(rgba: bytes, plan: dict, threshold: int) -> np.ndarray:
@@ -286,7 +313,7 @@ _LAID = "clip_id long, frame_no long, width int, height int, delay int, x int, y
 
 def lay_out(indexed_: DataFrame, kind: str) -> DataFrame:
     """kind: independent (whole frames), local (the same, each with its palette), deltas, or compact."""
-    clips = indexed_.repartition("clip_id").sortWithinPartitions("clip_id", "frame_no") if kind in ("deltas", "compact") else indexed_
+    clips = spread(indexed_, "clip_id").sortWithinPartitions("clip_id", "frame_no") if kind in ("deltas", "compact") else indexed_
 
     def placed(rows: Iterator[dict], first: dict) -> Iterator[layout.Placed]:
         canvas = ((r["frame_no"], np.frombuffer(r["indices"], np.uint8).reshape(r["height"], r["width"])) for r in rows)
@@ -296,8 +323,7 @@ def lay_out(indexed_: DataFrame, kind: str) -> DataFrame:
             return layout.plain_deltas(canvas)
         return layout.independent(canvas, 2 if kind == "local" or first["transparent"] is not None else 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in _LAID.split(", ")])
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rows = (r for batch in batches for r in batch.to_pylist())
         for _, group in itertools.groupby(rows, key=lambda r: r["clip_id"] if kind in ("deltas", "compact") else (r["clip_id"], r["frame_no"])):
             first = next(group)
@@ -315,9 +341,11 @@ def lay_out(indexed_: DataFrame, kind: str) -> DataFrame:
             for p in placed(noted(itertools.chain([first], group)), first):
                 left, top, right, bottom = p.box
                 drawn = p.shown is not None
-                one = {"clip_id": first["clip_id"], "frame_no": p.number, "width": first["width"], "height": first["height"], "delay": delays.pop(p.number), "x": left, "y": top, "w": right - left + 1, "h": bottom - top + 1,
+                yield {"clip_id": first["clip_id"], "frame_no": p.number, "width": first["width"], "height": first["height"], "delay": delays.pop(p.number), "x": left, "y": top, "w": right - left + 1, "h": bottom - top + 1,
                        "disposal": p.disposal, "transparent": spare if drawn else first["transparent"], "palette": first["palette"], "indices": p.own(), "filled": p.filled(spare)}
-                yield pa.RecordBatch.from_pylist([one], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return record_batches(laid(batches), _schema(_LAID))
 
     return clips.mapInArrow(run, _LAID)
 
@@ -333,8 +361,8 @@ def assemble(laid: DataFrame, encoder: str = "runs", loop: int | None = None, lo
             out.append(control + gif.image(int(r.x), int(r.y), int(r.w), int(r.h), bytes(r.indices), len(palette), encoder, palette if local else None, None if r.filled is None else bytes(r.filled)))
         return pd.DataFrame({"clip_id": rows["clip_id"], "frame_no": rows["frame_no"], "width": rows["width"], "height": rows["height"], "palette": rows["palette"], "image": out})
 
-    coded = laid.repartition("clip_id", "frame_no").mapInPandas(lambda parts: map(image, parts), "clip_id long, frame_no long, width int, height int, palette binary, image binary")
-    clips = coded.groupBy("clip_id").agg(F.min("width").alias("width"), F.min("height").alias("height"), F.min("palette").alias("palette"), F.array_sort(F.collect_list(F.struct("frame_no", "image"))).alias("images"))
+    coded = spread(laid, "clip_id", "frame_no").mapInPandas(lambda parts: map(image, parts), "clip_id long, frame_no long, width int, height int, palette binary, image binary")
+    clips = spread(coded, "clip_id").groupBy("clip_id").agg(F.min("width").alias("width"), F.min("height").alias("height"), F.min("palette").alias("palette"), F.array_sort(F.collect_list(F.struct("frame_no", "image"))).alias("images"))
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         content = []

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -64,3 +67,44 @@ def bounded_batches(spark: SparkSession) -> None:
     now = spark.conf.get(name).removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+
+
+#: Rows of a batch that a task puts together: of records, and of pieces of columns.
+BATCH_RECORDS, BATCH_ROWS = 1024, 1 << 16
+
+
+def record_batches(records: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Records in batches of a few MB: a batch for every short record costs more than its work."""
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += sum(len(v) for v in r.values() if isinstance(v, bytes))
+        if size >= BATCH_BYTES or len(held) >= BATCH_RECORDS:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def column_batches(pieces: Iterator[tuple[np.ndarray, ...]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Pieces of equally long columns put together to batches; a piece that is longer by itself stays whole."""
+    held, n = [], 0
+
+    def whole() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+    for p in pieces:
+        held.append(p)
+        n += len(p[0])
+        if n >= BATCH_ROWS:
+            yield whole()
+            held, n = [], 0
+    if held:
+        yield whole()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys to as many tasks as the session shuffles to. With the number given, adaptive execution doesn't merge
+    them: it goes by bytes, and short rows that cost much work (a palette, a file) would end up in one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
