@@ -34,17 +34,18 @@ class KeyFilter:
     """A one-hash Bloom filter of fixed size over a key set, as an array<bigint> scalar subquery.
 
     It stays on the JVM and holds ``bits`` bits whatever the number of keys, so it may travel to every task. A hit
-    may be false; a miss never is. Operators use it only to skip work or shuffles, never to decide a result.
+    may be false; a miss never is. Operators use it only to skip work or shuffles, or rely on misses; a hit never decides a result. With a label
+    it is written once, for plans that use it more than once.
     """
 
-    def __init__(self, keys: DataFrame, columns: list[str], bits: int = 1 << 20):
+    def __init__(self, keys: DataFrame, columns: list[str], bits: int = 1 << 20, label: str | None = None):
         self.bits = bits
         slot = F.pmod(F.xxhash64(*columns), F.lit(bits).cast("long"))
         used = keys.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64).cast("long")).cast("int")).alias("b"))
         zero = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
         words = used.union(zero).groupBy("w").agg(F.bit_or("b").alias("b"))
         one = words.agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("a")).select(F.transform("a", lambda x: x["b"]).alias("a"))
-        self.words = one.scalar()
+        self.words = (one if label is None else materialize(one, label)).scalar()
 
     def hit(self, *columns: Column | str) -> Column:
         slot = F.pmod(F.xxhash64(*columns), F.lit(self.bits).cast("long"))

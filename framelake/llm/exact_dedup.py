@@ -3,7 +3,12 @@
 Each step shuffles a few integers per row and keeps the keys that still hold more than one row. The keys that
 survive travel to the next scan as a bit filter of fixed size (KeyFilter), so a full text is hashed only where its
 length and prefix already agree with another row's. False filter hits cost a hash, never a result. Groups are
-formed by partial aggregation, so a group with a third of all rows leaves each task as one row.
+formed by partial aggregation, so a group with a third of all rows leaves each task as one row. Filters are written
+once, as several steps read them.
+
+``drop_exact_duplicates`` decides on ids and hashes alone. The next scan has two filters: ids of rows that go, ids of
+rows that stay. A row that misses either is decided where it lies; only rows that hit both (false hits, ids that repeat)
+are joined with their texts.
 
 Defined cases: null text counts as empty, and all empty texts are equal; a null id never becomes a group's keep_id
 unless all its ids are null; of rows that repeat one id and one text exactly one is kept, the first by its other columns in
@@ -20,6 +25,8 @@ from .common import KeyFilter, ascii_lower, materialize, unused
 
 PREFIX_CHARS = 256
 FILTER_BITS = 1 << 20
+#: Filters of ids have sixteen bits an id, up to this size (a MB).
+MOST_BITS = 1 << 23
 
 
 def normalized(text: Column) -> Column:
@@ -33,14 +40,15 @@ class _Refined:
         self.full = F.sha2(normalized(raw).cast("binary"), 256)
         ident = F.col(f"`{id_col}`")
         lengths = docs.select(self.size.alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        self.by_length = KeyFilter(lengths, ["n"], filter_bits)
+        self.by_length = KeyFilter(lengths, ["n"], filter_bits, "lengths")
         at = docs.filter(self.by_length.hit(self.size))
         prefixes = at.select(self.size.alias("n"), self.prefix.alias("p")).groupBy("n", "p").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        self.by_prefix = KeyFilter(prefixes, ["n", "p"], filter_bits)
+        self.by_prefix = KeyFilter(prefixes, ["n", "p"], filter_bits, "prefixes")
         #: True where length and prefix agree with another row's; only these rows have their full text hashed.
         self.suspect = self.by_length.hit(self.size) & self.by_prefix.hit(self.size, self.prefix)
-        self.rows = docs.select(ident.alias("doc_id"), F.when(self.suspect, self.full).alias("full"))
-        by_id = self.rows.filter(F.col("full").isNotNull()).groupBy("full", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+        #: Id and full hash of the suspects.
+        self.rows = materialize(docs.filter(self.suspect).select(ident.alias("doc_id"), self.full.alias("full")), "suspects")
+        by_id = self.rows.groupBy("full", "doc_id").agg(F.count(F.lit(1)).alias("c"))
         groups = by_id.groupBy("full").agg(F.max(F.struct("doc_id", "c")).alias("m"), F.sum("c").alias("members")).filter("members > 1")
         #: Hash, id that stays, rows with that id (one, unless ids repeat), rows in all. Written once, as several steps read it.
         self.groups = materialize(groups.select("full", F.col("m.doc_id").alias("keep"), F.col("m.c").alias("twins"), "members"), "groups")
@@ -103,14 +111,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """docs without the rows whose text another row stands for. Only suspect rows are shuffled."""
+    """docs without the rows whose text another row stands for. Texts are shuffled only where the filters of ids leave a row open."""
     r = _Refined(docs, id_col, text_col, prefix_chars, filter_bits)
     full, keep, twins, *more = unused(docs.columns, "full", "keep", "twins", "members", "key")
-    clear = docs.filter(~r.suspect)
-    found = docs.filter(r.suspect).withColumn(full, r.full)
-    spread = F.concat(F.lit("#"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    left = r.joined(found, full, spread, [keep, twins, *more])
-    stays = left.filter(F.col(twins).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(keep)))
+    ident = F.col(f"`{id_col}`")
+    spread = lambda c: F.concat(F.lit("#"), F.coalesce(c.cast("string"), F.lit("")))
+    judged = r.joined(r.rows, "full", spread(F.col("doc_id")), ["keep", "twins", "members", "key"])
+    stays = F.col("twins").isNull() | F.col("doc_id").eqNullSafe(F.col("keep"))
+    # of rows that repeat id and text one stays: their id is on both sides
+    judged = materialize(judged.select("doc_id", stays.alias("stays"), (~stays | F.coalesce(F.col("twins") > 1, F.lit(False))).alias("goes")), "judged")
+    bits = max(filter_bits, min(1 << (16 * judged.count()).bit_length(), MOST_BITS))
+    goes, stay = (KeyFilter(judged.filter(c).select("doc_id"), ["doc_id"], bits, c).hit(ident) for c in ("goes", "stays"))
+    clear = docs.filter(~r.suspect | ~goes)
+    found = docs.filter(r.suspect & goes & stay).withColumn(full, r.full)
+    left = r.joined(found, full, spread(ident), [keep, twins, *more])
+    stays = left.filter(F.col(twins).isNull() | ident.eqNullSafe(F.col(keep)))
     columns = [f"`{c}`" for c in docs.columns]
     if not r.repeated:
         return clear.unionByName(stays.select(*columns))
