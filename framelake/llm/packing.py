@@ -18,7 +18,9 @@ extra columns are ignored; an empty table gives an empty result.
 
 Ids come from the ``tokenizers`` vocabulary file. Texts of plain Latin characters take the ``tiktoken`` form of the
 same vocabulary, which gives the same ids several times faster; all others, and those with very long runs or the
-special token's string, take ``tokenizers`` itself (tests hold both against each other).
+special token's string, take ``tokenizers`` itself (tests hold both against each other). The look-ahead of the
+vocabulary's own pattern makes its regex engine backtrack; texts are cut where it would decide, before the last white
+space of a run that a word follows, and the rest of the pattern splits the parts the same way.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +40,30 @@ from .common import bounded_batches, materialize
 
 CAPACITY = 2048
 BUCKET_ROWS = 50_000
-_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]|<\|endoftext\|>|[^ \n]{400}|\s{400}")
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
+_WIDE, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\s)(?=\s\S)")
+#: The pattern that texts may be cut for, and its look-ahead.
+_PATTERN, _AHEAD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", r"|\s+(?!\S)"
+#: Runs from this length on are for ``tokenizers``. Every _STEP-th character of one shows a run of white space.
+_RUN, _STEP = 400, 40
+_SPACE, _SPACES = re.compile(r"\s{%d}" % (_RUN // _STEP)), re.compile(r"\s{%d}" % _RUN)
 _LOADED: dict = {}
 
 
+def plain(text: str) -> bool:
+    """Latin characters only, no special token's string, fewer than _RUN characters from one space or line end to the next,
+    and less white space than that at a stretch."""
+    if _OTHER.search(text) or "<|endoftext|>" in text or (_SPACE.search(text[::_STEP]) and _SPACES.search(text)):
+        return False
+    at = 0
+    while at + _RUN <= len(text):
+        last = max(text.rfind(" ", at, at + _RUN), text.rfind("\n", at, at + _RUN))
+        if last < 0:
+            return False
+        at = last + 1
+    return True
+
+
 def encoder(tokenizer_file: str, ranks_file: str | None, pattern: str | None):
     """text -> uint32 ids; loaded once per process."""
     key = (tokenizer_file, ranks_file)
@@ -54,12 +77,17 @@ def encoder(tokenizer_file: str, ranks_file: str | None, pattern: str | None):
 
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            cut = pattern == _PATTERN
+            fast = tiktoken.Encoding("own", pat_str=pattern.replace(_AHEAD, "") if cut else pattern, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
-            if fast is not None and not _PLAIN.search(text):
-                return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), "<u4")
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+            if fast is None or not plain(text):
+                ids = whole.encode(text, add_special_tokens=False).ids
+            elif cut and _WIDE.search(text):
+                ids = [i for part in _CUT.split(text) for i in fast.encode_ordinary(part)]
+            else:
+                ids = fast.encode_ordinary(text)
+            return np.frombuffer(array("I", ids), np.uint32).astype("<u4", copy=False)
 
         _LOADED[key] = encode
     return _LOADED[key]
